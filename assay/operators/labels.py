@@ -22,8 +22,10 @@ EVIDENCE = (
     "n_dual_use",
 )
 
-# A verdict as a number, so that "answered unknown" and "did not answer" stay apart.
-_STATE = F.when(F.col("verdict"), 1).when(~F.col("verdict"), 0).otherwise(-1)
+
+def _state() -> Column:
+    """A verdict as a number, so that "answered unknown" and "did not answer" stay apart."""
+    return F.when(F.col("verdict"), 1).when(~F.col("verdict"), 0).otherwise(-1)
 
 
 def paired(long: DataFrame) -> DataFrame:
@@ -38,8 +40,8 @@ def paired(long: DataFrame) -> DataFrame:
         long.repartition("sha256")
         .groupBy("sha256", "author")
         .agg(
-            F.max(F.when(at_t, _STATE)).alias("t_state"),
-            F.max(F.when(at_l, _STATE)).alias("l_state"),
+            F.max(F.when(at_t, _state())).alias("t_state"),
+            F.max(F.when(at_l, _state())).alias("l_state"),
             F.max(F.when(at_l, F.col("malware_family"))).alias("l_family"),
         )
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.families import clean_family
@@ -25,8 +25,8 @@ def band_histogram(banded: DataFrame, params: Params) -> DataFrame:
     rows = [(n, float(s)) for n, s in params.targets.items() if n in params.drawn] + [(BELOW_FLOOR, 0.0)]
     targets = banded.sparkSession.createDataFrame(rows, "stratum string, target_share double")
     counts = banded.groupBy("stratum").agg(F.count("*").alias("_n"))
-    total = banded.agg(F.count("*").alias("t")).scalar()
     n = F.coalesce(F.col("_n"), F.lit(0))
+    total = F.sum(n).over(Window.partitionBy())  # over one row per band
     return targets.join(counts, "stratum", "left").select(
         "stratum",
         n.alias("n"),
