@@ -37,12 +37,13 @@ def fn4(s: Study) -> DataFrame:
 
 @query(
     "fn5_days_between",
-    "SELECT event_id, date_diff('microsecond', TIMESTAMP '2024-01-01', ts) / 86400000000.0 AS days FROM events",
+    "SELECT event_id, date_diff('microsecond', TIMESTAMP '2024-01-01', date_trunc('second', ts)) / 86400000000.0 AS days FROM events",
     doubles="days",
 )
 def fn5(s: Study) -> DataFrame:
     start = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")
-    return s.table("events").select("event_id", days_between(start, F.col("ts")).alias("days"))
+    second = F.date_trunc("second", "ts").cast("timestamp_ntz")
+    return s.table("events").select("event_id", days_between(start, second).alias("days"))
 
 
 

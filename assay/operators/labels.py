@@ -194,3 +194,15 @@ def disagreement(left: DataFrame, right: DataFrame, names: Sequence[str] = ("lab
         right.select("sha256", F.col("label").alias(b)), "sha256"
     )
     return joined.groupBy(a, b).agg(F.count("*").alias("n"))
+
+
+def gold_disagreement(labels: DataFrame, gold: DataFrame) -> DataFrame:
+    """Derived against audited labels: raw and 1/pi-weighted share that differ."""
+    joined = labels.select("sha256", "label", "pi").join(gold.select("sha256", "gold"), "sha256")
+    wrong = (~F.col("label").eqNullSafe(F.col("gold"))).cast("double")
+    w = F.lit(1.0) / F.col("pi")
+    return joined.agg(
+        F.count("*").alias("audited"),
+        F.avg(wrong).alias("error_raw"),
+        (F.sum(w * wrong) / F.sum(w)).alias("error_weighted"),
+    )

@@ -115,6 +115,47 @@ def fit_trees(
         data.unpersist()
 
 
+def compare_models(
+    grouped: tuple[DataFrame, DataFrame],
+    random: tuple[DataFrame, DataFrame],
+    groups: dict[str, list[str]],
+    params: Params,
+    *,
+    grid: Sequence[float] = LR_GRID,
+    depths: Sequence[int] = TREE_DEPTHS,
+    counts: Sequence[int] = TREE_COUNTS,
+) -> tuple[DataFrame, dict[str, Fitted]]:
+    """The comparisons: old encoding, new encoding, trees, and the new one on a random split.
+
+    Returns one row per model and the fitted models; a fold with one class is skipped.
+    """
+    new, old = groups["features_new"], groups["features_old"]
+    specs = {
+        "a": (old, grouped, "logistic"),
+        "b": (new, grouped, "logistic"),
+        "c": (new, grouped, "trees"),
+        "b_random": (new, random, "logistic"),
+    }
+    rows, fitted = [], {}
+    for name, (columns, (train, validate), kind) in specs.items():
+        shape = train.agg(F.count("*").alias("n"), F.count_distinct("y").alias("classes")).first()
+        if shape["classes"] < 2:
+            rows.append((name, kind, len(columns), shape["n"], None, None, None))
+            continue
+        if kind == "trees":
+            model = fit_trees(train, validate, columns, params.seed, depths, counts)
+        else:
+            model = fit_logistic(train, validate, columns, grid)
+        fitted[name] = model
+        scored = raw_score(model, validate, ["y", "pi"]).withColumn("w", 1 / F.col("pi"))
+        auc = roc_auc(scored, "score", "y", params.skew, weight="w").first()
+        rows.append(
+            (name, kind, len(columns), shape["n"], model.loss, auc["auc_raw"] if auc else None, auc["auc_weighted"] if auc else None)
+        )
+    schema = "model string, kind string, n_features int, n_train bigint, log_loss double, auc_raw double, auc_weighted double"
+    return grouped[0].sparkSession.createDataFrame(rows, schema), fitted
+
+
 def fold_of(df: DataFrame, target: str, key: str, k: int, params: Params) -> DataFrame:
     """Stratified fold numbers 0..k-1 in digest order within each class."""
     keyed = df.withColumn("_key", hash_key(F.col(key).cast("string"), params.seed, prefix="fold:"))

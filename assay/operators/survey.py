@@ -371,3 +371,24 @@ def banded_labellable(labelled: DataFrame, bands: Bands) -> DataFrame:
         0, subset=["n_definite", "n_malicious"]
     )
     return with_band(filled, bands)
+
+
+def firehose_bands(renders: DataFrame, bands: Bands) -> DataFrame:
+    """Band sizes of raw scan records in one pass, counting inside each record's own array."""
+    verdicts = F.transform("assertions", lambda a: a["verdict"])
+    definite = F.filter(verdicts, lambda v: v.isNotNull())
+    sized = renders.select(
+        F.size(F.filter(definite, lambda v: v)).alias("n_malicious"), F.size(definite).alias("n_definite")
+    )
+    return with_band(sized.fillna(0), bands).groupBy("stratum").agg(F.count("*").alias("n"))
+
+
+def index_coverage(scans: DataFrame, indexed: DataFrame, scored: DataFrame, sandboxed: DataFrame) -> DataFrame:
+    """Per day of first scan: shares of artifacts that are indexed, scored and sandboxed."""
+    flagged = scans
+    for name, keys in (("indexed", indexed), ("scored", scored), ("sandboxed", sandboxed)):
+        listed = keys.select("sha256").distinct().withColumn(name, F.lit(1.0))
+        flagged = flagged.join(listed, "sha256", "left")
+    day = F.date_trunc("day", "scoring_moment").cast("timestamp_ntz")
+    shares = [F.avg(F.coalesce(c, F.lit(0.0))).alias(f"{c}_share") for c in ("indexed", "scored", "sandboxed")]
+    return flagged.groupBy(day.alias("day")).agg(F.count("*").alias("n"), *shares)
