@@ -171,4 +171,4 @@ def oracle(body: str, **extra: str) -> str:
                 needed.add(name)
                 todo.append(sql)
     listed = ",\n".join(f"{n} AS ({known[n]})" for n in known if n in needed)
-    return f"WITH {listed}\n{body}" if listed else body
+    return f"WITH RECURSIVE {listed}\n{body}" if listed else body

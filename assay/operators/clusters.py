@@ -39,7 +39,7 @@ def pair_sums(long: DataFrame, roster: Sequence[str]) -> DataFrame:
                 {
                     "i": left,
                     "j": right,
-                    "both": product[left, right],
+                    "n_both": product[left, right],
                     "mal_i": product[n + left, right],
                     "mal_j": product[n + right, left],
                     "mal_both": product[n + left, n + right],
@@ -47,16 +47,16 @@ def pair_sums(long: DataFrame, roster: Sequence[str]) -> DataFrame:
             )
 
     partial = rows.mapInPandas(
-        multiply, "i int, j int, both double, mal_i double, mal_j double, mal_both double"
+        multiply, "i int, j int, n_both double, mal_i double, mal_j double, mal_both double"
     )
     names = F.array(*[F.lit(e) for e in roster])
     return (
         partial.groupBy("i", "j")
-        .agg(*[F.sum(c).cast("bigint").alias(c) for c in ("both", "mal_i", "mal_j", "mal_both")])
+        .agg(*[F.sum(c).cast("bigint").alias(c) for c in ("n_both", "mal_i", "mal_j", "mal_both")])
         .select(
             F.get(names, F.col("i")).alias("engine_a"),
             F.get(names, F.col("j")).alias("engine_b"),
-            "both",
+            "n_both",
             "mal_i",
             "mal_j",
             "mal_both",
@@ -66,7 +66,7 @@ def pair_sums(long: DataFrame, roster: Sequence[str]) -> DataFrame:
 
 def correlation() -> Column:
     """Correlation of two engines' verdicts over the scans both answered."""
-    n, a, b, ab = (F.col(c).cast("double") for c in ("both", "mal_i", "mal_j", "mal_both"))
+    n, a, b, ab = (F.col(c).cast("double") for c in ("n_both", "mal_i", "mal_j", "mal_both"))
     spread = F.sqrt((n * a - a * a) * (n * b - b * b))
     return (n * ab - a * b) / F.nullif(spread, F.lit(0.0))
 
