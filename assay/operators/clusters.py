@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.small import small_table
+
 MAX_ROSTER = 2_000  # the pair table grows with its square and must stay small
 
 
@@ -93,7 +95,7 @@ def clusters(pairs: DataFrame, roster: Sequence[str], threshold: float) -> DataF
         a, b = sorted((root(edge["engine_a"]), root(edge["engine_b"])))
         parent[b] = a
     rows = [(e, root(e)) for e in roster]
-    return pairs.sparkSession.createDataFrame(rows, "author string, cluster string")
+    return small_table(pairs.sparkSession, rows, "author string, cluster string")
 
 
 def clustered_counts(long: DataFrame, engine_clusters: DataFrame) -> DataFrame:

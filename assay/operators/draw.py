@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import ratio
 from ..params import BELOW_FLOOR, Bands, Params
-from ..plans.ordering import hash_key, hash_position
+from ..plans.ordering import hash_key, hash_top
+from ..plans.small import small_table
 
 
 def band(n_malicious: Column, n_definite: Column, bands: Bands, floor: Column | None = None) -> Column:
@@ -41,7 +42,7 @@ def relative_floor(df: DataFrame, share: float) -> Column:
 
 def _targets(spark: SparkSession, cells: Mapping[str, float], size: int, key: str) -> DataFrame:
     rows = [(name, share, math.ceil(size * share)) for name, share in cells.items()]
-    return spark.createDataFrame(rows, f"{key} string, target_share double, n_target bigint")
+    return small_table(spark, rows, f"{key} string, target_share double, n_target bigint")
 
 
 def draw_report(banded: DataFrame, params: Params) -> DataFrame:
@@ -70,23 +71,24 @@ def stratified_draw(base: DataFrame, params: Params) -> tuple[DataFrame, DataFra
     """(cohort, report). A band short of its target is taken whole and reported so.
 
     Positions come from the digest of (sha256, seed), so a larger cohort contains a smaller
-    one, and no band is ever sorted in one task.
+    one. No band is sorted in one task, and rows that cannot be drawn are not shuffled.
     """
     if "stratum" in base.columns:
         raise ValueError("bands are computed at draw time; the base must not carry one")
     banded = with_band(base, params.bands).withColumn("_key", hash_key("sha256", params.seed))
     report = draw_report(banded, params)
-    placed = hash_position(
-        banded.filter(F.col("stratum") != BELOW_FLOOR),
+    # The report has one row per band.
+    sizes = F.broadcast(report.select("stratum", "pi", "n_available", "n_draw").filter("n_draw > 0"))
+    cohort = hash_top(
+        banded.join(sizes, "stratum"),
         by=["stratum"],
         hexed="_key",
         tie="sha256",
+        limit=F.col("n_draw"),
         digits=params.skew.hash_digits,
+        few_groups=True,
     )
-    # The report has one row per band.
-    sizes = F.broadcast(report.select("stratum", "pi", "n_available", "n_draw"))
-    cohort = placed.join(sizes, "stratum").filter(F.col("position") <= F.col("n_draw"))
-    return cohort.drop("_key", "position"), report
+    return cohort.drop("_key"), report
 
 
 def even_cell_draw(base: DataFrame, cells: list[str], per_cell: int, params: Params) -> DataFrame:
@@ -99,10 +101,10 @@ def even_cell_draw(base: DataFrame, cells: list[str], per_cell: int, params: Par
     sized = available.withColumn(
         "n_draw", F.least(F.col("n_available"), F.lit(per_cell).cast("bigint"))
     ).withColumn("pi", ratio(F.col("n_draw"), F.col("n_available")))
-    placed = hash_position(
-        keyed, by=cells, hexed="_key", tie="sha256", digits=params.skew.hash_digits
-    ).filter(F.col("position") <= per_cell)
-    return placed.join(sized, cells).drop("_key", "position")
+    drawn = hash_top(
+        keyed, by=cells, hexed="_key", tie="sha256", limit=per_cell, digits=params.skew.hash_digits
+    )
+    return drawn.join(sized, cells).drop("_key")
 
 
 def check_draw(cohort: DataFrame, report: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from ..functions.families import clean_family
 from ..functions.scalar import days_between, ratio, year_of
 from ..params import BELOW_FLOOR, Bands, Params
 from ..plans.ordering import exact_quantiles
+from ..plans.small import small_table
 from .draw import band, with_band
 from .labels import paired
 
@@ -23,7 +24,7 @@ LADDER = (90, 180, 365, 1000)  # fixed values: the horizon ladder in days
 def band_histogram(banded: DataFrame, params: Params) -> DataFrame:
     """Rows, share and target per band, and the largest cohort the band could fill."""
     rows = [(n, float(s)) for n, s in params.targets.items() if n in params.drawn] + [(BELOW_FLOOR, 0.0)]
-    targets = banded.sparkSession.createDataFrame(rows, "stratum string, target_share double")
+    targets = small_table(banded.sparkSession, rows, "stratum string, target_share double")
     counts = banded.groupBy("stratum").agg(F.count("*").alias("_n"))
     n = F.coalesce(F.col("_n"), F.lit(0))
     total = F.sum(n).over(Window.partitionBy())  # over one row per band
@@ -140,7 +141,7 @@ def realized_shares(cohort: DataFrame, params: Params) -> DataFrame:
     """Drawn share per band against its target, with pi checked against its own counts."""
     total = cohort.agg(F.count("*").alias("t")).scalar()
     rows = [(n, float(s)) for n, s in params.targets.items()]
-    targets = cohort.sparkSession.createDataFrame(rows, "stratum string, target_share double")
+    targets = small_table(cohort.sparkSession, rows, "stratum string, target_share double")
     per = cohort.groupBy("stratum").agg(
         F.count("*").alias("n_draw"), F.max("n_available").alias("n_available"), F.max("pi").alias("pi")
     )

@@ -67,12 +67,19 @@ def prefix_sums(
     order: Sequence[str | Column],
     sums: Mapping[str, str | Column],
     wholes: Mapping[str, str] | None = None,
+    keep: Column | None = None,
+    few_groups: bool = False,
     descending_buckets: bool = False,
 ) -> DataFrame:
     """Running sums (inclusive) of `sums` within `by`, in `order`; needs a bucket column.
 
     Rows must come bucketed by `hash_bucket` or `range_bucket` on the leading order column.
     `wholes` names extra columns for the group's whole sum: {output: name in sums}.
+
+    `keep` drops whole buckets before any row is shuffled. It may read, per sum, the columns
+    `_o_<sum>` (total before the bucket), `_t_<sum>` (total in it) and those of `wholes`.
+    With `few_groups`, groups are a small fixed domain (bands, slices): offsets are then at
+    most groups times buckets rows and are broadcast, so dropped rows never leave their task.
     """
     by = list(by)
     wholes = dict(wholes or {})
@@ -83,19 +90,21 @@ def prefix_sums(
     offsets = totals.select(
         *by,
         BUCKET,
+        *[f"_t_{n}" for n in values],
         *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in values],
         *[F.sum(f"_t_{n}").over(Window.partitionBy(*by)).alias(w) for w, n in wholes.items()],
     )
+    placed = df.join(F.broadcast(offsets) if few_groups else offsets, by + [BUCKET])
+    if keep is not None:
+        placed = placed.filter(keep)
     inside = (
         Window.partitionBy(*by, BUCKET)
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    local = df.select("*", *[F.sum(v).over(inside).alias(f"_l_{n}") for n, v in values.items()])
-    joined = local.join(offsets, by + [BUCKET])
-    return joined.select(
+    return placed.select(
         *[c for c in df.columns if c != BUCKET],
-        *[(F.col(f"_o_{n}") + F.col(f"_l_{n}")).alias(n) for n in values],
+        *[(F.col(f"_o_{n}") + F.sum(v).over(inside)).alias(n) for n, v in values.items()],
         *wholes,
     )
 
@@ -150,10 +159,37 @@ def hash_position(
     )
 
 
+def hash_top(
+    df: DataFrame,
+    *,
+    by: Sequence[str],
+    hexed: str,
+    tie: str,
+    limit: int | Column,
+    digits: int,
+    few_groups: bool = False,
+) -> DataFrame:
+    """The first `limit` rows of each group by (digest, tie); `limit` may be a column.
+
+    Bucket totals show which digest prefixes can still hold a wanted row; all other rows are
+    dropped before the shuffle, so a small draw from a huge table moves little more than it
+    keeps.
+    """
+    cut = F.lit(limit) if isinstance(limit, int) else limit
+    ranked = prefix_sums(
+        hash_bucket(df, hexed, digits),
+        by=by,
+        order=[hexed, tie],
+        sums={"_pos": F.lit(1).cast("bigint")},
+        keep=F.col("_o__pos") < cut,
+        few_groups=few_groups,
+    )
+    return ranked.filter(F.col("_pos") <= cut).drop("_pos")
+
+
 def hash_first_n(df: DataFrame, *, hexed: str, tie: str, n: int, digits: int) -> DataFrame:
-    """The first n rows by (digest, tie), found by bucket totals rather than one big sort."""
-    ranked = hash_position(df, by=[], hexed=hexed, tie=tie, digits=digits, out="_pos")
-    return ranked.filter(F.col("_pos") <= n).drop("_pos")
+    """The first n rows of a table by (digest, tie)."""
+    return hash_top(df, by=[], hexed=hexed, tie=tie, limit=n, digits=digits, few_groups=True)
 
 
 def exact_quantiles(
@@ -169,9 +205,16 @@ def exact_quantiles(
     interpolated, or with `discrete` the first value whose cumulative share reaches q.
 
     Equal values are collapsed first; then each quantile needs the values at two positions,
-    which are plain minima over the running counts.
+    which are plain minima over the running counts. Only the buckets holding such a position
+    are ordered. Groups must be a small domain, as bands are.
     """
     by = list(by)
+    before, within, size = F.col("_o__upto"), F.col("_t__upto"), F.col("_size")
+    wanted = F.lit(False)
+    for q in quantiles.values():
+        at = (size - 1) * F.lit(float(q))
+        # One position to either side covers both quantile definitions.
+        wanted |= (before <= F.ceil(at) + 1) & (before + within >= F.floor(at))
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
     running = prefix_sums(
         range_bucket(counts, value, buckets),
@@ -179,6 +222,8 @@ def exact_quantiles(
         order=[value],
         sums={"_upto": "_n"},
         wholes={"_size": "_upto"},
+        keep=wanted,
+        few_groups=True,
     )
     exprs = []
     for name, q in quantiles.items():
