@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import days_between
 from ..operators import features, forced, frame, labels, metrics, survey
 from ..sources import pages
+from ..sources.tables import ROSTER
 from .q_filters import ELIGIBLE
 from .q_sources import key_file, render_lines
 from .registry import query
@@ -122,11 +123,20 @@ def join11(s: Study) -> DataFrame:
     return s.matrix[0].select("sha256", "n_with_family", "modal_family", "n_unknown")
 
 
-@query("join12_column_alignment")
+def _aligned_sql() -> str:
+    known = ", ".join(
+        f"(count(*) FILTER (WHERE author = '{e}') > 0)::INT AS engine_{e}_responded,"
+        f" (count(*) FILTER (WHERE author = '{e}' AND verdict) > 0)::INT AS engine_{e}_malicious"
+        for e in ROSTER[:8]
+    )
+    absent = ", ".join(f"0 AS engine_{e}_responded, 0 AS engine_{e}_malicious" for e in ROSTER[8:])
+    return f"SELECT sha256, {known}, {absent} FROM long WHERE scan_role = 'feature' GROUP BY 1"
+
+
+@query("join12_column_alignment", _aligned_sql())
 def join12(s: Study) -> DataFrame:
-    roster = [f"eng_{i:02d}" for i in range(8)]
-    narrow = features.encode_verdicts(s.first_verdicts, roster)
-    return features.align(narrow, ["sha256", *features.flag_columns([f"eng_{i:02d}" for i in range(16)])])
+    narrow = features.encode_verdicts(s.first_verdicts, ROSTER[:8])
+    return features.align(narrow, ["sha256", *features.flag_columns(ROSTER)])
 
 
 def overlaid(s: Study) -> DataFrame:

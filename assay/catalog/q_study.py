@@ -227,14 +227,21 @@ def control_matrix(s: Study) -> DataFrame:
     return s.stage("control_matrix", build)
 
 
-@query("feat5_design_vectors")
+@query(
+    "feat5_design_vectors",
+    """SELECT c.sha256, 49::INT AS width, a.n_responded + a.n_malicious + a.n_responded + a.n_definite + a.n_malicious + a.n_benign + a.n_unknown + a.m_defined
+      + coalesce(a.m, 0) + a.malicious_share_responded + coalesce(a.bid_mean_malicious, 0) + coalesce(a.bid_mean_benign, 0)
+      + coalesce(f.n_with_family + f.n_distinct_families + f.n_specific + f.n_generic + f.n_pup + f.n_dual_use + f.modal_family_share, 0) AS total
+      FROM cohort c JOIN aggs a USING (sha256) LEFT JOIN families f USING (sha256)""",
+    doubles="total",
+)
 def feat5(s: Study) -> DataFrame:
     from pyspark.ml.functions import vector_to_array
 
     matrix, groups = s.matrix
     rows = models.vectors(matrix, groups["features_new"], ["sha256"])
     cells = vector_to_array("features")
-    return rows.select("sha256", F.size(cells).alias("width"), F.round(F.aggregate(cells, F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
+    return rows.select("sha256", F.size(cells).alias("width"), F.aggregate(cells, F.lit(0.0), lambda a, x: a + x).alias("total"))
 
 
 # ---------------------------------------------------------------- splits

@@ -15,7 +15,7 @@ MAX_ROSTER = 2_000  # the pair table grows with its square and must stay small
 
 
 def pair_sums(long: DataFrame, roster: Sequence[str]) -> DataFrame:
-    """Sums over scans both engines answered definitely, for every pair of engines.
+    """Sums over scans both engines answered definitely, for every pair that shares one.
 
     Each task multiplies its rows' flag vectors into one matrix per Arrow batch, so pairs are
     never emitted per scan: what is shuffled is a roster-squared table per batch.
@@ -55,6 +55,7 @@ def pair_sums(long: DataFrame, roster: Sequence[str]) -> DataFrame:
     return (
         partial.groupBy("i", "j")
         .agg(*[F.sum(c).cast("bigint").alias(c) for c in ("n_both", "mal_i", "mal_j", "mal_both")])
+        .filter(F.col("n_both") > 0)
         .select(
             F.get(names, F.col("i")).alias("engine_a"),
             F.get(names, F.col("j")).alias("engine_b"),
