@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Mapping
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +38,11 @@ def relative_floor(df: DataFrame, share: float) -> Column:
     return df.agg(F.percentile("n_definite", F.lit(0.5)).alias("p")).scalar() * F.lit(share)
 
 
-def _targets(spark: SparkSession, cells: Mapping[str, float], size: int, key: str) -> DataFrame:
-    rows = [(name, share, math.ceil(size * share)) for name, share in cells.items()]
-    return small_table(spark, rows, f"{key} string, target_share double, n_target bigint")
+def _targets(spark: SparkSession, params: Params) -> DataFrame:
+    """The share and row target of every band; the below-floor band wants none."""
+    shares = {**{name: params.targets[name] for name in params.drawn}, BELOW_FLOOR: 0.0}
+    rows = [(name, share, math.ceil(params.cohort_size * share)) for name, share in shares.items()]
+    return small_table(spark, rows, "stratum string, target_share double, n_target bigint")
 
 
 def draw_report(banded: DataFrame, params: Params) -> DataFrame:
@@ -50,10 +50,8 @@ def draw_report(banded: DataFrame, params: Params) -> DataFrame:
 
     The below-floor band is counted and never drawn.
     """
-    shares = {name: params.targets[name] for name in params.drawn}
-    targets = _targets(banded.sparkSession, {**shares, BELOW_FLOOR: 0.0}, params.cohort_size, "stratum")
     available = banded.groupBy("stratum").agg(F.count("*").alias("_n"))
-    joined = targets.join(available, "stratum", "left")
+    joined = _targets(banded.sparkSession, params).join(available, "stratum", "left")
     n = F.coalesce(F.col("_n"), F.lit(0))
     drawn = F.least(n, F.col("n_target"))
     return joined.select(
@@ -67,6 +65,11 @@ def draw_report(banded: DataFrame, params: Params) -> DataFrame:
     )
 
 
+def _with_pi(drawn: DataFrame, wanted: Column) -> DataFrame:
+    taken = drawn.withColumn("n_draw", F.least(F.col("n_available"), wanted))
+    return taken.withColumn("pi", ratio(F.col("n_draw"), F.col("n_available")))
+
+
 def stratified_draw(base: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
     """(cohort, report). A band short of its target is taken whole and reported so.
 
@@ -75,36 +78,34 @@ def stratified_draw(base: DataFrame, params: Params) -> tuple[DataFrame, DataFra
     """
     if "stratum" in base.columns:
         raise ValueError("bands are computed at draw time; the base must not carry one")
-    banded = with_band(base, params.bands).withColumn("_key", hash_key("sha256", params.seed))
-    report = draw_report(banded, params)
-    # The report has one row per band.
-    sizes = F.broadcast(report.select("stratum", "pi", "n_available", "n_draw").filter("n_draw > 0"))
+    banded = with_band(base, params.bands)
+    # One row per band.
+    targets = F.broadcast(_targets(base.sparkSession, params).filter("n_target > 0").drop("target_share"))
     cohort = hash_top(
-        banded.join(sizes, "stratum"),
+        banded.withColumn("_key", hash_key("sha256", params.seed)).join(targets, "stratum"),
         by=["stratum"],
         hexed="_key",
         tie="sha256",
-        limit=F.col("n_draw"),
+        limit=F.col("n_target"),
         digits=params.skew.hash_digits,
+        size="n_available",
         few_groups=True,
     )
-    return cohort.drop("_key"), report
+    return _with_pi(cohort, F.col("n_target")).drop("_key", "n_target"), draw_report(banded, params)
 
 
 def even_cell_draw(base: DataFrame, cells: list[str], per_cell: int, params: Params) -> DataFrame:
-    """A draw of the same size from every cell of `cells`, pi per cell.
-
-    The number of cells follows the data (eras times bands), so it is joined, not listed.
-    """
-    keyed = base.withColumn("_key", hash_key("sha256", params.seed))
-    available = base.groupBy(*cells).agg(F.count("*").alias("n_available"))
-    sized = available.withColumn(
-        "n_draw", F.least(F.col("n_available"), F.lit(per_cell).cast("bigint"))
-    ).withColumn("pi", ratio(F.col("n_draw"), F.col("n_available")))
+    """A draw of the same size from every cell of `cells` (eras times bands), pi per cell."""
     drawn = hash_top(
-        keyed, by=cells, hexed="_key", tie="sha256", limit=per_cell, digits=params.skew.hash_digits
+        base.withColumn("_key", hash_key("sha256", params.seed)),
+        by=cells,
+        hexed="_key",
+        tie="sha256",
+        limit=per_cell,
+        digits=params.skew.hash_digits,
+        size="n_available",
     )
-    return drawn.join(sized, cells).drop("_key")
+    return _with_pi(drawn, F.lit(per_cell).cast("bigint")).drop("_key")
 
 
 def check_draw(cohort: DataFrame, report: DataFrame) -> DataFrame:

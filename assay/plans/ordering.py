@@ -167,10 +167,13 @@ def hash_top(
     tie: str,
     limit: int | Column,
     digits: int,
+    size: str | None = None,
     few_groups: bool = False,
 ) -> DataFrame:
     """The first `limit` rows of each group by (digest, tie); `limit` may be a column.
 
+    `size` names a column for the group's whole row count.
+
     Bucket totals show which digest prefixes can still hold a wanted row; all other rows are
     dropped before the shuffle, so a small draw from a huge table moves little more than it
     keeps.
@@ -181,6 +184,7 @@ def hash_top(
         by=by,
         order=[hexed, tie],
         sums={"_pos": F.lit(1).cast("bigint")},
+        wholes={size: "_pos"} if size else None,
         keep=F.col("_o__pos") < cut,
         few_groups=few_groups,
     )

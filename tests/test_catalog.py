@@ -33,6 +33,8 @@ def _rows(columns, names, rows):
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_oracle(spark, tables, name):
     df = QUERIES[name](spark, FOLDER)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     columns = sorted(df.columns)
     found = tables.execute(ORACLES[name])
     names = [d[0] for d in found.description]
