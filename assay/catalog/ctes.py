@@ -68,7 +68,7 @@ CTES: dict[str, str] = {
         count(*) AS n_responded FROM verdicts GROUP BY 1""",
     "scored": """SELECT s.*, c.n_definite, c.n_malicious, c.n_responded FROM scans s JOIN counts c ON c.instance_number = s.number""",
     "frame": """SELECT sha256, number AS instance_number, completed AS scoring_moment, scan_config,
-        incumbent_score AS incumbent_polyscore, n_definite, n_malicious, n_responded
+        incumbent_score AS incumbent_score, n_definite, n_malicious, n_responded
         FROM (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY completed, number) AS rn FROM scored) WHERE rn = 1""",
     "nearest": """SELECT sha256, label_instance_number, label_moment, gap_days, l_definite, l_malicious, l_responded FROM (
         SELECT f.sha256, s.number AS label_instance_number, s.completed AS label_moment,
@@ -142,7 +142,7 @@ CTES: dict[str, str] = {
         (count(*) FILTER (WHERE verdict))::DOUBLE / count(*) AS malicious_share_responded,
         avg(bid) FILTER (WHERE verdict) AS bid_mean_malicious, avg(bid) FILTER (WHERE NOT verdict) AS bid_mean_benign
         FROM long WHERE scan_role = 'feature' GROUP BY 1""",
-    "split_input": """SELECT l.*, c.incumbent_polyscore, c.n_malicious AS t_malicious, c.n_definite AS t_definite, f.modal_family,
+    "split_input": """SELECT l.*, c.incumbent_score, c.n_malicious AS t_malicious, c.n_definite AS t_definite, f.modal_family,
         coalesce(nullif(f.modal_family, ''), l.sha256) AS "group"
         FROM labelled_cohort l JOIN cohort c ON c.sha256 = l.sha256 LEFT JOIN families f ON f.sha256 = l.sha256""",
     "groups_": """SELECT "group", min(scoring_moment) AS first, count(*) AS size FROM split_input WHERE trainable GROUP BY 1""",

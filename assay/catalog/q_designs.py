@@ -79,7 +79,7 @@ def spec4(s: Study) -> DataFrame:
     "spec5_auc_by_era_gap",
     f"SELECT gap, n, auc_raw, auc_weighted FROM ({slice_auc('era_rows', 'gap')})",
     doubles="auc_raw auc_weighted",
-    era_rows="""SELECT (month(c.scoring_moment) - 1)::INT AS gap, l.y, 1 / l.pi AS w, coalesce(c.incumbent_polyscore, 0) AS score
+    era_rows="""SELECT (month(c.scoring_moment) - 1)::INT AS gap, l.y, 1 / l.pi AS w, coalesce(c.incumbent_score, 0) AS score
         FROM cohort c JOIN labelled_cohort l USING (sha256) WHERE trainable""",
 )
 def spec5(s: Study) -> DataFrame:
@@ -88,7 +88,7 @@ def spec5(s: Study) -> DataFrame:
         (F.month("scoring_moment") - 1).alias("gap"),
         "y",
         (1 / F.col("pi")).alias("w"),
-        F.coalesce("incumbent_polyscore", F.lit(0.0)).alias("score"),
+        F.coalesce("incumbent_score", F.lit(0.0)).alias("score"),
     )
     found = metrics.roc_auc(rows, "score", "y", s.params.skew, by=["gap"], weight="w")
     return found.select("gap", "n", "auc_raw", "auc_weighted")
@@ -165,9 +165,9 @@ def spec9(s: Study) -> DataFrame:
 
 @query(
     "spec10_output_rules",
-    """SELECT key, CASE WHEN stratum = 'de' THEN 0.0 WHEN stratum = 'fr' THEN 0.1 WHEN prob < 0.33 THEN 0.33 ELSE prob END AS polyscore,
+    """SELECT key, CASE WHEN stratum = 'de' THEN 0.0 WHEN stratum = 'fr' THEN 0.1 WHEN prob < 0.33 THEN 0.33 ELSE prob END AS combined_score,
       CASE WHEN stratum = 'de' THEN 'trusted_source' WHEN stratum = 'fr' THEN 'vendor_signed' WHEN prob < 0.33 THEN 'unsigned_floor' END AS rule FROM quality_""",
-    doubles="polyscore",
+    doubles="combined_score",
 )
 def spec10(s: Study) -> DataFrame:
     ruled = signals.output_rules(F.col("prob"), F.col("stratum") == "de", F.col("stratum") == "fr")
@@ -345,9 +345,9 @@ def spec23(s: Study) -> DataFrame:
 @query(
     "spec24_coverage_gate",
     """SELECT sha256, CASE WHEN n_definite >= 3 THEN 'scored' ELSE 'insufficient evidence' END AS status,
-      CASE WHEN n_definite >= 3 THEN incumbent_polyscore END AS polyscore FROM labelled""",
-    doubles="polyscore",
+      CASE WHEN n_definite >= 3 THEN incumbent_score END AS combined_score FROM labelled""",
+    doubles="combined_score",
 )
 def spec24(s: Study) -> DataFrame:
-    gated = signals.coverage_gate(F.col("incumbent_polyscore"), F.col("n_definite"), 3)
+    gated = signals.coverage_gate(F.col("incumbent_score"), F.col("n_definite"), 3)
     return s.labelled.select("sha256", gated.alias("g")).select("sha256", "g.*")

@@ -120,13 +120,13 @@ def flt11(s: Study) -> DataFrame:
 
 @query(
     "flt12_as_of_guard",
-    """SELECT reason, count(*) AS n FROM (SELECT CASE WHEN name IN ('tags', 'polyscore') THEN 'regenerated'
+    """SELECT reason, count(*) AS n FROM (SELECT CASE WHEN name IN ('tags', 'combined_score') THEN 'regenerated'
       WHEN name IN ('pi', 'stratum') THEN 'bookkeeping' WHEN as_of > scoring_moment THEN 'late' END AS reason
-      FROM (SELECT CASE number % 6 WHEN 0 THEN 'tags' WHEN 1 THEN 'pi' WHEN 2 THEN 'polyscore' WHEN 3 THEN 'stratum' ELSE 'n_malicious' END AS name,
+      FROM (SELECT CASE number % 6 WHEN 0 THEN 'tags' WHEN 1 THEN 'pi' WHEN 2 THEN 'combined_score' WHEN 3 THEN 'stratum' ELSE 'n_malicious' END AS name,
         s.completed AS as_of, f.scoring_moment FROM scans s JOIN frame f USING (sha256))) WHERE reason IS NOT NULL GROUP BY 1""",
 )
 def flt12(s: Study) -> DataFrame:
-    names = F.array(*[F.lit(n) for n in ("tags", "pi", "polyscore", "stratum", "n_malicious", "n_malicious")])
+    names = F.array(*[F.lit(n) for n in ("tags", "pi", "combined_score", "stratum", "n_malicious", "n_malicious")])
     fields = s.scans.join(s.labelled.select("sha256", "scoring_moment"), "sha256").select(
         F.get(names, (F.col("number") % 6).cast("int")).alias("name"), F.col("completed").alias("as_of"), "scoring_moment"
     )

@@ -107,7 +107,7 @@ _UNIFORM = "('0x' || substr(md5('random:' || sha256 || '20260922'), 1, 8))::BIGI
     slice_auc("stacked", "score_name, slice"),
     doubles="auc_raw auc_weighted",
     scored_="""SELECT *, [0.5::DOUBLE, (u < (SELECT avg(y) FROM split_ WHERE fold = 'train'))::INT, t_malicious, coalesce(t_malicious / nullif(t_definite, 0), 0),
-        coalesce(incumbent_polyscore, 0)] AS scores FROM (SELECT *, """ + _UNIFORM + """ AS u FROM split_ WHERE fold = 'validate' AND NOT in_gap)""",
+        coalesce(incumbent_score, 0)] AS scores FROM (SELECT *, """ + _UNIFORM + """ AS u FROM split_ WHERE fold = 'validate' AND NOT in_gap)""",
     sliced_="SELECT y, 1 / pi AS w, scores, " + _SLICES + " FROM scored_",
     stacked="""SELECT y, w, slice, unnest(['1_constant', '2_prevalence_random', '3_engine_count', '3b_engine_share', '4_incumbent']) AS score_name,
         unnest(scores) AS score FROM sliced_""",
@@ -120,7 +120,7 @@ def ml8(s: Study) -> DataFrame:
         "2_prevalence_random": (u < train_rate).cast("int"),
         "3_engine_count": F.col("t_malicious"),
         "3b_engine_share": F.coalesce(ratio(F.col("t_malicious"), F.col("t_definite")), F.lit(0.0)),
-        "4_incumbent": F.coalesce("incumbent_polyscore", F.lit(0.0)),
+        "4_incumbent": F.coalesce("incumbent_score", F.lit(0.0)),
     }
     validate = s.split.filter((F.col("fold") == "validate") & ~F.col("in_gap"))
     return metrics.metrics_table(validate, scores, s.params.skew)
@@ -158,9 +158,9 @@ def _signals(s: Study) -> DataFrame:
     return s.quality.withColumn("vendor", F.when(F.col("stratum") == "en", 1))
 
 
-@query("cal4_combiner", f"SELECT key, 1 / (1 + exp(-({_TOTAL}))) AS polyscore FROM quality_", doubles="polyscore")
+@query("cal4_combiner", f"SELECT key, 1 / (1 + exp(-({_TOTAL}))) AS combined_score FROM quality_", doubles="combined_score")
 def cal4(s: Study) -> DataFrame:
-    return calibrate.combine(_signals(s), "prob", WEIGHTS).select("key", "polyscore")
+    return calibrate.combine(_signals(s), "prob", WEIGHTS).select("key", "combined_score")
 
 
 @query(
@@ -286,18 +286,18 @@ _PLACED = """SELECT *, CASE WHEN pos <= round_even(0.6 * t, 0) THEN 'train' WHEN
       FROM ({slice_auc('both_', 'variant')})""",
     doubles="grouped random gap",
     placed_=_PLACED,
-    both_="""SELECT 'grouped' AS variant, y, 1 / pi AS w, incumbent_polyscore AS score FROM placed_ WHERE fold = 'validate'
-      UNION ALL SELECT 'random', y, 1 / pi, incumbent_polyscore FROM placed_ WHERE random = 'validate'""",
+    both_="""SELECT 'grouped' AS variant, y, 1 / pi AS w, incumbent_score AS score FROM placed_ WHERE fold = 'validate'
+      UNION ALL SELECT 'random', y, 1 / pi, incumbent_score FROM placed_ WHERE random = 'validate'""",
 )
 def met8(s: Study) -> DataFrame:
-    kept = s.split.filter(~F.col("in_gap")).select("sha256", "fold", "y", "pi", "incumbent_polyscore")
+    kept = s.split.filter(~F.col("in_gap")).select("sha256", "fold", "y", "pi", "incumbent_score")
     placed = s.stage("random_places", lambda: splits.random_split(kept, s.params))
     variants = F.array_compact(
         F.array(
             F.when(F.col("fold") == "validate", F.lit("grouped")), F.when(F.col("fold_random") == "validate", F.lit("random"))
         )
     )
-    rows = placed.select("y", (1 / F.col("pi")).alias("w"), F.col("incumbent_polyscore").alias("score"), F.explode(variants).alias("variant"))
+    rows = placed.select("y", (1 / F.col("pi")).alias("w"), F.col("incumbent_score").alias("score"), F.explode(variants).alias("variant"))
     found = metrics.roc_auc(rows, "score", "y", s.params.skew, by=["variant"], weight="w")
     grouped = F.max(F.when(F.col("variant") == "grouped", F.col("auc_weighted")))
     random = F.max(F.when(F.col("variant") == "random", F.col("auc_weighted")))

@@ -96,7 +96,7 @@ def page_lines(s: Study) -> DataFrame:
         return F.struct(
             b["number"].alias("artifact_instance_id"),
             F.concat(F.date_format(b["completed"], "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00")).alias("created"),
-            b["incumbent_score"].alias("polyscore"),
+            b["incumbent_score"].alias("score"),
             F.struct(
                 b["n_malicious"].alias("malicious"),
                 (b["n_definite"] - b["n_malicious"]).alias("benign"),
@@ -120,14 +120,14 @@ def page_lines(s: Study) -> DataFrame:
 
 
 SLICE_SQL = """SELECT f.sha256, (f.instance_number % 1000 * 1000) AS size, 'application/x-dosexec' AS mimetype,
-    f.instance_number AS first_instance, f.scoring_moment AS first_created, f.incumbent_polyscore AS first_polyscore, f.n_malicious AS first_malicious,
+    f.instance_number AS first_instance, f.scoring_moment AS first_created, f.incumbent_score AS first_score, f.n_malicious AS first_malicious,
     f.n_definite - f.n_malicious AS first_benign, f.n_definite AS first_definite, f.n_responded AS first_responded,
     l.number AS latest_instance, l.completed AS latest_created, l.n_malicious AS latest_malicious,
     l.n_definite - l.n_malicious AS latest_benign, l.n_definite AS latest_definite, l.n_responded AS latest_responded
     FROM frame f JOIN (SELECT *, row_number() OVER (PARTITION BY sha256 ORDER BY completed DESC, number DESC) AS rn FROM scored) l
       ON l.sha256 = f.sha256 AND l.rn = 1"""
 SLICE_COLUMNS = ["sha256", "size", "mimetype"] + [
-    f"first_{c}" for c in ("instance", "created", "polyscore", "malicious", "benign", "definite", "responded")
+    f"first_{c}" for c in ("instance", "created", "score", "malicious", "benign", "definite", "responded")
 ] + [f"latest_{c}" for c in ("instance", "created", "malicious", "benign", "definite", "responded")]
 
 
@@ -135,7 +135,7 @@ def slice_of(s: Study) -> DataFrame:
     return pages.parse_pages(page_lines(s)).select(*SLICE_COLUMNS)
 
 
-@query("src6_json_pages", SLICE_SQL, doubles="first_polyscore")
+@query("src6_json_pages", SLICE_SQL, doubles="first_score")
 def src6(s: Study) -> DataFrame:
     path = new_path(s.spark, "pages")
     page_lines(s).write.text(path)
@@ -179,7 +179,7 @@ def render_lines(s: Study) -> DataFrame:
                 "state",
                 (F.col("state") != "P").alias("window_closed"),
                 (F.col("number") % 31 == 0).alias("failed"),
-                F.col("incumbent_score").alias("polyscore"),
+                F.col("incumbent_score").alias("score"),
                 "assertions",
             )
         ).alias("value")

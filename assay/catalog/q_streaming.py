@@ -36,9 +36,9 @@ _P = "((c_custkey % 89 + 1) / 100.0::DOUBLE)"
 @query(
     "str2_late_rescore",
     f"""SELECT event_id AS signal_id, user_id, event_type AS type, {_P} AS first_score,
-      1 / (1 + exp(-({logit_sql(_P)} + CASE event_type WHEN 'error' THEN 1.84 WHEN 'purchase' THEN -0.7 ELSE 0 END))) AS polyscore
+      1 / (1 + exp(-({logit_sql(_P)} + CASE event_type WHEN 'error' THEN 1.84 WHEN 'purchase' THEN -0.7 ELSE 0 END))) AS combined_score
       FROM events JOIN customer ON c_custkey = user_id WHERE ts > TIMESTAMP '2024-01-10'""",
-    doubles="first_score polyscore",
+    doubles="first_score combined_score",
 )
 def str2(s: Study) -> DataFrame:
     signals = _events(s).select(
@@ -54,7 +54,7 @@ def str2(s: Study) -> DataFrame:
     flows.rescore_stream(
         replayed, scores, {"error": 1.84, "purchase": -0.7}, key="user_id", delay="1 hour", out=out, checkpoint=state
     ).awaitTermination()
-    return s.spark.read.parquet(out).select("signal_id", "user_id", "type", "first_score", "polyscore")
+    return s.spark.read.parquet(out).select("signal_id", "user_id", "type", "first_score", "combined_score")
 
 
 @query(

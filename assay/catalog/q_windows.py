@@ -15,8 +15,8 @@ from .study import Study
 
 @query(
     "win1_first_row_per_key",
-    "SELECT sha256, instance_number, scoring_moment, scan_config, incumbent_polyscore FROM frame",
-    doubles="incumbent_polyscore",
+    "SELECT sha256, instance_number, scoring_moment, scan_config, incumbent_score FROM frame",
+    doubles="incumbent_score",
 )
 def win1(s: Study) -> DataFrame:
     return frame.first_seen(s.scored)

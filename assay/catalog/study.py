@@ -131,7 +131,7 @@ class Study:
         modal = features.family_scalars(self.first_verdicts).select("sha256", "modal_family")
         counts = self.cohort.select(
             "sha256",
-            "incumbent_polyscore",
+            "incumbent_score",
             F.col("n_malicious").alias("t_malicious"),
             F.col("n_definite").alias("t_definite"),
         )

@@ -32,12 +32,12 @@ def coverage_tier(families: dict[str, Column]) -> Column:
 
 
 def output_rules(score: Column, trusted: Column, vendor_signed: Column) -> Column:
-    """struct(polyscore, rule): attested files are pinned, unsigned ones have a floor of 0.33."""
+    """struct(combined_score, rule): attested files are pinned, unsigned ones have a floor of 0.33."""
     yes, signed = F.coalesce(trusted, F.lit(False)), F.coalesce(vendor_signed, F.lit(False))
 
     def out(value: Column | float, rule: str | None) -> Column:
         number = F.lit(value) if isinstance(value, float) else value
-        return F.struct(number.alias("polyscore"), F.lit(rule).cast("string").alias("rule"))
+        return F.struct(number.alias("combined_score"), F.lit(rule).cast("string").alias("rule"))
 
     return (
         F.when(yes, out(0.0, "trusted_source"))
@@ -48,11 +48,11 @@ def output_rules(score: Column, trusted: Column, vendor_signed: Column) -> Colum
 
 
 def coverage_gate(score: Column, n_definite: Column, floor: int) -> Column:
-    """struct(status, polyscore): too few answers means no score at all."""
+    """struct(status, combined_score): too few answers means no score at all."""
     enough = F.coalesce(n_definite, F.lit(0)) >= floor
     return F.struct(
         F.when(enough, "scored").otherwise("insufficient evidence").alias("status"),
-        F.when(enough, score).alias("polyscore"),
+        F.when(enough, score).alias("combined_score"),
     )
 
 

@@ -23,12 +23,12 @@ BELOW_FLOOR = "below_floor"
 # Names that may never be used as model inputs, because they are overwritten
 # after the scoring moment, or because they describe how a row was drawn.
 LATE_FIELDS = (
-    "polyunite",
+    "family_rollup",
     "detections",
     "tags",
     "families",
-    "polyscore",
-    "incumbent_polyscore",
+    "combined_score",
+    "incumbent_score",
 )
 DRAW_FIELDS = ("stratum", "pi", "provenance")
 

@@ -20,7 +20,7 @@ _SCAN_BLOCK = T.StructType(
     [
         T.StructField("artifact_instance_id", T.LongType()),
         T.StructField("created", T.StringType()),
-        T.StructField("polyscore", T.DoubleType()),
+        T.StructField("score", T.DoubleType()),
         T.StructField(
             "detections",
             T.StructType(
@@ -88,7 +88,7 @@ RENDER = T.StructType(
         T.StructField("state", T.StringType()),
         T.StructField("window_closed", T.BooleanType()),
         T.StructField("failed", T.BooleanType()),
-        T.StructField("polyscore", T.DoubleType()),
+        T.StructField("score", T.DoubleType()),
         T.StructField("result", T.BooleanType()),
         T.StructField(
             "assertions",

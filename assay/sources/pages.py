@@ -25,7 +25,7 @@ def _scan_block(prefix: str, scan: Column) -> list[Column]:
     return [
         scan["artifact_instance_id"].alias(f"{prefix}_instance"),
         iso_moment(scan["created"]).alias(f"{prefix}_created"),
-        scan["polyscore"].alias(f"{prefix}_polyscore"),
+        scan["score"].alias(f"{prefix}_score"),
         scan["detections"]["malicious"].alias(f"{prefix}_malicious"),
         scan["detections"]["benign"].alias(f"{prefix}_benign"),
         scan["detections"]["total"].alias(f"{prefix}_definite"),
@@ -86,7 +86,7 @@ def render_rows(renders: DataFrame) -> DataFrame:
         F.coalesce("window_closed", F.lit(False)).alias("window_closed"),
         F.coalesce("failed", F.lit(False)).alias("failed"),
         F.lit(False).alias("missing"),
-        "polyscore",
+        "score",
         F.coalesce(F.size("assertions"), F.lit(0)).alias("n_assertions"),
     )
 

@@ -69,7 +69,7 @@ def rescore_stream(
         "type",
         F.col("observed_at").alias("scored_at"),
         F.col("probability").alias("first_score"),
-        sigmoid(logit(F.col("probability")) + weight).alias("polyscore"),
+        sigmoid(logit(F.col("probability")) + weight).alias("combined_score"),
     )
     return (
         observed.writeStream.format("parquet")

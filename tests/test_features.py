@@ -92,7 +92,7 @@ def test_static_block_needs_an_instant_and_is_checked_per_row(spark, cohort, lon
         merge_static(cohort, static.drop("pe_as_of"))
 
 
-@pytest.mark.parametrize("name", ["polyunite", "tags", "polyscore", "stratum", "pi", "provenance"])
+@pytest.mark.parametrize("name", ["family_rollup", "tags", "combined_score", "stratum", "pi", "provenance"])
 def test_refused_names(name):
     with pytest.raises(checks.AsOfError):
         checks.refuse_names(["n_malicious", name])
