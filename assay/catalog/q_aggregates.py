@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import ratio
 from ..operators import checks, features, forced, frame, labels, splits, survey
 from ..sources.tables import ROSTER
 from .ctes import band_sql
@@ -297,7 +296,7 @@ def agg23(s: Study) -> DataFrame:
     slice=SLICE_SQL,
 )
 def agg23_prefix(s: Study) -> DataFrame:
-    rows = survey._slice_columns(slice_of(s))
+    rows = survey.slice_columns(slice_of(s))
     good = survey.labellable_at(30, 1000, F.col("_gap"), F.col("_rescanned"), F.col("_ldef"))
     bands = rows.filter(good).select(
         F.col("first_malicious").alias("n_malicious"), F.col("first_definite").alias("n_definite")

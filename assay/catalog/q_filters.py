@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import days_between, provenance_of, scan_action
+from ..functions.scalar import provenance_of, scan_action
 from ..operators import checks, forced, frame, survey
 from ..sources import pages
 from .q_sources import SLICE_SQL, slice_of

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import days_between
 from ..operators import features, forced, frame, labels, metrics, survey
 from ..sources import pages
 from ..sources.tables import ROSTER

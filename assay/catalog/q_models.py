@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import logit, ratio
-from ..operators import calibrate, labels, metrics, models, splits
+from ..operators import calibrate, metrics, models, splits
 from ..operators.metrics import _POISSON
 from ..plans.ordering import hash_key, hash_uniform
 from .ctes import logit_sql

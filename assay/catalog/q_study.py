@@ -7,8 +7,7 @@ from dataclasses import replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import ratio
-from ..operators import checks, draw, features, forced, frame, labels, models, splits
+from ..operators import draw, features, forced, frame, labels, models, splits
 from ..sources import pages
 from ..sources.tables import ROSTER, artifact_key
 from .q_aggregates import _flags_sql

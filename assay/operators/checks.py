@@ -18,10 +18,10 @@ class CheckError(ValueError):
     """A boundary check found violations."""
 
 
-def refuse_names(names: Iterable[str]) -> None:
+def refuse_names(names: Iterable[str], late_fields: Iterable[str] = LATE_FIELDS) -> None:
     """Refuse fields that are overwritten later, or that describe the draw."""
     given = set(names)
-    late, drawn = sorted(given & set(LATE_FIELDS)), sorted(given & set(DRAW_FIELDS))
+    late, drawn = sorted(given & set(late_fields)), sorted(given & set(DRAW_FIELDS))
     if late:
         raise AsOfError(f"fields are regenerated in place and cannot be features: {late}")
     if drawn:

@@ -201,7 +201,8 @@ def labellable_at(
     return rescanned & (gap >= horizon_days) & (gap < horizon_max_days) & (latest_definite > 0)
 
 
-def _slice_columns(df: DataFrame) -> DataFrame:
+def slice_columns(df: DataFrame) -> DataFrame:
+    """A slice with its counts filled, gap in days, and whether a later scan exists."""
     return df.select(
         "*",
         F.coalesce(F.col("first_definite"), F.lit(0)).alias("_def"),
@@ -220,7 +221,7 @@ def slice_ladder(df: DataFrame, horizon_days: int, pi: float, ladder: Sequence[i
     def good(limit: int) -> Column:
         return labellable_at(horizon_days, limit, F.col("_gap"), F.col("_rescanned"), F.col("_ldef"))
 
-    one = _slice_columns(df).agg(
+    one = slice_columns(df).agg(
         F.count("*").alias("_all"), *[F.count_if(good(h)).alias(str(h)) for h in rungs]
     )
     return one.unpivot(["_all"], [str(h) for h in rungs], "hmax", "labellable").select(
@@ -233,7 +234,7 @@ def slice_ladder(df: DataFrame, horizon_days: int, pi: float, ladder: Sequence[i
 
 def slice_survey(df: DataFrame, pi: float) -> DataFrame:
     """Unscanned, scanned and rescanned files of a slice, in one pass."""
-    columns = _slice_columns(df)
+    columns = slice_columns(df)
     unscanned = F.col("_def") == 0
     return columns.agg(
         F.count("*").alias("documents"),

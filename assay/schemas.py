@@ -16,70 +16,44 @@ VERDICT = T.StructType(
     ]
 )
 
-_SCAN_BLOCK = T.StructType(
-    [
-        T.StructField("artifact_instance_id", T.LongType()),
-        T.StructField("created", T.StringType()),
-        T.StructField("score", T.DoubleType()),
-        T.StructField(
-            "detections",
-            T.StructType(
-                [
-                    T.StructField("malicious", T.LongType()),
-                    T.StructField("benign", T.LongType()),
-                    T.StructField("total", T.LongType()),
-                ]
-            ),
-        ),
-        T.StructField(
-            "assertions",
-            T.MapType(
-                T.StringType(),
-                T.StructType(
-                    [
-                        T.StructField("verdict", T.BooleanType()),
-                        T.StructField("malware_family", T.StringType()),
-                    ]
-                ),
-            ),
-        ),
-    ]
-)
 
-PAGE = T.StructType(
-    [
-        T.StructField(
-            "result",
-            T.ArrayType(
-                T.StructType(
-                    [
-                        T.StructField(
-                            "artifact",
-                            T.StructType(
-                                [
-                                    T.StructField("sha256", T.StringType()),
-                                    T.StructField("created", T.StringType()),
-                                    T.StructField("size", T.LongType()),
-                                ]
-                            ),
-                        ),
-                        T.StructField(
-                            "scan",
-                            T.StructType(
-                                [
-                                    T.StructField("mimetype", T.StringType()),
-                                    T.StructField("first_scan", _SCAN_BLOCK),
-                                    T.StructField("latest_scan", _SCAN_BLOCK),
-                                ]
-                            ),
-                        ),
-                    ]
-                )
-            ),
-        ),
-        T.StructField("next", T.StringType()),
-    ]
-)
+def page_schema(score_field: str = "score") -> T.StructType:
+    """An index page: documents with an artifact, its first scan and its latest scan.
+
+    `score_field` is what the landed JSON calls the score of a scan.
+    """
+    counts = T.StructType([T.StructField(c, T.LongType()) for c in ("malicious", "benign", "total")])
+    answer = T.StructType(
+        [T.StructField("verdict", T.BooleanType()), T.StructField("malware_family", T.StringType())]
+    )
+    scan = T.StructType(
+        [
+            T.StructField("artifact_instance_id", T.LongType()),
+            T.StructField("created", T.StringType()),
+            T.StructField(score_field, T.DoubleType()),
+            T.StructField("detections", counts),
+            T.StructField("assertions", T.MapType(T.StringType(), answer)),
+        ]
+    )
+    artifact = T.StructType(
+        [
+            T.StructField("sha256", T.StringType()),
+            T.StructField("created", T.StringType()),
+            T.StructField("size", T.LongType()),
+        ]
+    )
+    scans = T.StructType(
+        [
+            T.StructField("mimetype", T.StringType()),
+            T.StructField("first_scan", scan),
+            T.StructField("latest_scan", scan),
+        ]
+    )
+    document = T.StructType([T.StructField("artifact", artifact), T.StructField("scan", scans)])
+    return T.StructType(
+        [T.StructField("result", T.ArrayType(document)), T.StructField("next", T.StringType())]
+    )
+
 
 RENDER = T.StructType(
     [

@@ -6,26 +6,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import safe_long
-from ..schemas import PAGE, RENDER
+from ..schemas import RENDER, page_schema
 
 
-def read_pages(spark: SparkSession, path: str) -> DataFrame:
+def read_pages(spark: SparkSession, path: str, score_field: str = "score") -> DataFrame:
     """One row per document of the pages in a folder, read with a fixed schema."""
-    return flatten_pages(spark.read.schema(PAGE).json(path))
+    return flatten_pages(spark.read.schema(page_schema(score_field)).json(path), score_field)
 
 
-def parse_pages(lines: DataFrame, column: str = "value") -> DataFrame:
-    return flatten_pages(lines.select(F.from_json(column, PAGE).alias("p")).select("p.*"))
+def parse_pages(lines: DataFrame, column: str = "value", score_field: str = "score") -> DataFrame:
+    parsed = lines.select(F.from_json(column, page_schema(score_field)).alias("p"))
+    return flatten_pages(parsed.select("p.*"), score_field)
 
 
-def _scan_block(prefix: str, scan: Column) -> list[Column]:
+def _scan_block(prefix: str, scan: Column, score_field: str) -> list[Column]:
     verdict_map = scan["assertions"]
     # Sorted by key, so equal maps give equal text; NULL when there are none.
     ordered = F.map_from_entries(F.array_sort(F.map_entries(verdict_map)))
     return [
         scan["artifact_instance_id"].alias(f"{prefix}_instance"),
         iso_moment(scan["created"]).alias(f"{prefix}_created"),
-        scan["score"].alias(f"{prefix}_score"),
+        scan[score_field].alias(f"{prefix}_score"),
         scan["detections"]["malicious"].alias(f"{prefix}_malicious"),
         scan["detections"]["benign"].alias(f"{prefix}_benign"),
         scan["detections"]["total"].alias(f"{prefix}_definite"),
@@ -49,7 +50,7 @@ def iso_moment(text: Column) -> Column:
     return F.nullif(body, F.lit("")).try_cast("timestamp_ntz") + F.make_dt_interval(mins=shift)
 
 
-def flatten_pages(pages: DataFrame) -> DataFrame:
+def flatten_pages(pages: DataFrame, score_field: str = "score") -> DataFrame:
     """Each document as the artifact, its first scan and its latest scan."""
     docs = pages.select(F.explode("result").alias("d"))
     art, scan = F.col("d.artifact"), F.col("d.scan")
@@ -58,8 +59,8 @@ def flatten_pages(pages: DataFrame) -> DataFrame:
         iso_moment(art["created"]).alias("artifact_created"),
         art["size"].alias("size"),
         scan["mimetype"].alias("mimetype"),
-        *_scan_block("first", scan["first_scan"]),
-        *_scan_block("latest", scan["latest_scan"]),
+        *_scan_block("first", scan["first_scan"], score_field),
+        *_scan_block("latest", scan["latest_scan"], score_field),
     )
 
 

@@ -132,7 +132,7 @@ def test_late_signals_append_and_repeats_are_dropped(spark, tmp_path):
     scores = scores.withColumn("scoring_moment", F.col("scoring_moment").cast("timestamp"))
     stream = flows.file_stream(spark, src, spark.read.parquet(src).schema)
     flows.rescore_stream(stream, scores, {"c2": 2.0}, key="sha256", delay="1 day", out=out, checkpoint=state).awaitTermination()
-    got = {r["signal_id"]: (r["first_score"], round(r["score"], 6)) for r in spark.read.parquet(out).collect()}
+    got = {r["signal_id"]: (r["first_score"], round(r["combined_score"], 6)) for r in spark.read.parquet(out).collect()}
     assert got == {1: (0.2, round(1 / (1 + 4 * 2.718281828459045**-2), 6)), 3: (0.4, 0.4)}
 
 
