@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as driver
+from assay import catalog
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -12,7 +13,7 @@ FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SLOW = ("ml", "spec4", "spec14", "spec23")  # model fits, tested on small data in test_models
 
-QUERIES, ORACLES = driver.queries(), driver.oracle_sql()
+QUERIES, ORACLES = catalog.load()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
 
@@ -50,3 +51,8 @@ def test_rows_only(spark, name):
 def test_the_flagship_is_one_plan_with_rows(spark):
     df = driver.entry(spark)
     assert sum(r["n"] for r in df.collect()) == 115
+
+
+def test_the_driver_gets_every_query():
+    assert set(QUERIES) <= set(driver.queries())
+    assert set(ORACLES) <= set(driver.oracle_sql())
