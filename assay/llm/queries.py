@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontam, packing, secrets, simhash, toxicity
+from . import ann, decontam, lengths, licenses, packing, pages, quality, secrets, simhash, toxicity
 from .tables import ORACLES, QUERIES, query, table
 
 
@@ -14,17 +15,43 @@ def load() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[st
     return QUERIES, ORACLES
 
 
+@query("op1_token_lengths")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return lengths.with_suffix_sums(lengths.histogram(table(spark, folder, "documents")))
+
+
+@query("op2_nearest", ann.ORACLE)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    indexed = ann.index(table(spark, folder, "embeddings"))
+    return ann.search(indexed, indexed.rows.filter(F.col("id") % 20 == 0))
+
+
+@query("op3_licenses", licenses.ORACLE)
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))
+
+
 @query("op4_decontamination")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     return decontam.digest(decontam.scan(docs, table(spark, folder, "benchmark")))
 
 
+@query("op5_pages")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return pages.extract(table(spark, folder, "pages"))
+
+
 @query("op6_packing")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return packing.digest(packing.pack(table(spark, folder, "documents")))
 
 
+@query("op7_quality")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @query("op8_toxicity")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score(table(spark, folder, "documents"), table(spark, folder, "labels"))
