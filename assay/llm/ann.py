@@ -158,6 +158,8 @@ def search(
     held = indexed.rows.select("id", "vector", "code", "length", "cosine", every(blocks).alias("block"), deal(slices).alias("slice"))
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]).empty_table()
         return _best(left, right, mean, turn, k, epsilon)
 
     met = (

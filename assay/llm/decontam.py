@@ -19,13 +19,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .tables import put_back, set_aside
+
 #: Words in a window.
 WINDOW = 13
 #: Windows of one broadcast block, some 200 bytes each.
 BLOCK_WINDOWS = 400_000
 HITS = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32()), ("item", pa.string())]))
 
-_WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+COLUMNS = ["words", "hit_words", "hits"]
+
+#: A word of a text that is not lower-cased.
+_WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 
 
 def _table() -> bytes:
@@ -187,7 +192,8 @@ def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """`docs` without contaminated rows; the others are left alone."""
-    return scan(docs, benchmark, **options).filter(~contaminated()).select(*docs.columns)
+    rows, names = set_aside(docs, COLUMNS)
+    return put_back(scan(rows, benchmark, **options).filter(~contaminated()), names)
 
 
 def _cut(text: str | None, hits: list[dict]) -> str | None:
@@ -206,7 +212,14 @@ def _cut(text: str | None, hits: list[dict]) -> str | None:
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
     """`docs` with every hit word cut out of the text, and what follows it up to the next word."""
-    cut = F.udf(_cut, "string")
-    scanned = scan(docs, benchmark, text_col=text_col, **options)
-    text = F.when(F.size("hits") > 0, cut(F.col(text_col), F.col("hits"))).otherwise(F.col(text_col))
-    return scanned.withColumn(text_col, text).select(*docs.columns)
+    rows, names = set_aside(docs, COLUMNS)
+    scanned = scan(rows, benchmark, text_col=text_col, **options)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            both = zip(batch.column(text_col).to_pylist(), batch.column("hits").to_pylist())
+            cut = pa.array([_cut(text, hits) for text, hits in both], pa.string())
+            kept = batch.schema.names
+            yield pa.RecordBatch.from_arrays([cut if n == text_col else batch.column(n) for n in kept], kept)
+
+    return put_back(scanned.mapInArrow(run, scanned.schema), names)

@@ -159,13 +159,12 @@ def best_path(blocks: list[tuple[Node, str]]) -> str | None:
 
 
 def text_at(blocks: list[tuple[Node, str]], paths: list[str]) -> str:
-    """Blocks below the page's own best container if its path is one of `paths`, else below the
-    first of these that the page has, else below its own best one."""
-    own = best_path(blocks)
-    for path in [own] if own in paths else paths:
+    """Blocks below the first of `paths` that the page has, else below its own best one."""
+    for path in paths:
         found = [text for holder, text in blocks if any(n.path == path for n in _containers(holder))]
         if found:
             return "\n".join(found)
+    own = best_path(blocks)
     return text_at(blocks, [own]) if own is not None else "\n".join(text for _, text in blocks)
 
 

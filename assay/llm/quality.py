@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.stage import staged
+from .tables import hashed_sample
 from .toxicity import held_out
 
 #: Most labelled documents to fit on, first by hash of their id; and most of their lines.
@@ -180,9 +181,8 @@ def fit(
         .filter(~held_out("id", of, remainder))
         .groupBy("id")
         .agg(F.min("label").alias("label"))
-        .orderBy(F.xxhash64("id"))
-        .limit(sample)
     )
+    marked = hashed_sample(marked, ["id"], sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
     # At most `sample` ids, so texts of other rows never move.
     rows = texts.join(F.broadcast(marked), "id").withColumn("h", F.xxhash64("text"))

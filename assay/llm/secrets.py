@@ -18,6 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.stage import staged
+from .tables import hashed_sample, put_back, set_aside
+
 # Patterns, least lengths and the order of kinds.
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN = re.compile(
@@ -33,7 +36,9 @@ _MASK = "[REDACTED]"
 #: Characters that the models tell apart; all others are one class.
 ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 #: Log-likelihood ratio per character from which a run counts as random.
-MARGIN = 0.5
+MARGIN = 1.0
+#: Pairs that the characters' own frequencies count for, beside the pairs seen.
+BACK_OFF = 20
 #: Most labelled strings taken per label to train on.
 SAMPLE = 20_000
 #: Most documents whose words serve as ordinary identifiers.
@@ -60,19 +65,22 @@ def fit(samples: DataFrame, *, text_col: str = "text", label_col: str = "label",
     null text or label, or of under two characters, say nothing."""
     text = F.col(text_col).cast("string")
     rows = samples.select(text.alias("text"), F.col(label_col).cast("int").alias("label"))
-    rows = rows.filter(F.col("label").isin(0, 1) & (F.length("text") > 1)).distinct()
+    rows = staged(rows.filter(F.col("label").isin(0, 1) & (F.length("text") > 1)).distinct(), "strings")
     kept = None
     for label in (0, 1):
-        part = rows.filter(F.col("label") == label).orderBy(F.xxhash64("text"), "text").limit(sample)
+        part = hashed_sample(rows.filter(F.col("label") == label), ["text"], sample)
         kept = part if kept is None else kept.unionByName(part)
     at = F.explode(F.sequence(F.lit(1), F.length("text") - 1))
     pairs = kept.select("label", "text", at.alias("i")).select("label", F.substring("text", F.col("i"), F.lit(2)).alias("pair"))
-    counts = np.ones((2, len(ALPHABET) + 1, len(ALPHABET) + 1)) * 0.5
+    counts = np.zeros((2, len(ALPHABET) + 1, len(ALPHABET) + 1))
     # At most one row per label and pair of characters of the samples.
     for r in pairs.groupBy("label", "pair").count().collect():
         a, b = (ALPHABET.find(c) if c in ALPHABET else len(ALPHABET) for c in r["pair"])
         counts[r["label"], a, b] += r["count"]
-    logs = np.log(counts / counts.sum(axis=2, keepdims=True))
+    # Characters seldom seen as a first one fall back on how often their second one is seen at all.
+    alone = counts.sum(axis=1, keepdims=True) + 0.5
+    alone /= alone.sum(axis=2, keepdims=True)
+    logs = np.log((counts + BACK_OFF * alone) / (counts.sum(axis=2, keepdims=True) + BACK_OFF))
     return Models(logs[1] - logs[0])
 
 
@@ -143,6 +151,17 @@ def scan(docs: DataFrame, models: Models, *, text_col: str = "text", margin: flo
     return scanned.withColumn("redacted", F.coalesce("redacted", F.col(text_col)))
 
 
+def mask(docs: DataFrame, models: Models, *, text_col: str = "text", size_col: str | None = "n_chars", margin: float = MARGIN) -> DataFrame:
+    """`docs` with secrets masked in the text and, where one was, the size counted anew."""
+    rows, names = set_aside(docs, ["spans", "redacted"])
+    found = scan(rows, models, text_col=text_col, margin=margin)
+    changed = {text_col: F.col("redacted")}
+    if size_col in docs.columns:
+        size = F.when(F.size("spans") > 0, F.length("redacted")).otherwise(F.col(size_col))
+        changed[size_col] = size.cast(docs.schema[size_col].dataType)
+    return put_back(found.withColumns(changed), names)
+
+
 def redact(text: str, spans: list[tuple[str, int, int]]) -> str:
     out, end = [], 0
     for _, a, b in spans:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +25,32 @@ def query(name: str, sql: str | None = None):
         return build
 
     return add
+
+
+def set_aside(docs: DataFrame, taken: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """`docs` with columns of the names an operator takes renamed, and all its names as they
+    are now, by the old ones; `put_back` undoes it."""
+    names = {c: c for c in docs.columns}
+    for c in docs.columns:
+        while names[c].lower() in taken or (names[c] != c and names[c] in docs.columns):
+            names[c] += "_"
+    return docs.toDF(*names.values()), names
+
+
+def put_back(rows: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns that `set_aside` was given, under their own names."""
+    return rows.select(*[F.col(f"`{new}`").alias(old) for old, new in names.items()])
+
+
+def hashed_sample(rows: DataFrame, columns: list[str], size: int) -> DataFrame:
+    """At most `size` rows, first by a hash of these columns.
+
+    Rows are counted first and most of those that cannot be among them dropped where they are,
+    so what meets in the one sorting task is about twice the sample, however many tasks there are.
+    """
+    total = rows.count()
+    share = min(1.0, 2.0 * size / max(1, total))
+    h = F.xxhash64(*columns)
+    if share < 1:
+        rows = rows.filter(F.pmod(h, F.lit(1 << 32)) < int(share * (1 << 32)))
+    return rows.orderBy(F.pmod(h, F.lit(1 << 32)), h, *columns).limit(size)

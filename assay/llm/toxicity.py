@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.stage import staged
+from .tables import hashed_sample
 
 # Insults that count without being learned, second persons, look-alike characters.
 INSULTS = "idiot moron loser scum trash clown stupid pathetic worthless disgusting".split()
@@ -189,12 +190,19 @@ class Scorer:
 
     def scores(self, docs: DataFrame, *, text_col: str = "text", keep: list[str]) -> DataFrame:
         """The columns `keep` and `score`, one row per row of `docs`. A null text is an empty one."""
-        if self.trees is None:
-            return docs.select(*keep).withColumn("score", F.lit(self.mean))
+        return self._scored(docs, text_col, keep).select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], "score")
+
+    def below(self, docs: DataFrame, threshold: float, *, text_col: str = "text") -> DataFrame:
+        """The rows of `docs` that score below the threshold, as they are."""
+        kept = self._scored(docs, text_col, docs.columns).filter(F.col("score") < threshold)
+        return kept.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(docs.columns)])
+
+    def _scored(self, docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
         kept = [F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(keep)]
+        if self.trees is None:
+            return docs.select(*kept, F.lit(self.mean).alias("score"))
         rows = docs.select(*kept, F.lit(2).alias("fold"), F.col(text_col).cast("string").alias("text"))
-        out = self._calibrated(_featured(rows, {2: self.lexicon}))
-        return out.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], "score")
+        return self._calibrated(_featured(rows, {2: self.lexicon}))
 
     def _calibrated(self, featured: DataFrame) -> DataFrame:
         raw = self.trees.transform(featured.withColumn("features", array_to_vector("x")))
@@ -225,9 +233,8 @@ def fit(
         .filter(~held_out("id"))
         .groupBy("id")
         .agg(F.max("label").alias("label"))
-        .orderBy(F.xxhash64("id"))
-        .limit(sample)
     )
+    marked = hashed_sample(marked, ["id"], sample)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).filter("text IS NOT NULL")
     # At most `sample` ids, so texts of other rows never move. Equal texts go to one fold.
     rows = texts.join(F.broadcast(marked), "id").withColumn("h", F.xxhash64("text"))
@@ -256,7 +263,6 @@ def score(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", thresho
     return scored.select(id_col, held_out(id_col).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, *, threshold: float = THRESHOLD, **options) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, *, text_col: str = "text", threshold: float = THRESHOLD, **options) -> DataFrame:
     """`docs` without rows that score at or above the threshold."""
-    scored = fit(docs, labels, **options).scores(docs, keep=docs.columns, text_col=options.get("text_col", "text"))
-    return scored.filter(F.col("score") < threshold).select(*docs.columns)
+    return fit(docs, labels, text_col=text_col, **options).below(docs, threshold, text_col=text_col)
