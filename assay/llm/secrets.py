@@ -95,7 +95,7 @@ def labelled_strings(docs: DataFrame, *, text_col: str = "text", sample: int = D
     """(text, label) from documents: words of letters as ordinary identifiers, alone and joined
     in the usual ways; generated strings as random ones. `sample` bounds the documents read."""
     spark: SparkSession = docs.sparkSession
-    texts = docs.filter(F.col(text_col).isNotNull()).orderBy(F.xxhash64(*docs.columns)).limit(sample)
+    texts = hashed_sample(docs.filter(F.col(text_col).isNotNull()), docs.columns, sample)
     words = texts.select(F.explode(F.split(F.col(text_col), "[^A-Za-z]+")).alias("w"))
     words = words.filter(F.length("w").between(3, 24)).distinct()
     low = F.lower("w")
