@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import checks, features, forced, frame, labels, splits, survey
+from ..plans.ordering import exact_quantiles
 from ..sources.tables import ROSTER
 from .ctes import band_sql
 from .q_filters import LABELLABLE
@@ -184,7 +185,8 @@ def agg14(s: Study) -> DataFrame:
 @query(
     "agg15_realized_shares",
     """SELECT c.stratum, count(*) AS n_draw, max(c.n_available) AS n_available, max(c.pi) AS pi,
-      count(*)::DOUBLE / (SELECT count(*) FROM cohort) AS realized_share, max(t.target_share) AS target_share, true AS pi_ok
+      count(*)::DOUBLE / (SELECT count(*) FROM cohort) AS realized_share, max(t.target_share) AS target_share,
+      abs(count(*)::DOUBLE / max(c.n_available) - max(c.pi)) <= 1e-9 AS pi_ok
       FROM cohort c JOIN targets t USING (stratum) GROUP BY 1""",
     doubles="pi realized_share target_share",
 )
@@ -271,6 +273,33 @@ def agg22(s: Study) -> DataFrame:
     return survey.frame_survey(s.labelled.filter(frame.hash_percent("sha256", 20)), sample_pct=20)
 
 
+SAMPLED = "(SELECT * FROM banded WHERE CAST('0x' || substr(md5(sha256), 1, 8) AS BIGINT) % 100 < 20)"
+
+
+@query(
+    "agg22_band_survey",
+    f"""SELECT h.*, c.* EXCLUDE (stratum) FROM ({HISTOGRAM}) h LEFT JOIN (
+      SELECT stratum, quantile_cont(gap_days, 0.5) AS gap_p50, quantile_cont(gap_days, 0.9) AS gap_p90, max(gap_days) AS gap_max,
+        min(n_definite) AS definite_min, quantile_cont(n_definite, 0.1) AS definite_p10, quantile_cont(n_definite, 0.5) AS definite_med,
+        quantile_cont(n_responded, 0.5) AS responded_med, count(*) FILTER (WHERE provenance = 'customer') AS customer FROM banded GROUP BY 1) c
+      ON c.stratum = h.stratum""",
+    doubles="share target_share gap_p50 gap_p90 gap_max definite_p10 definite_med responded_med",
+)
+def agg22_bands(s: Study) -> DataFrame:
+    return survey.band_survey(s.banded, s.params)
+
+
+@query(
+    "agg22_scaled_largest_cohort",
+    f"""SELECT floor(min(fills_cohort_up_to) * 5.0)::BIGINT AS largest_cohort FROM (
+      {HISTOGRAM.replace("FROM banded", f"FROM {SAMPLED}")})""",
+)
+def agg22_largest(s: Study) -> DataFrame:
+    """The largest cohort of the whole, from a hash sample: sampling is the feature here."""
+    sample = s.banded.filter(frame.hash_percent("sha256", 20))
+    return survey.largest_cohort(survey.band_histogram(sample, s.params), sample_pct=20)
+
+
 RESCANNED = "first_definite > 0 AND latest_instance <> first_instance"
 
 
@@ -287,6 +316,51 @@ def agg23(s: Study) -> DataFrame:
     return survey.slice_survey(slice_of(s), 1 / 16)
 
 
+@query(
+    "agg23_slice_quantiles",
+    f"""SELECT measure, count(*) AS n, quantile_cont(v, 0.1) AS p10, quantile_cont(v, 0.5) AS p50, quantile_cont(v, 0.9) AS p90, max(v) AS most FROM (
+      SELECT 'gap_days' AS measure, date_diff('microsecond', first_created, latest_created) / 86400000000.0 AS v FROM slice WHERE {RESCANNED}
+      UNION ALL SELECT 'first_definite', first_definite::DOUBLE FROM slice WHERE first_definite > 0) GROUP BY 1""",
+    doubles="p10 p50 p90 most",
+    slice=SLICE_SQL,
+)
+def agg23_quantiles(s: Study) -> DataFrame:
+    return survey.slice_quantiles(slice_of(s), s.params)
+
+
+@query(
+    "agg23_mimetypes",
+    "SELECT mimetype, count(*) AS n FROM slice GROUP BY 1 ORDER BY n DESC, mimetype NULLS LAST LIMIT 5",
+    slice=SLICE_SQL,
+)
+def agg23_mimetypes(s: Study) -> DataFrame:
+    return survey.mimetype_counts(slice_of(s))
+
+
+@query(
+    "agg23_slice_bands",
+    f"""SELECT {band_sql('first_malicious', 'first_definite')} AS stratum, count(*) AS labellable, median(gap) AS gap_p50, median(first_definite) AS definite_med
+      FROM (SELECT *, date_diff('microsecond', first_created, latest_created) / 86400000000.0 AS gap FROM slice, (SELECT 1000 AS hmax) WHERE {LABELLABLE})
+      GROUP BY 1""",
+    doubles="gap_p50 definite_med",
+    slice=SLICE_SQL,
+)
+def agg23_bands(s: Study) -> DataFrame:
+    rows = survey.slice_columns(slice_of(s))
+    good = survey.labellable_at(30, 1000, F.col("_gap"), F.col("_rescanned"), F.col("_ldef"))
+    kept = rows.filter(good).select(
+        F.col("first_malicious").alias("n_malicious"), F.col("first_definite").alias("n_definite"), F.col("_gap").alias("gap_days")
+    )
+    from ..operators.draw import with_band
+
+    banded = with_band(kept, s.params.bands)
+    gaps = exact_quantiles(banded, by=["stratum"], value="gap_days", quantiles={"gap_p50": 0.5}, buckets=s.params.skew.buckets)
+    rest = banded.groupBy("stratum").agg(
+        F.count("*").alias("labellable"), F.percentile("n_definite", F.lit(0.5)).alias("definite_med")
+    )
+    return rest.join(gaps, "stratum")
+
+
 @query(
     "agg23_prefix_sizing",
     f"""SELECT fills, CASE WHEN 10000.0 / (fills * 256) < 1 THEN greatest(1, floor(-ln(10000.0 / (fills * 256)) / ln(16.0)))::INT END AS prefix_digits

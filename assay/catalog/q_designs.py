@@ -94,6 +94,15 @@ def spec5(s: Study) -> DataFrame:
     return found.select("gap", "n", "auc_raw", "auc_weighted")
 
 
+@query("spec5_trained_era_gap")
+def spec5_trained(s: Study) -> DataFrame:
+    """Models trained on the first quarters of the window, each scored on every later quarter."""
+    matrix, groups = s.matrix
+    rows = matrix.join(s.labels.filter("trainable").select("sha256", "y"), "sha256")
+    quarter = (F.year("scoring_moment") - 1995) * 4 + F.quarter("scoring_moment") - 1
+    return models.era_gap_auc(rows.withColumn("era", quarter.cast("int")), "era", groups["features_old"], s.params, bases=(0, 1, 2))
+
+
 @query(
     "spec6_label_disagreement",
     "SELECT l.label AS label_a, s.label AS label_b, count(*) AS n FROM labelled_cohort l JOIN settled_ s USING (sha256) GROUP BY 1, 2",

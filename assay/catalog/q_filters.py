@@ -154,7 +154,8 @@ def flt15(s: Study) -> DataFrame:
     "flt16_row_balance",
     """SELECT 'frame to labels' AS boundary, (SELECT count(*) FROM frame) AS n_before, (SELECT count(*) FROM labelled) AS n_after,
       (SELECT count(*) FROM frame) = (SELECT count(*) FROM labelled) AS ok
-      UNION ALL SELECT 'cohort to labels', (SELECT count(*) FROM cohort), (SELECT count(*) FROM labelled_cohort), true""",
+      UNION ALL SELECT 'cohort to labels', (SELECT count(*) FROM cohort), (SELECT count(*) FROM labelled_cohort),
+        (SELECT count(*) FROM cohort) = (SELECT count(*) FROM labelled_cohort)""",
 )
 def flt16(s: Study) -> DataFrame:
     first = checks.row_balance(s.frame, s.labelled, "frame to labels")

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import features, forced, frame, labels, metrics, survey
+from ..operators import checks, draw, features, forced, frame, labels, metrics, survey
 from ..sources import pages
 from ..sources.tables import ROSTER
 from .q_filters import ELIGIBLE
 from .q_sources import key_file, render_lines
+from .ctes import band_sql
 from .registry import query
 from .study import Study
 
@@ -47,6 +48,60 @@ def join3(s: Study) -> DataFrame:
     return s.nearest.select("sha256", "label_instance_number", "label_moment", "gap_days", "l_definite", "l_malicious")
 
 
+# Scans as they are, unfinished and failed ones included, of which only eligible ones open a history.
+ELIGIBLE_CTES = {
+    "answered": "SELECT i.*, c.n_definite, c.n_malicious, c.n_responded FROM instances i JOIN counts c ON c.instance_number = i.number",
+    "opened": f"""SELECT sha256, number AS instance_number, completed AS scoring_moment, scan_config, n_definite, n_malicious, n_responded FROM (
+      SELECT s.*, row_number() OVER (PARTITION BY sha256 ORDER BY completed, number) AS rn FROM answered s
+      WHERE {ELIGIBLE} AND NOT EXISTS (SELECT 1 FROM answered e WHERE e.sha256 = s.sha256 AND e.completed < s.completed AND e.failed IS NOT TRUE))
+      WHERE rn = 1""",
+    "followed": """SELECT * FROM (SELECT f.sha256, s.number AS label_instance_number, s.completed AS label_moment,
+      date_diff('microsecond', f.scoring_moment, s.completed) / 86400000000.0 AS gap_days, s.n_definite AS l_definite, s.n_malicious AS l_malicious,
+      row_number() OVER (PARTITION BY f.sha256 ORDER BY s.completed, s.number) AS rn
+      FROM opened f JOIN answered s ON s.sha256 = f.sha256 AND s.failed IS NOT TRUE
+        AND s.completed >= f.scoring_moment + INTERVAL 30 DAY AND s.completed < f.scoring_moment + INTERVAL 365 DAY) WHERE rn = 1""",
+}
+
+
+def eligible_labelled(s: Study) -> DataFrame:
+    """Histories of eligible first scans, and their nearest later finished scan that did not fail."""
+    answered = frame.scored_scans(s.instances, s.verdicts)
+    first = frame.first_seen(answered.filter(frame.revealed()), frame.eligible(), carry=frame.COUNTS)
+    return frame.labelled_frame(first, frame.nearest_later(first, answered, s.params))
+
+
+@query(
+    "join3_eligible_nearest",
+    "SELECT sha256, label_instance_number, label_moment, gap_days, l_definite, l_malicious FROM followed",
+    doubles="gap_days",
+    **ELIGIBLE_CTES,
+)
+def join3_eligible(s: Study) -> DataFrame:
+    kept = eligible_labelled(s).filter(F.col("label_instance_number").isNotNull())
+    return kept.select("sha256", "label_instance_number", "label_moment", "gap_days", "l_definite", "l_malicious")
+
+
+@query(
+    "join5_eligible_unlabellable_kept",
+    """SELECT o.sha256, o.instance_number, f.label_instance_number, o.n_definite, o.n_malicious, o.n_responded
+      FROM opened o LEFT JOIN followed f USING (sha256)""",
+    **ELIGIBLE_CTES,
+)
+def join5_eligible(s: Study) -> DataFrame:
+    return eligible_labelled(s).select("sha256", "instance_number", "label_instance_number", "n_definite", "n_malicious", "n_responded")
+
+
+@query(
+    "flagship_eligible_composition",
+    f"""SELECT stratum, count(*) AS n FROM (SELECT {band_sql("o.n_malicious", "o.n_definite")} AS stratum FROM opened o JOIN followed USING (sha256))
+      GROUP BY 1""",
+    **ELIGIBLE_CTES,
+)
+def flagship_eligible(s: Study) -> DataFrame:
+    base = draw.with_band(frame.base_snapshot(eligible_labelled(s)), s.params.bands)
+    return base.groupBy("stratum").agg(F.count("*").alias("n"))
+
+
 @query(
     "join4_all_later",
     "SELECT f.sha256, s.number, s.completed FROM frame f JOIN scored s ON s.sha256 = f.sha256 AND s.completed > f.scoring_moment",
@@ -110,7 +165,9 @@ def join9(s: Study) -> DataFrame:
     "SELECT c.sha256, c.stratum, l.label, l.reason FROM cohort c JOIN labelled_cohort l ON l.sha256 = c.sha256",
 )
 def join10(s: Study) -> DataFrame:
-    return s.cohort.select("sha256", "stratum").join(s.labels.select("sha256", "label", "reason"), "sha256")
+    left, right = s.cohort.select("sha256", "stratum"), s.labels.select("sha256", "label", "reason")
+    checks.one_to_one(left, right, "sha256")
+    return left.join(right, "sha256")
 
 
 @query(
@@ -134,7 +191,7 @@ def _aligned_sql() -> str:
 
 @query("join12_column_alignment", _aligned_sql())
 def join12(s: Study) -> DataFrame:
-    narrow = features.encode_verdicts(s.first_verdicts, ROSTER[:8])
+    narrow = features.encode_verdicts(s.first_verdicts, ROSTER[:8], strict=False)
     return features.align(narrow, ["sha256", *features.flag_columns(ROSTER)])
 
 
@@ -150,8 +207,9 @@ def overlaid(s: Study) -> DataFrame:
 
 STATUS_CTE = {
     "renders_": """SELECT o_orderkey AS instance, o_orderdate AS created, o_orderstatus <> 'P' AS window_closed, o_orderkey % 31 = 0 AS failed,
-        coalesce(n_responded, 0) AS n FROM orders LEFT JOIN counts ON instance_number = o_orderkey""",
-    "overlaid": """SELECT c.*, l.created AS l_created, CASE WHEN c.label_instance_number % 4 = 0 THEN 'not_submitted' WHEN l.failed THEN 'failed'
+        o_orderkey % 37 = 0 AS missing, coalesce(n_responded, 0) AS n FROM orders LEFT JOIN counts ON instance_number = o_orderkey""",
+    "overlaid": """SELECT c.*, l.created AS l_created, CASE WHEN c.label_instance_number % 4 = 0 THEN 'not_submitted'
+        WHEN coalesce(l.missing, false) OR coalesce(t.missing, false) THEN 'missing_render' WHEN l.failed THEN 'failed'
         WHEN NOT l.window_closed THEN 'pending' WHEN l.n = 0 OR t.n = 0 THEN 'no_assertions' ELSE 'labelled' END AS status
         FROM cohort c LEFT JOIN renders_ l ON l.instance = c.label_instance_number LEFT JOIN renders_ t ON t.instance = c.instance_number""",
 }

@@ -16,9 +16,6 @@ from .q_windows import BINS
 from .registry import query
 from .study import Study
 
-TREES = {"depths": (3,), "counts": (20,)}
-
-
 def folds(s: Study, variant: str = "fold") -> tuple[DataFrame, DataFrame]:
     """(train, validate) feature rows of one split variant."""
     rows = s.stage("modelling", lambda: s.modelling.filter("trainable"))
@@ -44,20 +41,20 @@ def ml1(s: Study) -> DataFrame:
 @query("ml2_boosted_trees")
 def ml2(s: Study) -> DataFrame:
     train, validate = folds(s)
-    fitted = models.fit_trees(train, validate, _groups(s)["features_new"], s.params.seed, **TREES)
+    fitted = models.fit_trees(train, validate, _groups(s)["features_new"], s.params.seed)
     scored = models.raw_score(fitted, validate, ["y"])
     return metrics.roc_auc(scored, "score", "y", s.params.skew)
 
 
 @query("ml3_model_comparison")
 def ml3(s: Study) -> DataFrame:
-    return models.compare_models(folds(s), folds(s, "random"), _groups(s), s.params, grid=(0.1, 1.0), **TREES)[0]
+    return models.compare_models(folds(s), folds(s, "random"), _groups(s), s.params)[0]
 
 
 @query("ml4_raw_score")
 def ml4(s: Study) -> DataFrame:
     train, validate = folds(s)
-    fitted = models.fit_logistic(train, validate, _groups(s)["features_old"], grid=(1.0,))
+    fitted = models.fit_logistic(train, validate, _groups(s)["features_old"])
     return models.raw_score(fitted, validate, ["sha256", "y"])
 
 
@@ -74,7 +71,9 @@ def ml5(s: Study) -> DataFrame:
 
 @query("ml6_provenance_probe")
 def ml6(s: Study) -> DataFrame:
-    rows = s.matrix[0].withColumn("is_customer", (F.col("provenance") == "customer").cast("int"))
+    seen = s.split.filter(F.col("fold").isin("train", "validate") & ~F.col("in_gap")).select("sha256")
+    rows = s.matrix[0].join(seen, "sha256", "left_semi")
+    rows = rows.withColumn("is_customer", (F.col("provenance") == "customer").cast("int"))
     found = models.probe(rows, "is_customer", _groups(s)["features_new"], "sha256", s.params)
     return found.agg(F.avg("auc").alias("auc"), F.count("*").alias("folds")).withColumn(
         "gate", F.when(F.col("auc") > s.params.probe_max_auc, "failed").otherwise("ok")
@@ -87,6 +86,12 @@ def ml7(s: Study) -> DataFrame:
     return found.groupBy("stratum").agg(F.avg("p_rescanned").alias("p_rescanned"), F.count("*").alias("n"))
 
 
+@query("ml7_rescan_probe")
+def ml7_probe(s: Study) -> DataFrame:
+    """How well features tell rescanned artifacts from the control, out of fold."""
+    return models.rescan_probe(s.matrix[0], control_matrix(s), _groups(s)["features_new"], s.params)
+
+
 def slice_auc(source: str, keys: str) -> str:
     """Weighted and raw AUC of (keys, y, w, score) rows, by running sums over distinct scores."""
     return f"""SELECT {keys}, sum(p + n)::BIGINT AS n, sum(p * (cn - n / 2)) / nullif(sum(p) * sum(n), 0) AS auc_raw,
@@ -129,7 +134,20 @@ def ml8(s: Study) -> DataFrame:
 # ---------------------------------------------------------------- calibration
 
 
-@query("cal1_platt_fit")
+_NEWTON = """WITH RECURSIVE x AS (SELECT ln(score) AS s, y::DOUBLE AS y, 1.0::DOUBLE / pi AS w FROM quality_),
+      fit AS (SELECT 0 AS step, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b UNION ALL
+        SELECT step + 1, a + (bb * ga - ab * gb) / (aa * bb - ab * ab), b + (aa * gb - ab * ga) / (aa * bb - ab * ab) FROM (
+          SELECT step, a, b, sum(w * (y - p) * s) AS ga, sum(w * (y - p)) AS gb, sum(w * p * (1 - p) * s * s) AS aa,
+            sum(w * p * (1 - p) * s) AS ab, sum(w * p * (1 - p)) AS bb
+          FROM (SELECT fit.*, x.*, 1 / (1 + exp(-(a * s + b))) AS p FROM fit, x WHERE step < 30) GROUP BY step, a, b))
+      SELECT a, b FROM fit WHERE step = 30"""
+
+
+@query(
+    "cal1_platt_fit",
+    f"SELECT a, b, (SELECT count(*) FROM quality_) AS n_fit, true AS provisional FROM ({_NEWTON})",
+    doubles="a b",
+)
 def cal1(s: Study) -> DataFrame:
     rows = s.quality.withColumn("w", 1 / F.col("pi")).withColumn("s", F.ln("score"))
     fit = calibrate.fit_platt(rows, "s", weight="w")
@@ -250,15 +268,23 @@ def met5(s: Study) -> DataFrame:
 _TIMES = " + ".join(f"(u >= {c!r}::DOUBLE)::INT" for c in _POISSON)
 
 
-@query(
-    "met6_bootstrap_band",
-    f"""SELECT bin, quantile_cont(observed, 0.05) AS low, quantile_cont(observed, 0.95) AS high FROM (
+BAND_SQL = f"""SELECT bin, quantile_cont(observed, 0.05) AS low, quantile_cont(observed, 0.95) AS high FROM (
       SELECT replicate, bin, sum(times / pi * y) / nullif(sum(times / pi), 0) AS observed FROM (SELECT *, {_TIMES} AS times FROM (
         SELECT *, ('0x' || substr(md5('boot:' || key || ':' || replicate || '20260922'), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
-        FROM binned_, range(200) r(replicate))) GROUP BY 1, 2) GROUP BY 1""",
-    doubles="low high",
+        FROM binned_, range(200) r(replicate))) GROUP BY 1, 2) GROUP BY 1"""
+
+
+@query(
+    "met6_mean_band_width",
+    f"SELECT avg(high - low) AS mean_width, count(low) AS bins FROM ({BAND_SQL})",
+    doubles="mean_width",
     **BINS,
 )
+def met6_width(s: Study) -> DataFrame:
+    return metrics.mean_band_width(metrics.bootstrap_band(s.quality, "prob", "key", 10, s.params))
+
+
+@query("met6_bootstrap_band", BAND_SQL, doubles="low high", **BINS)
 def met6(s: Study) -> DataFrame:
     return metrics.bootstrap_band(s.quality, "prob", "key", 10, s.params)
 
@@ -316,14 +342,29 @@ def met9(s: Study) -> DataFrame:
     return metrics.stability(run_scores(s), ["r1", "r2", "r3"], s.params.skew)
 
 
-@query(
-    "met9_auc_spread",
-    f"SELECT run, n, auc_raw FROM ({slice_auc('run_rows', 'run')})",
-    doubles="auc_raw",
-    runs="""SELECT doc_id AS sha256, unnest(['r1', 'r2', 'r3']) AS run, unnest([n_chars::DOUBLE, sqrt(n_chars), (doc_id % 97)::DOUBLE]) AS score FROM documents""",
-    run_rows="SELECT run, score, quality AS y, 1.0 AS w FROM runs JOIN labels ON doc_id = sha256",
-)
-def met9_auc(s: Study) -> DataFrame:
+RUN_CTES = {
+    "runs": """SELECT doc_id AS sha256, unnest(['r1', 'r2', 'r3']) AS run, unnest([n_chars::DOUBLE, sqrt(n_chars), (doc_id % 97)::DOUBLE]) AS score FROM documents""",
+    "run_rows": "SELECT run, score, quality AS y, 1.0 AS w FROM runs JOIN labels ON doc_id = sha256",
+}
+
+
+def run_aucs(s: Study) -> DataFrame:
     truth = s.table("labels").select(F.col("doc_id").alias("sha256"), F.col("quality").alias("y"))
     rows = run_scores(s).join(truth, "sha256")
     return metrics.roc_auc(rows, "score", "y", s.params.skew, by=["run"]).select("run", "n", "auc_raw")
+
+
+@query("met9_auc_spread", f"SELECT run, n, auc_raw FROM ({slice_auc('run_rows', 'run')})", doubles="auc_raw", **RUN_CTES)
+def met9_auc(s: Study) -> DataFrame:
+    return run_aucs(s)
+
+
+@query(
+    "met9_auc_range",
+    f"""SELECT count(*) AS runs, count(auc_raw) AS defined, avg(auc_raw) AS auc_mean, stddev_samp(auc_raw) AS auc_sd,
+      max(auc_raw) - min(auc_raw) AS auc_range FROM ({slice_auc('run_rows', 'run')})""",
+    doubles="auc_mean auc_sd auc_range",
+    **RUN_CTES,
+)
+def met9_range(s: Study) -> DataFrame:
+    return metrics.auc_spread(run_aucs(s))

@@ -35,9 +35,12 @@ _P = "((c_custkey % 89 + 1) / 100.0::DOUBLE)"
 
 @query(
     "str2_late_rescore",
-    f"""SELECT event_id AS signal_id, user_id, event_type AS type, {_P} AS first_score,
-      1 / (1 + exp(-({logit_sql(_P)} + CASE event_type WHEN 'error' THEN 1.84 WHEN 'purchase' THEN -0.7 ELSE 0 END))) AS combined_score
-      FROM events JOIN customer ON c_custkey = user_id WHERE ts > TIMESTAMP '2024-01-10'""",
+    f"""SELECT signal_id, user_id, type, first_score, 1 / (1 + exp(-({logit_sql("first_score")} + evidence))) AS combined_score
+      FROM (SELECT event_id AS signal_id, user_id, event_type AS type, {_P} AS first_score, ts,
+          sum(CASE event_type WHEN 'error' THEN 1.84 WHEN 'purchase' THEN -0.7 ELSE 0 END::DOUBLE)
+            OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS evidence
+        FROM events JOIN customer ON c_custkey = user_id)
+      WHERE ts > TIMESTAMP '2024-01-10'""",
     doubles="first_score combined_score",
 )
 def str2(s: Study) -> DataFrame:
@@ -50,9 +53,9 @@ def str2(s: Study) -> DataFrame:
         ((F.col("c_custkey") % 89 + 1) / F.lit(100.0)).alias("probability"),
         F.lit("2024-01-10 00:00:00").cast("timestamp_ntz").cast("timestamp").alias("scoring_moment"),
     )
-    out, state = new_path(s.spark, "rescore"), new_path(s.spark, "state")
+    out, store, state = (new_path(s.spark, n) for n in ("rescore", "signals", "state"))
     flows.rescore_stream(
-        replayed, scores, {"error": 1.84, "purchase": -0.7}, key="user_id", delay="1 hour", out=out, checkpoint=state
+        replayed, scores, {"error": 1.84, "purchase": -0.7}, key="user_id", store=store, out=out, checkpoint=state
     ).awaitTermination()
     return s.spark.read.parquet(out).select("signal_id", "user_id", "type", "first_score", "combined_score")
 

@@ -36,9 +36,10 @@ def draw3(s: Study) -> DataFrame:
 
 @query(
     "draw4_draw_checks",
-    """SELECT 'row_count' AS "check", abs((SELECT count(*) FROM cohort) - (SELECT sum(n_draw) FROM report))::BIGINT AS violations, true AS ok
-      UNION ALL SELECT 'pi_range', count(*) FILTER (WHERE pi <= 0 OR pi > 1), true FROM cohort
-      UNION ALL SELECT 'duplicate_key', count(*) - count(DISTINCT sha256), true FROM cohort""",
+    """SELECT "check", violations, violations = 0 AS ok FROM (
+      SELECT 'row_count' AS "check", abs((SELECT count(*) FROM cohort) - (SELECT sum(n_draw) FROM report))::BIGINT AS violations
+      UNION ALL SELECT 'pi_range', count(*) FILTER (WHERE pi <= 0 OR pi > 1) FROM cohort
+      UNION ALL SELECT 'duplicate_key', count(*) - count(DISTINCT sha256) FROM cohort)""",
 )
 def draw4(s: Study) -> DataFrame:
     return draw.check_draw(s.cohort, s.report)
@@ -63,8 +64,9 @@ def draw6(s: Study) -> DataFrame:
 
 @query(
     "draw7_stable_prefix",
-    """SELECT count(*) AS small, count(*) AS kept_in_large FROM (SELECT b.stratum, row_number() OVER (PARTITION BY b.stratum ORDER BY md5(sha256 || '20260922'), sha256) AS rn FROM banded b)
-      JOIN (VALUES ('contested', 90), ('leaning_malicious', 30), ('leaning_clean', 30), ('consensus_malicious', 20), ('consensus_clean', 20)) t(stratum, n) USING (stratum) WHERE rn <= n""",
+    """SELECT count(*) AS small, count(c.sha256) AS kept_in_large FROM (SELECT b.sha256, b.stratum, row_number() OVER (PARTITION BY b.stratum ORDER BY md5(sha256 || '20260922'), sha256) AS rn FROM banded b)
+      JOIN (VALUES ('contested', 90), ('leaning_malicious', 30), ('leaning_clean', 30), ('consensus_malicious', 20), ('consensus_clean', 20)) t(stratum, n) USING (stratum)
+      LEFT JOIN (SELECT sha256 FROM cohort) c USING (sha256) WHERE rn <= n""",
 )
 def draw7(s: Study) -> DataFrame:
     """Members of a smaller draw that the larger one keeps: all of them."""
@@ -184,7 +186,11 @@ def feat1(s: Study) -> DataFrame:
 
 @query(
     "feat2_count_agreement",
-    "SELECT 0::BIGINT AS n_definite, 0::BIGINT AS n_malicious, 0::BIGINT AS n_responded FROM (SELECT count(*) FROM cohort)",
+    "SELECT "
+    + ", ".join(
+        f"count(*) FILTER (WHERE c.{n} IS DISTINCT FROM coalesce(a.{n}, 0)) AS {n}" for n in ("n_definite", "n_malicious", "n_responded")
+    )
+    + " FROM cohort c LEFT JOIN aggs a USING (sha256)",
 )
 def feat2(s: Study) -> DataFrame:
     return features.count_drift(s.cohort, s.first_verdicts)
@@ -202,7 +208,7 @@ def feat3(s: Study) -> DataFrame:
         F.col("c_acctbal").alias("entropy"),
         (start + F.make_dt_interval(F.col("c_nationkey"))).alias("pe_as_of"),
     )
-    return features.late_rows(features.merge_static(s.base, static))
+    return features.late_rows(features.merge_static(s.base, static, strict=False))
 
 
 @query(

@@ -23,9 +23,9 @@ def refuse_names(names: Iterable[str], late_fields: Iterable[str] = LATE_FIELDS)
     given = set(names)
     late, drawn = sorted(given & set(late_fields)), sorted(given & set(DRAW_FIELDS))
     if late:
-        raise AsOfError(f"fields are regenerated in place and cannot be features: {late}")
+        raise AsOfError(f"overwritten after the scoring moment, so no model input: {late}")
     if drawn:
-        raise AsOfError(f"sampling bookkeeping cannot be features: {drawn}")
+        raise AsOfError(f"describes the draw, so no model input: {drawn}")
 
 
 def as_of_violations(fields: DataFrame) -> DataFrame:
@@ -82,3 +82,20 @@ def enforce(violations: DataFrame, what: str) -> None:
     found = violations.limit(5).collect()
     if found:
         raise CheckError(f"{what}: {[r.asDict() for r in found]}")
+
+
+def guarded(df: DataFrame, bad: Column, what: str, *shown: str) -> DataFrame:
+    """`df` as it is, failing at the first row for which `bad` holds.
+
+    The check is part of the plan, so it costs no pass of its own and cannot be forgotten.
+    """
+    named = F.concat_ws(" ", F.lit(f"{what}:"), *[F.col(c).cast("string") for c in shown])
+    return df.filter(F.when(F.coalesce(bad, F.lit(False)), F.raise_error(named).cast("boolean")).otherwise(True))
+
+
+def one_to_one(left: DataFrame, right: DataFrame, *keys: str) -> None:
+    """Raise unless each key stands once on either side and on both."""
+    enforce(repeated_keys(left, *keys), "keys repeated on the left")
+    enforce(repeated_keys(right, *keys), "keys repeated on the right")
+    enforce(left.select(*keys).join(right, list(keys), "left_anti"), "keys without a match on the right")
+    enforce(right.select(*keys).join(left, list(keys), "left_anti"), "keys without a match on the left")

@@ -10,45 +10,52 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.small import small_table
+from .features import MAX_ROSTER, on_roster
 
-MAX_ROSTER = 2_000  # the pair table grows with its square and must stay small
-
-
-def pair_sums(long: DataFrame, roster: Sequence[str]) -> DataFrame:
+def pair_sums(long: DataFrame, roster: Sequence[str], *, strict: bool = True) -> DataFrame:
     """Sums over scans both engines answered definitely, for every pair that shares one.
 
-    Each task multiplies its rows' flag vectors into one matrix per Arrow batch, so pairs are
-    never emitted per scan: what is shuffled is a roster-squared table per batch.
+    A scan carries the places of its engines on the roster. Each task multiplies flag vectors
+    and yields one matrix over all its rows, so pairs are never emitted per scan: what is
+    shuffled is one roster-squared table per task. Engines off the roster are refused, or left
+    out if not `strict`.
     """
     n = len(roster)
     if n > MAX_ROSTER:
-        raise ValueError(f"{n} engines: the roster must stay below {MAX_ROSTER}")
-    answered, malicious = [], []
-    for engine in roster:
-        mine = F.col("author") == engine
-        answered.append(F.coalesce(F.max(F.when(mine & F.col("verdict").isNotNull(), 1)), F.lit(0)))
-        malicious.append(F.coalesce(F.max(F.when(mine & F.col("verdict"), 1)), F.lit(0)))
-    rows = long.groupBy("instance_number").agg(F.array(*answered, *malicious).alias("flags")).select("flags")
+        raise ValueError(f"a roster of {n} engines is over {MAX_ROSTER}: its pair table must stay small")
+    place = F.create_map(*[x for i, e in enumerate(roster) for x in (F.lit(e), F.lit(i))])
+    known = on_roster(long, roster, strict).filter(F.col("verdict").isNotNull())
+    each = known.select("instance_number", place[F.col("author")].alias("e"), F.col("verdict").alias("v"))
+    rows = each.groupBy("instance_number").agg(
+        F.collect_set("e").alias("answered"), F.collect_set(F.when(F.col("v"), F.col("e"))).alias("malicious")
+    )
     left, right = np.triu_indices(n, k=1)
 
+    def flags(lists: pd.Series) -> np.ndarray:
+        out = np.zeros((len(lists), n))
+        sizes = lists.map(len).to_numpy()
+        if sizes.sum():
+            out[np.repeat(np.arange(len(lists)), sizes), np.concatenate(lists.to_list()).astype(int)] = 1
+        return out
+
     def multiply(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        product = np.zeros((2 * n, 2 * n))
         for batch in batches:
-            if batch.empty:
-                continue
-            x = np.stack(batch["flags"].to_numpy()).astype("float64")
-            product = x.T @ x
-            yield pd.DataFrame(
-                {
-                    "i": left,
-                    "j": right,
-                    "n_both": product[left, right],
-                    "mal_i": product[n + left, right],
-                    "mal_j": product[n + right, left],
-                    "mal_both": product[n + left, n + right],
-                }
-            )
-
-    partial = rows.mapInPandas(
+            if not batch.empty:
+                x = np.hstack([flags(batch["answered"]), flags(batch["malicious"])])
+                product += x.T @ x
+        yield pd.DataFrame(
+            {
+                "i": left,
+                "j": right,
+                "n_both": product[left, right],
+                "mal_i": product[n + left, right],
+                "mal_j": product[n + right, left],
+                "mal_both": product[n + left, n + right],
+            }
+        )
+
+    partial = rows.select("answered", "malicious").mapInPandas(
         multiply, "i int, j int, n_both double, mal_i double, mal_j double, mal_both double"
     )
     names = F.array(*[F.lit(e) for e in roster])
@@ -74,8 +81,8 @@ def correlation() -> Column:
     return (n * ab - a * b) / F.nullif(spread, F.lit(0.0))
 
 
-def agreement(long: DataFrame, roster: Sequence[str]) -> DataFrame:
-    return pair_sums(long, roster).withColumn("correlation", correlation())
+def agreement(long: DataFrame, roster: Sequence[str], *, strict: bool = True) -> DataFrame:
+    return pair_sums(long, roster, strict=strict).withColumn("correlation", correlation())
 
 
 def clusters(pairs: DataFrame, roster: Sequence[str], threshold: float) -> DataFrame:
@@ -100,7 +107,10 @@ def clusters(pairs: DataFrame, roster: Sequence[str], threshold: float) -> DataF
 
 
 def clustered_counts(long: DataFrame, engine_clusters: DataFrame) -> DataFrame:
-    """Malicious answers per artifact at the label scan: engines, and clusters of engines."""
+    """Malicious answers per artifact at the label scan: engines, and clusters of engines.
+
+    `engine_clusters` has a row per engine of a checked roster.
+    """
     return (
         long.filter((F.col("scan_role") == "label") & F.col("verdict"))
         .join(F.broadcast(engine_clusters), "author")

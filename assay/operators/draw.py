@@ -137,6 +137,6 @@ def realized_pi(drawn: DataFrame, kept: Column) -> DataFrame:
     counts = drawn.groupBy("stratum").agg(F.count_if(kept).alias("n_kept"))
     return (
         drawn.filter(kept)
-        .join(F.broadcast(counts), "stratum")
+        .join(counts, "stratum")  # a few bands: Spark sees the size and broadcasts
         .withColumn("pi_realized", ratio(F.col("n_kept"), F.col("n_available")))
     )

@@ -127,7 +127,8 @@ def outcome(params: Params) -> Column:
 
 def label(cohort: DataFrame, long: DataFrame, params: Params) -> DataFrame:
     """One labelled row per cohort row, with its evidence; nothing is dropped."""
-    facts = evidence(long, params.generic_discount)
+    # Only the cohort's verdicts are classed, however large the base.
+    facts = evidence(long.join(cohort.select("sha256"), "sha256", "left_semi"), params.generic_discount)
     carried = [c for c in ("gap_days", "stratum", "pi", "provenance", "scoring_moment") if c in cohort.columns]
     joined = cohort.select("sha256", *carried).join(facts, "sha256", "left")
     settled = joined.withColumn("_o", outcome(params))

@@ -18,6 +18,7 @@ from ..plans.ordering import (
     prefix_sums,
     range_bucket,
 )
+from ..plans.small import small_table
 from ..plans.skew import salted_lookup
 
 _SMALLEST = 2.220446049250313e-16  # fixed value: double epsilon, the log-loss clip
@@ -84,7 +85,10 @@ def metrics_table(df: DataFrame, scores: Mapping[str, Column], skew: Skew, y: st
     rows = df.select(
         F.col(y).alias("y"), (F.lit(1.0) / F.col("pi")).alias("w"), slices().alias("_slices"), stacked.alias("_s")
     ).select("y", "w", "_s.*", F.explode("_slices").alias("slice"))
-    return roc_auc(rows, "score", "y", skew, by=["score_name", "slice"], weight="w")
+    found = roc_auc(rows, "score", "y", skew, by=["score_name", "slice"], weight="w")
+    # The headline slice is reported even if nothing is in it: undefined, with n = 0.
+    asked = small_table(df.sparkSession, [(n, "customer") for n in scores], "score_name string, slice string")
+    return found.join(asked, ["score_name", "slice"], "full").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
 
 
 def weighted_mean(x: Column, w: Column) -> Column:
@@ -191,6 +195,23 @@ def bootstrap_band(
     )
 
 
+def mean_band_width(band: DataFrame) -> DataFrame:
+    """How wide the band is on average over the bins that have one."""
+    return band.agg(F.avg(F.col("high") - F.col("low")).alias("mean_width"), F.count("low").alias("bins"))
+
+
+def auc_spread(per_run: DataFrame, auc: str = "auc_raw") -> DataFrame:
+    """AUC over runs: mean, deviation and range; runs without one are only counted."""
+    a = F.col(auc)
+    return per_run.agg(
+        F.count("*").alias("runs"),
+        F.count(a).alias("defined"),
+        F.avg(a).alias("auc_mean"),
+        F.stddev_samp(a).alias("auc_sd"),
+        (F.max(a) - F.min(a)).alias("auc_range"),
+    )
+
+
 def shuffled_auc(df: DataFrame, score: str, key: str, params: Params, y: str = "y") -> DataFrame:
     """AUC after labels are permuted: labels and scores meet at equal digest positions."""
     keyed = df.select(F.col(key).cast("string").alias("k"), F.col(score).alias("score"), F.col(y).alias("y"))

@@ -217,6 +217,46 @@ def propensity(cohort: DataFrame, control: DataFrame, columns: Sequence[str]) ->
     )
 
 
+def rescan_probe(cohort: DataFrame, control: DataFrame, columns: Sequence[str], params: Params, k: int = 5) -> DataFrame:
+    """One row: mean out-of-fold AUC of rescanned against control rows, folds with an AUC, and
+    the size of both sides. AUC is null where either side is too small to fold."""
+    kept = ["sha256", *columns]
+    both = cohort.select(*kept).withColumn("rescanned", F.lit(1)).unionByName(control.select(*kept).withColumn("rescanned", F.lit(0)))
+    sizes = both.agg(F.count_if(F.col("rescanned") == 1).alias("rescanned"), F.count_if(F.col("rescanned") == 0).alias("control"))
+    aucs = probe(both, "rescanned", columns, "sha256", params, k).agg(F.avg("auc").alias("auc"), F.count("auc").alias("folds"))
+    return aucs.withColumns({c: sizes.select(c).scalar() for c in ("rescanned", "control")})
+
+
+def era_gap_auc(
+    df: DataFrame, era: str, columns: Sequence[str], params: Params, *, bases: Sequence[int], strength: float = 1.0
+) -> DataFrame:
+    """(base, gap, n, auc_raw, auc_weighted): a model trained on one era's rows alone, and its AUC
+    on that era and each later one.
+
+    `era` is a whole number per row and `bases` the eras to train on, a fit each; a base without
+    both classes is left out.
+    """
+    rows = vectors(df, columns, ["y", "pi", era]).withColumn("y", F.col("y").cast("double"))
+    out = None
+    for base in bases:
+        train = rows.filter(F.col(era) == base)
+        shape = train.agg(F.count("*").alias("n"), F.count_distinct("y").alias("classes")).first()
+        if shape["classes"] < 2:
+            continue
+        model = LogisticRegression(labelCol="y", regParam=1.0 / (strength * shape["n"]), standardization=False, maxIter=200).fit(train)
+        scored = model.transform(rows.filter(F.col(era) >= base)).select(
+            F.lit(base).alias("base"),
+            (F.col(era) - base).alias("gap"),
+            "y",
+            (1 / F.col("pi")).alias("w"),
+            vector_to_array("rawPrediction")[1].alias("score"),
+        )
+        out = scored if out is None else out.unionByName(scored)
+    if out is None:
+        return df.sparkSession.createDataFrame([], "base int, gap int, n bigint, auc_raw double, auc_weighted double")
+    return roc_auc(out, "score", "y", params.skew, by=["base", "gap"], weight="w")
+
+
 def coefficient_ranking(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
     """Features behind a probe, by |coefficient| times standard deviation."""
     data = vectors(df, columns, [target]).withColumn("y", F.col(target).cast("double"))

@@ -37,9 +37,12 @@ def band_histogram(banded: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def largest_cohort(histogram: DataFrame) -> DataFrame:
-    """The cohort every drawn band can fill: the smallest band bounds it."""
-    return histogram.agg(F.min("fills_cohort_up_to").alias("largest_cohort"))
+def largest_cohort(histogram: DataFrame, sample_pct: int = 100) -> DataFrame:
+    """The cohort every drawn band can fill: the smallest band bounds it. Of a sample, scaled."""
+    least = F.min("fills_cohort_up_to")
+    if sample_pct == 100:
+        return histogram.agg(least.alias("largest_cohort"))
+    return histogram.agg(F.floor(least * F.lit(100.0 / sample_pct)).alias("largest_cohort"))
 
 
 def gap_and_coverage(banded: DataFrame, params: Params) -> DataFrame:
@@ -66,6 +69,11 @@ def gap_and_coverage(banded: DataFrame, params: Params) -> DataFrame:
     return rest.join(gaps, "stratum")
 
 
+def band_survey(banded: DataFrame, params: Params) -> DataFrame:
+    """Per band: its fill and target beside label gap and coverage, empty bands included."""
+    return band_histogram(banded, params).join(gap_and_coverage(banded, params).drop("n"), "stratum", "left")
+
+
 def change_totals(long: DataFrame, bands: Bands) -> DataFrame:
     """Engine-level totals, and artifacts whose band moved: by all engines, and by those
     present at both scans. Only artifacts with both scans count."""
@@ -247,6 +255,25 @@ def slice_survey(df: DataFrame, pi: float) -> DataFrame:
     )
 
 
+def slice_quantiles(df: DataFrame, params: Params) -> DataFrame:
+    """(measure, n, p10, p50, p90, most): days to the latest scan of rescanned files, and definite
+    verdicts at the first scan of scanned ones."""
+    columns = slice_columns(df)
+    gap = columns.filter("_rescanned").select(F.lit("gap_days").alias("measure"), F.col("_gap").alias("v"))
+    definite = columns.filter(F.col("_def") > 0).select(F.lit("first_definite").alias("measure"), F.col("_def").cast("double").alias("v"))
+    both = gap.unionByName(definite)
+    found = exact_quantiles(
+        both, by=["measure"], value="v", quantiles={"p10": 0.1, "p50": 0.5, "p90": 0.9}, buckets=params.skew.buckets
+    )
+    return both.groupBy("measure").agg(F.count("*").alias("n"), F.max("v").alias("most")).join(found, "measure")
+
+
+def mimetype_counts(df: DataFrame, top: int = 5) -> DataFrame:
+    """The most frequent mimetypes of a slice; ties in order of their names."""
+    counts = df.groupBy("mimetype").agg(F.count("*").alias("n"))
+    return counts.orderBy(F.col("n").desc(), F.col("mimetype").asc_nulls_last()).limit(top)
+
+
 def prefix_length(cohort_size: int, fills: Column, pi: float) -> Column:
     """Hex digits of the prefix that a cohort needs, from what one slice can fill."""
     need = F.lit(float(cohort_size)) / F.nullif(fills.cast("double") / F.lit(pi), F.lit(0.0))

@@ -60,14 +60,14 @@ class Bands:
 class Skew:
     """How hot keys are found and spread, and how finely ordered work is cut.
 
-    A key is hot above ``hot_rows`` rows. At most ``max_hot_keys`` keys are listed (the
-    largest ones), which bounds what is broadcast; a key left out holds at most
-    1/max_hot_keys of the rows and takes the plain shuffle.
+    A key is hot above ``hot_rows`` rows and gets a salt for each ``hot_rows`` of them, at least
+    ``salts``. At most ``max_hot_keys`` keys are listed, largest first, some 100 bytes each, which
+    bounds what is broadcast: below ``hot_rows * max_hot_keys`` rows (10^12) that leaves none out.
     """
 
     hot_rows: int = 1_000_000
-    max_hot_keys: int = 10_000
-    salts: int = 256
+    max_hot_keys: int = 1_000_000
+    salts: int = 2
     buckets: int = 256
     hash_digits: int = 3
 

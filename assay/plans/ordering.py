@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET = "_bucket"
+#: Most (group, bucket) rows that are broadcast, some 100 bytes each.
+MAX_OFFSETS = 1_000_000
 
 
 def hash_key(key: str | Column, seed: int | str, prefix: str = "") -> Column:
@@ -60,6 +62,13 @@ def range_bucket(df: DataFrame, value: str, buckets: int) -> DataFrame:
     return placed.drop("_edges")
 
 
+def _few(offsets: DataFrame) -> DataFrame:
+    """`offsets` as they are, failing if there are too many to broadcast."""
+    n = F.count("*").over(Window.partitionBy())
+    over = F.when(F.col("_all") > MAX_OFFSETS, F.raise_error(F.lit("too many groups for few_groups")).cast("boolean"))
+    return offsets.withColumn("_all", n).filter(over.otherwise(True)).drop("_all")
+
+
 def prefix_sums(
     df: DataFrame,
     *,
@@ -80,6 +89,7 @@ def prefix_sums(
     `_o_<sum>` (total before the bucket), `_t_<sum>` (total in it) and those of `wholes`.
     With `few_groups`, groups are a small fixed domain (bands, slices): offsets are then at
     most groups times buckets rows and are broadcast, so dropped rows never leave their task.
+    More than MAX_OFFSETS of them are refused; without `few_groups` any number will do.
     """
     by = list(by)
     wholes = dict(wholes or {})
@@ -94,7 +104,7 @@ def prefix_sums(
         *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in values],
         *[F.sum(f"_t_{n}").over(Window.partitionBy(*by)).alias(w) for w, n in wholes.items()],
     )
-    placed = df.join(F.broadcast(offsets) if few_groups else offsets, by + [BUCKET])
+    placed = df.join(F.broadcast(_few(offsets)) if few_groups else offsets, by + [BUCKET])
     if keep is not None:
         placed = placed.filter(keep)
     inside = (

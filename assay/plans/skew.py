@@ -11,17 +11,18 @@ from ..params import Skew
 
 
 def hot_keys(facts: DataFrame, keys: Sequence[str], skew: Skew) -> DataFrame:
-    """The keys above `hot_rows`, largest first, at most `max_hot_keys` of them.
+    """The keys above `hot_rows`, with `_salts`, how many parts each is to be cut into.
 
     The count is pre-aggregated map-side, and the list is bounded, so it may be broadcast.
     """
+    rows = F.col("_rows")
     return (
         facts.groupBy(*keys)
         .agg(F.count("*").alias("_rows"))
-        .filter(F.col("_rows") > skew.hot_rows)
-        .orderBy(F.col("_rows").desc(), *keys)
+        .filter(rows > skew.hot_rows)
+        .orderBy(rows.desc(), *keys)
         .limit(skew.max_hot_keys)
-        .select(*keys)
+        .select(*keys, F.greatest(F.lit(skew.salts), F.ceil(rows / skew.hot_rows)).cast("int").alias("_salts"))
     )
 
 
@@ -40,14 +41,8 @@ def salted_lookup(
     once per salt. Every other key has salt 0 and is copied once.
     """
     keys = list(keys)
-    listed = hot_keys(facts, keys, skew) if hot is None else hot
-    marked = F.broadcast(listed.withColumn("_hot", F.lit(True)))
-    salt = F.pmod(F.xxhash64(spread_on), F.lit(skew.salts)).cast("int")
-    tagged = facts.join(marked, keys, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), salt).otherwise(0)
-    )
-    every = F.sequence(F.lit(0), F.lit(skew.salts - 1))
-    copies = lookup.join(marked, keys, "left").withColumn(
-        "_salt", F.explode(F.when(F.col("_hot"), every).otherwise(F.array(F.lit(0))))
-    )
-    return tagged.drop("_hot").join(copies.drop("_hot"), [*keys, "_salt"]).drop("_salt")
+    marked = F.broadcast(hot_keys(facts, keys, skew) if hot is None else hot)
+    parts = F.coalesce(F.col("_salts"), F.lit(1))
+    tagged = facts.join(marked, keys, "left").withColumn("_salt", F.pmod(F.xxhash64(spread_on), parts).cast("int"))
+    copies = lookup.join(marked, keys, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    return tagged.drop("_salts").join(copies.drop("_salts"), [*keys, "_salt"]).drop("_salt")

@@ -62,6 +62,7 @@ RENDER = T.StructType(
         T.StructField("state", T.StringType()),
         T.StructField("window_closed", T.BooleanType()),
         T.StructField("failed", T.BooleanType()),
+        T.StructField("missing", T.BooleanType()),
         T.StructField("score", T.DoubleType()),
         T.StructField("result", T.BooleanType()),
         T.StructField(

@@ -58,7 +58,8 @@ def flatten_pages(pages: DataFrame, score_field: str = "score") -> DataFrame:
         art["sha256"].alias("sha256"),
         iso_moment(art["created"]).alias("artifact_created"),
         art["size"].alias("size"),
-        scan["mimetype"].alias("mimetype"),
+        # Either plain text, or an object that names it.
+        F.coalesce(F.get_json_object(scan["mimetype"], "$.mime"), scan["mimetype"]).alias("mimetype"),
         *_scan_block("first", scan["first_scan"], score_field),
         *_scan_block("latest", scan["latest_scan"], score_field),
     )
@@ -86,7 +87,7 @@ def render_rows(renders: DataFrame) -> DataFrame:
         "state",
         F.coalesce("window_closed", F.lit(False)).alias("window_closed"),
         F.coalesce("failed", F.lit(False)).alias("failed"),
-        F.lit(False).alias("missing"),
+        F.coalesce("missing", F.lit(False)).alias("missing"),
         "score",
         F.coalesce(F.size("assertions"), F.lit(0)).alias("n_assertions"),
     )

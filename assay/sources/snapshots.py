@@ -6,7 +6,7 @@ import json
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -17,10 +17,23 @@ class SnapshotError(ValueError):
     """A snapshot does not hold what its manifest says."""
 
 
+def row_text(names: list[str]) -> Column:
+    """A row as text: every column's name and value, in order of names. Values carry their
+    length, so no two rows read alike; a null has none."""
+    parts = []
+    for c in sorted(names):
+        value = F.col(c).cast("string")
+        parts.append(F.concat(F.lit(f"{c}="), F.coalesce(F.concat(F.length(value).cast("string"), F.lit(":"), value), F.lit("null"))))
+    return F.concat_ws(";", *parts)
+
+
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Row count, sum and xor of row hashes: the same for any row or column order."""
-    row = F.xxhash64(*[F.struct(F.lit(c), F.col(c)) for c in sorted(df.columns)])
-    return df.select(row.alias("h")).agg(
+    """Row count, sum and xor of row digests: the same for any row or column order.
+
+    A row's number is the first 60 bits of the md5 of its text, so any engine can recount it.
+    """
+    number = F.conv(F.substring(F.md5(row_text(df.columns)), 1, 15), 16, 10).cast("bigint")
+    return df.select(number.alias("h")).agg(
         F.count("*").alias("rows"),
         F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("hash_sum"),
         F.coalesce(F.bit_xor("h"), F.lit(0)).alias("hash_xor"),
@@ -109,15 +122,20 @@ def write_report(df: DataFrame, path: str) -> None:
     df.coalesce(1).write.mode("errorifexists").json(path)
 
 
-def write_periods(df: DataFrame, path: str, moment: str = "created", grain: str = "day") -> None:
+def write_periods(
+    df: DataFrame, path: str, moment: str = "created", grain: str = "day", rows_per_file: int = 2_000_000
+) -> None:
     """A store partitioned by period; re-running a period replaces that period only.
 
-    A period's rows are spread over several files, so one busy period is not one task.
+    A period's rows are spread over as many tasks and files as its count asks for, so neither a
+    busy period nor a long grain is one task. The counts are one row per period.
     """
-    spread = F.pmod(F.xxhash64("number"), F.lit(16))
+    dated = df.withColumn("period", F.date_trunc(grain, moment).cast("date"))
+    files = dated.groupBy(F.col("period").alias("_period")).agg(F.ceil(F.count("*") / rows_per_file).alias("_files"))
+    sized = dated.join(F.broadcast(files), F.col("period").eqNullSafe(F.col("_period"))).drop("_period")
     (
-        df.withColumn("period", F.date_trunc(grain, moment).cast("date"))
-        .repartition("period", spread)
+        sized.repartition("period", F.pmod(F.xxhash64("number"), F.col("_files")))
+        .drop("_files")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("period")

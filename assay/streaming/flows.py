@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from ..functions.scalar import logit, sigmoid
+from ..params import Skew
+from ..plans.ordering import prefix_sums, range_bucket
 from ..sources.pages import last_record
 
 
@@ -38,44 +41,68 @@ def ingest_stream(source: DataFrame, out: str, checkpoint: str, moment: str) ->
     )
 
 
+def _stored(spark: SparkSession, path: str, schema: StructType, before: int) -> DataFrame:
+    """Rows of the batches of a store before this one; none if there is no store yet."""
+    try:
+        found = spark.read.parquet(path)
+    except AnalysisException:
+        return spark.createDataFrame([], schema)
+    return found.filter(F.col("batch") < before).select(*schema.names)
+
+
 def rescore_stream(
     signals: DataFrame,
     scores: DataFrame,
     weights: Mapping[str, float],
     *,
     key: str,
-    delay: str,
+    store: str,
     out: str,
     checkpoint: str,
+    skew: Skew | None = None,
 ) -> StreamingQuery:
     """A second observation per late signal; the first one is never edited.
 
     `signals` has (signal_id, key, type, observed_at); `scores` (key, scoring_moment,
-    probability). Repeats of a signal within the delay are dropped, which also bounds the
-    state. Only the combination is redone, never the model.
+    probability). Only the combination is redone, never the model: the log-odds of the first
+    score plus the weights of all evidence known of the key up to the signal's moment.
+
+    Evidence of any age counts. Signals are kept in `store`, one partition per batch, and a
+    repeated signal is one that the store has; there is no watermark that could lose one. A
+    batch that is retried replaces its own partitions.
     """
+    cut = skew or Skew()
     weight: Column = F.lit(0.0)
     for name, w in weights.items():
         weight = F.when(F.col("type") == name, F.lit(float(w))).otherwise(weight)
-    fresh = (
-        signals.withColumn("observed_at", F.col("observed_at").cast("timestamp"))
-        .withWatermark("observed_at", delay)
-        .dropDuplicatesWithinWatermark(["signal_id"])
-    )
-    late = fresh.join(scores, key).filter(F.col("observed_at") > F.col("scoring_moment"))
-    observed = late.select(
-        "signal_id",
-        key,
-        "type",
-        F.col("observed_at").alias("scored_at"),
-        F.col("probability").alias("first_score"),
-        sigmoid(logit(F.col("probability")) + weight).alias("combined_score"),
-    )
+
+    def rescore(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        named = batch.select("signal_id", key, "type", F.col("observed_at").cast("timestamp").alias("observed_at"))
+        earlier = _stored(spark, store, named.schema, batch_id)
+        own = f"{store}/batch={batch_id}"
+        fresh = named.dropDuplicates(["signal_id"]).join(earlier, "signal_id", "left_anti")
+        fresh.write.mode("overwrite").parquet(own)
+        fresh = spark.read.schema(named.schema).parquet(own)
+        late = fresh.join(scores, key).filter(F.col("observed_at") > F.col("scoring_moment"))
+        known = earlier.unionByName(fresh).join(late.select(key).distinct(), key, "left_semi")
+        # Equal moments first become one row; a key of many signals is cut by time.
+        moments = known.groupBy(key, "observed_at").agg(F.sum(weight).alias("w"))
+        evidence = prefix_sums(
+            range_bucket(moments, "observed_at", cut.buckets), by=[key], order=["observed_at"], sums={"evidence": "w"}
+        )
+        late.join(evidence.select(key, "observed_at", "evidence"), [key, "observed_at"]).select(
+            "signal_id",
+            key,
+            "type",
+            F.col("observed_at").alias("scored_at"),
+            F.col("probability").alias("first_score"),
+            sigmoid(logit(F.col("probability")) + F.col("evidence")).alias("combined_score"),
+        ).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
     return (
-        observed.writeStream.format("parquet")
-        .option("path", out)
+        signals.writeStream.foreachBatch(rescore)
         .option("checkpointLocation", checkpoint)
-        .outputMode("append")
         .trigger(availableNow=True)
         .start()
     )

@@ -16,6 +16,8 @@ from assay.operators.features import (
     family_scalars,
     late_rows,
     merge_static,
+    off_roster,
+    roster_of,
 )
 
 ROSTER = ["A", "B", "C", "D"]
@@ -79,11 +81,16 @@ def test_counts_out_of_step_are_found(cohort, long):
     assert count_drift(cohort, first).first().asDict() == {"n_definite": 0, "n_malicious": 0, "n_responded": 0}
     broken = cohort.withColumn("n_malicious", F.col("n_malicious") + 1)
     assert count_drift(broken, first).first()["n_malicious"] == 2
+    with pytest.raises(Exception, match="stored counts differ"):
+        build_matrix(broken, long, ROSTER)[0].collect()
+    assert build_matrix(broken, long, ROSTER, strict=False)[0].count() == 2
 
 
 def test_static_block_needs_an_instant_and_is_checked_per_row(spark, cohort, long):
     static = spark.createDataFrame([("x", 3, T + dt.timedelta(seconds=1))], "sha256 string, n_sections int, pe_as_of timestamp_ntz")
-    assert late_rows(merge_static(cohort, static)).first()["late"] == 1
+    assert late_rows(merge_static(cohort, static, strict=False)).first()["late"] == 1
+    with pytest.raises(Exception, match="later than the scoring moment"):
+        merge_static(cohort, static).collect()
     fine = static.withColumn("pe_as_of", F.lit(T).cast("timestamp_ntz"))
     assert late_rows(merge_static(cohort, fine)).first()["late"] == 0
     matrix, groups = build_matrix(cohort, long, ROSTER, fine)
@@ -112,3 +119,39 @@ def test_design_and_align(spark):
     with pytest.raises(ValueError):
         design(df.withColumn("pi", F.lit(1.0)), ["a", "pi"])
     assert align(df, ["z", "a"]).first().asDict() == {"z": 0, "a": 1}
+
+
+def test_engines_off_the_roster_are_counted_and_refused(cohort, long):
+    assert roster_of(long) == ["A", "B", "C", "D"]
+    with pytest.raises(ValueError, match="more than 3"):
+        roster_of(long, most=3)
+    first = long.filter("scan_role = 'feature'")
+    assert {r["author"]: r["n"] for r in off_roster(first, ["A"]).collect()} == {"B": 1, "C": 1}
+    with pytest.raises(Exception, match="off the roster"):
+        encode_verdicts(first, ["A", "B"]).collect()
+    with pytest.raises(Exception, match="off the roster"):
+        build_matrix(cohort, long, ["A", "B"])[0].collect()
+    kept = encode_verdicts(first, ["A", "B"], strict=False).first().asDict()
+    assert kept == {"sha256": "x", "engine_A_responded": 1, "engine_A_malicious": 1, "engine_B_responded": 1, "engine_B_malicious": 0}
+
+
+def test_three_hundred_engines_are_no_aggregates_each(spark):
+    roster = [f"engine {i:03d}.x" for i in range(300)]
+    rows = [(f"s{i % 7}", e, None if i % 3 == 2 else i % 3 == 0) for i, e in enumerate(roster)]
+    df = spark.createDataFrame(rows, "sha256 string, author string, verdict boolean")
+    wide = encode_verdicts(df, roster)
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("max(") < 20 and "pivotfirst" in plan.lower()
+    found = {r["sha256"]: r for r in wide.collect()}
+    for i, e in enumerate(roster):
+        mine = found[f"s{i % 7}"]
+        assert (mine[f"engine_{e}_responded"], mine[f"engine_{e}_malicious"]) == (1, int(i % 3 == 0))
+        assert found[f"s{(i + 1) % 7}"][f"engine_{e}_responded"] == 0
+
+
+def test_one_to_one(spark):
+    one, two = (spark.createDataFrame([(k,) for k in keys], "k string") for keys in ("ab", "abc"))
+    checks.one_to_one(one, one, "k")
+    for left, right in ((one, two), (two, one), (one.union(one), one)):
+        with pytest.raises(checks.CheckError):
+            checks.one_to_one(left, right, "k")

@@ -1,6 +1,7 @@
 """Snapshots, landed JSON, and the incremental forms."""
 
 import datetime as dt
+import math
 import json
 
 import pytest
@@ -123,17 +124,31 @@ def test_ingest_goes_on_with_new_files_only(spark, tmp_path):
     assert {r["day"].isoformat() for r in spark.read.parquet(out).select("day").distinct().collect()} == {"2026-01-01", "2026-01-02"}
 
 
-def test_late_signals_append_and_repeats_are_dropped(spark, tmp_path):
-    src, out, state = (str(tmp_path / n) for n in ("src", "out", "state"))
-    hour = dt.timedelta(hours=1)
-    rows = [(1, "a", "c2", T + hour), (1, "a", "c2", T + hour), (2, "a", "c2", T - hour), (3, "b", "other", T + hour)]
-    spark.createDataFrame(rows, SIGNALS).coalesce(1).write.parquet(src)
+def test_late_signals_count_whatever_their_age(spark, tmp_path):
+    src, store, out, state = (str(tmp_path / n) for n in ("src", "store", "out", "state"))
+    at = lambda hours: T + dt.timedelta(hours=hours)
+    runs = [
+        [(1, "a", "c2", at(12)), (1, "a", "c2", at(12)), (2, "a", "c2", at(-1)), (3, "b", "other", at(1))],
+        # Older than anything seen, a repeat, and two signals of one key at one moment.
+        [(4, "a", "c2", at(6)), (1, "a", "c2", at(12)), (5, "b", "c2", at(2)), (6, "b", "vt", at(2)), (7, "nobody", "c2", at(9))],
+        [],
+    ]
     scores = spark.createDataFrame([("a", 0.2, T), ("b", 0.4, T)], "sha256 string, probability double, scoring_moment timestamp_ntz")
     scores = scores.withColumn("scoring_moment", F.col("scoring_moment").cast("timestamp"))
-    stream = flows.file_stream(spark, src, spark.read.parquet(src).schema)
-    flows.rescore_stream(stream, scores, {"c2": 2.0}, key="sha256", delay="1 day", out=out, checkpoint=state).awaitTermination()
-    got = {r["signal_id"]: (r["first_score"], round(r["combined_score"], 6)) for r in spark.read.parquet(out).collect()}
-    assert got == {1: (0.2, round(1 / (1 + 4 * 2.718281828459045**-2), 6)), 3: (0.4, 0.4)}
+    for rows in runs:
+        if rows:
+            spark.createDataFrame(rows, SIGNALS).coalesce(1).write.mode("append").parquet(src)
+        stream = flows.file_stream(spark, src, spark.read.parquet(src).schema)
+        flows.rescore_stream(
+            stream, scores, {"c2": 2.0, "vt": 0.5}, key="sha256", store=store, out=out, checkpoint=state
+        ).awaitTermination()
+    rows = spark.read.parquet(out).collect()
+    odds = {"a": -math.log(4), "b": math.log(0.4 / 0.6)}
+    evidence = {1: 4.0, 3: 0.0, 4: 4.0, 5: 2.5, 6: 2.5}
+    assert sorted(r["signal_id"] for r in rows) == sorted(evidence)
+    for r in rows:
+        expected = 1 / (1 + math.exp(-odds[r["sha256"]] - evidence[r["signal_id"]]))
+        assert r["combined_score"] == pytest.approx(expected)
 
 
 def test_pending_rows_settle(spark, tmp_path):
@@ -144,3 +159,31 @@ def test_pending_rows_settle(spark, tmp_path):
         flows.settle_stream(stream, "k", ["at"], out, state).awaitTermination()
     view = {r["k"]: r["status"] for r in flows.settled_view(spark, out, "k", ["at"]).collect()}
     assert view == {"a": "labelled", "b": "labelled", "c": "pending"}
+
+
+def test_a_mimetype_may_be_text_or_an_object(spark):
+    scan = '{"scan": {"mimetype": %s}, "artifact": {"sha256": "%s"}}'
+    lines = ['{"result": [%s, %s]}' % (scan % ('{"mime": "application/pdf", "extended": "x"}', "a"), scan % ('"text/html"', "b"))]
+    got = pages.parse_pages(spark.createDataFrame([(x,) for x in lines], "value string"))
+    assert {r["sha256"]: r["mimetype"] for r in got.collect()} == {"a": "application/pdf", "b": "text/html"}
+
+
+def test_a_landed_render_may_be_missing(spark):
+    lines = ['{"id": "1", "missing": true}', '{"id": "2", "window_closed": true}']
+    rows = pages.render_rows(pages.parse_renders(spark.createDataFrame([(x,) for x in lines], "value string")))
+    drawn = spark.createDataFrame([("a", 2), ("b", 2)], "sha256 string, instance_number long")
+    sent = spark.createDataFrame([("a", 1), ("b", 2)], "sha256 string, rescan_instance long")
+    assert {r["sha256"]: r["status"] for r in overlay(drawn, sent, rows).collect()} == {"a": "missing_render", "b": "no_assertions"}
+
+
+def test_a_long_period_is_spread_by_its_count(spark, tmp_path):
+    rows = [(i, T + dt.timedelta(hours=i % 40)) for i in range(400)]
+    df = spark.createDataFrame(rows, "number long, created timestamp_ntz")
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"  # it joins tasks of few rows again
+    spark.conf.set(merging, "false")
+    snapshots.write_periods(df, str(tmp_path / "p"), rows_per_file=50)
+    spark.conf.unset(merging)
+    back = spark.read.parquet(str(tmp_path / "p"))
+    assert back.count() == 400 and "_files" not in back.columns
+    files = back.select("period", F.input_file_name().alias("f")).distinct().groupBy("period").count().collect()
+    assert all(r["count"] > 1 for r in files)
