@@ -296,7 +296,9 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     named = docs.filter(F.col(id_col).isNotNull())
     found = near_duplicates(named, id_col=id_col, text_col=text_col, **options)
     kept = staged(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
-    ids = kept.select(F.col("doc_id").alias(id_col))
+    # About as many ids stay as there are documents, so this is a shuffle join at any size: a
+    # broadcast of few ids would only make small runs unlike large ones.
+    ids = kept.select(F.col("doc_id").alias(id_col)).hint("merge")
     out = named.join(ids, id_col, "left_semi")
     if not kept.filter("n > 1").isEmpty():
         out = out.dropDuplicates([id_col, text_col])
