@@ -36,12 +36,13 @@ SAMPLE = 20_000
 #: Most lexicon entries, and the shortest and longest beginnings of words among them.
 LEXICON = 400
 PREFIXES = (4, 5, 6, 7)
-#: Log-odds and rows from which an entry is kept.
-LEAST_ODDS = math.log(30)
+#: Log-odds and rows from which an entry is kept, and log-odds from which a word with it is a hit.
+LEAST_ODDS = math.log(6)
 LEAST_ROWS = 4
+HIT_ODDS = math.log(30)
 THRESHOLD = 0.3
 NAMES = (
-    "log_words insult_density hits hit_density strongest weight distinct near_second second_density capitals "
+    "log_words insult_density hits hit_density strongest weight weak_hits weak_density distinct near_second second_density capitals "
     "shouted exclaimed punctuation obfuscated obfuscated_hits stretched"
 ).split()
 
@@ -84,7 +85,8 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
     n = max(1, len(words))
     of = lexicon.of
     weights = np.fromiter(map(of, words), np.float64, len(words))
-    at = np.flatnonzero(weights > 0)
+    at = np.flatnonzero(weights >= HIT_ODDS)
+    weak = int((weights > 0).sum()) - len(at)
     second = [i for i, w in enumerate(words) if w in _SECOND]
     near = 0
     if len(at) and second:
@@ -101,6 +103,8 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
         100.0 * len(at) / n,
         float(weights.max(initial=0.0)),
         float(weights.sum()) / math.sqrt(n),
+        float(weak),
+        100.0 * weak / n,
         float(len({words[i] for i in at.tolist()})),
         float(near),
         100.0 * len(second) / n,
@@ -109,7 +113,7 @@ def features(text: str | None, lexicon: Lexicon) -> list[float]:
         100.0 * int(raw[33]) / n,
         marks / len(text),
         100.0 * len(odd) / n,
-        float(sum(w in _INSULTS or of(w) > 0 for w in plain)),
+        float(sum(w in _INSULTS or of(w) >= HIT_ODDS for w in plain)),
         100.0 * len(_STRETCH.findall(text)) / n,
     ]
 
@@ -163,7 +167,7 @@ def learn(rows: DataFrame, size: int = LEXICON) -> dict[int, Lexicon]:
                 if w >= LEAST_ODDS:
                     odds[k] = a, w
         first = sorted(odds, key=lambda k: (-odds[k][0] * odds[k][1], k))[:size]
-        out[fold] = Lexicon({k: odds[k][1] for k in first} | {w: max(LEAST_ODDS, odds.get(w, (0, 0))[1]) for w in INSULTS})
+        out[fold] = Lexicon({k: odds[k][1] for k in first} | {w: max(HIT_ODDS, odds.get(w, (0, 0))[1]) for w in INSULTS})
     return out
 
 
