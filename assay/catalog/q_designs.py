@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..operators import calibrate, clusters, draw, frame, labels, metrics, model
 from ..plans.ordering import hash_first_n, hash_key
 from ..sources import pages
 from ..sources.tables import ROSTER, artifact_key
-from .ctes import band_sql, logit_sql
+from .ctes import CTES, band_sql, logit_sql
 from .q_models import slice_auc
 from .q_sources import render_lines
 from .q_study import control_matrix
@@ -66,6 +68,25 @@ def spec3(s: Study) -> DataFrame:
     return _settled(s).select("sha256", "label", "reason")
 
 
+_RULE = ("base", "cohort", "roles", "long", "at_t", "at_l", "paired", "changes", "classed", "evidence", "labels_out")
+SETTLED_RULE = {
+    **LATER,
+    "base_b": f"""SELECT l.* REPLACE (x.number AS label_instance_number) FROM labelled l JOIN states s ON s.sha256 = l.sha256
+        JOIN (SELECT f.sha256, c.number, row_number() OVER (PARTITION BY f.sha256 ORDER BY c.completed DESC, c.number DESC) AS rn
+          FROM frame f JOIN scored c ON c.sha256 = f.sha256 AND c.completed > f.scoring_moment) x ON x.sha256 = l.sha256 AND x.rn = 1
+        WHERE coalesce({CONVERGED} AND final_definite >= 2, false)""",
+    "cohort_b": "SELECT *, 'settled' AS stratum, 1.0::DOUBLE AS pi FROM base_b",
+    # The label rule's own steps, over the settled base.
+    **{f"{n}_b": re.sub(rf"\b({'|'.join(_RULE)})\b", r"\1_b", CTES[n]) for n in _RULE[2:]},
+}
+
+
+@query("spec3_settled_rule_label", "SELECT sha256, label, reason FROM labels_out_b", **SETTLED_RULE)
+def spec3_rule(s: Study) -> DataFrame:
+    found = settled.settled_rule_labels(s.labelled, s.scored, s.verdicts, s.params)
+    return found.select("sha256", "label", "reason")
+
+
 @query("spec4_era_probe")
 def spec4(s: Study) -> DataFrame:
     matrix, groups = s.matrix

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.scalar import days_between, micros, ratio, year_of
 from ..params import Params
 from ..plans.ordering import prefix_sums, range_bucket
-from .frame import later_scans
+from .frame import later_scans, long_verdicts, roles
+from .labels import label
 
 
 def recency_rank(later: DataFrame, params: Params) -> DataFrame:
@@ -23,8 +24,9 @@ def recency_rank(later: DataFrame, params: Params) -> DataFrame:
     ).drop("_t")
 
 
-def settled_state(frame: DataFrame, scans: DataFrame, params: Params) -> DataFrame:
-    """Per artifact: later scans, elapsed days, and the states and span of the last K.
+def settled_state(frame: DataFrame, scans: DataFrame, params: Params, *, with_number: bool = False) -> DataFrame:
+    """Per artifact: later scans, elapsed days, and the states and span of the last K, with the
+    number of the last scan if asked for.
 
     Totals are plain aggregates. The last K rows come from a ranked window whose limit Spark
     applies before the shuffle, so a task sends at most K rows per artifact.
@@ -44,6 +46,7 @@ def settled_state(frame: DataFrame, scans: DataFrame, params: Params) -> DataFra
             days_between(F.min("completed"), F.max("completed")).alias("stable_span_days"),
             F.max_by("n_definite", F.struct("completed", "number")).alias("final_definite"),
             F.max_by("n_malicious", F.struct("completed", "number")).alias("final_malicious"),
+            F.max(F.struct("completed", "number"))["number"].alias("final_number"),
         )
     )
     return (
@@ -59,6 +62,7 @@ def settled_state(frame: DataFrame, scans: DataFrame, params: Params) -> DataFra
             "stable_span_days",
             "final_definite",
             "final_malicious",
+            *(["final_number"] if with_number else []),
         )
     )
 
@@ -102,3 +106,16 @@ def settled_label(states: DataFrame, params: Params) -> DataFrame:
         .otherwise("malicious")
     )
     return states.select("sha256", "scoring_moment", name.alias("label"), reason.alias("reason"))
+
+
+def settled_rule_labels(frame: DataFrame, scans: DataFrame, verdicts: DataFrame, params: Params) -> DataFrame:
+    """The four labels of the label rule, taken from the last scan of each settled artifact.
+
+    Families route there as they do at a label scan, so a settled file may be unwanted, and
+    weak agreement leaves it undecidable. Artifacts that have not settled are not in it.
+    """
+    states = settled_state(frame, scans, params, with_number=True)
+    _, _, _, labellable = _steps(params)
+    last = states.filter(labellable).select("sha256", F.col("final_number").alias("label_instance_number"))
+    base = frame.drop("label_instance_number").join(last, "sha256")
+    return label(base, long_verdicts(roles(base), verdicts), params)
