@@ -96,6 +96,43 @@ def draw10(s: Study) -> DataFrame:
     )
 
 
+COLLECTED = {
+    **STATUS_CTE,
+    "kept_": """SELECT o.*, k.n AS n_kept FROM overlaid o JOIN (
+        SELECT stratum, count(*) AS n FROM overlaid WHERE status = 'labelled' GROUP BY 1) k USING (stratum) WHERE status = 'labelled'""",
+}
+
+
+@query(
+    "draw10_collected_cohort",
+    """SELECT k.sha256, k.stratum, k.instance_number, k.label_instance_number, k.l_created AS label_moment,
+      date_diff('microsecond', k.scoring_moment, k.l_created) / 86400000000.0 AS gap_days,
+      t.n_definite, t.n_malicious, t.n_responded, l.n_definite AS l_definite, l.n_malicious AS l_malicious, l.n_responded AS l_responded,
+      k.pi AS pi_draw, k.n_kept AS n_draw, k.n_kept::DOUBLE / k.n_available AS pi
+      FROM kept_ k JOIN counts t ON t.instance_number = k.instance_number JOIN counts l ON l.instance_number = k.label_instance_number""",
+    doubles="gap_days pi_draw pi",
+    **COLLECTED,
+)
+def draw10_cohort(s: Study) -> DataFrame:
+    cohort, _ = forced.collected_run(overlaid(s), pages.explode_renders(pages.parse_renders(render_lines(s))))
+    kept = ["sha256", "stratum", "instance_number", "label_instance_number", "label_moment", "gap_days"]
+    return cohort.select(
+        *kept, "n_definite", "n_malicious", "n_responded", "l_definite", "l_malicious", "l_responded", "pi_draw", "n_draw", "pi"
+    )
+
+
+@query(
+    "draw10_collected_long",
+    """SELECT k.sha256, r.scan_role, v.author, v.verdict, v.malware_family FROM kept_ k,
+      LATERAL (VALUES ('feature', k.instance_number), ('label', k.label_instance_number)) r(scan_role, number)
+      JOIN verdicts v ON v.instance_number = r.number""",
+    **COLLECTED,
+)
+def draw10_long(s: Study) -> DataFrame:
+    _, long = forced.collected_run(overlaid(s), pages.explode_renders(pages.parse_renders(render_lines(s))))
+    return long.select("sha256", "scan_role", "author", "verdict", "malware_family")
+
+
 # ---------------------------------------------------------------- labels
 
 

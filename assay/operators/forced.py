@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import days_between
 from .draw import realized_pi
-from .frame import verdict_counts
+from .frame import long_verdicts, roles, verdict_counts
 
 STATUSES = ("labelled", "no_assertions", "pending", "failed", "missing_render", "not_submitted")
 
@@ -91,3 +91,28 @@ def collected_base(overlaid: DataFrame, verdicts: DataFrame) -> DataFrame:
         .withColumn("gap_days", days_between(F.col("scoring_moment"), F.col("l_created")))
         .withColumn("label_instance_number", F.col("rescan_instance"))
     )
+
+
+def collected_run(overlaid: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cohort, long): a run made of what landed.
+
+    The cohort has counts of both scans from their own verdict rows, and its `pi` is the
+    realized share of the band, labelled over available; the design's stays as `pi_draw`. `long`
+    has one row per (artifact, role, engine) of its rows.
+    """
+    kept = realized_pi(overlaid, F.col("status") == "labelled")
+    counts = verdict_counts(verdicts, "instance_number")
+    names = ("n_definite", "n_malicious", "n_responded")
+
+    def side(key: str, prefix: str) -> DataFrame:
+        return counts.select(F.col("instance_number").alias(key), *[F.col(c).alias(prefix + c[1:]) for c in names])
+
+    drawn = kept.drop(*names, *["l" + c[1:] for c in names], "n_draw").withColumnsRenamed({"pi": "pi_draw", "n_kept": "n_draw"})
+    both = drawn.join(side("instance_number", "n"), "instance_number", "left").join(side("rescan_instance", "l"), "rescan_instance", "left")
+    cohort = (
+        both.fillna(0, subset=[*names, *["l" + c[1:] for c in names]])
+        .withColumn("gap_days", days_between(F.col("scoring_moment"), F.col("l_created")))
+        .drop("label_instance_number")
+        .withColumnsRenamed({"rescan_instance": "label_instance_number", "l_created": "label_moment", "pi_realized": "pi"})
+    )
+    return cohort, long_verdicts(roles(cohort), verdicts)
