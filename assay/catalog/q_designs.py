@@ -93,7 +93,7 @@ def spec4(s: Study) -> DataFrame:
     late = F.col("scoring_moment") >= F.lit("1995-09-01 00:00:00").cast("timestamp_ntz")
     rows = matrix.withColumn("is_late", late.cast("int"))
     found = models.probe(rows, "is_late", groups["features_new"], "sha256", s.params, k=3)
-    return found.agg(F.avg("auc").alias("auc"), F.count("*").alias("folds"))
+    return found.agg(F.avg("auc").alias("auc"), F.count("fold").alias("folds"))
 
 
 @query(

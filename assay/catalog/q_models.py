@@ -75,7 +75,7 @@ def ml6(s: Study) -> DataFrame:
     rows = s.matrix[0].join(seen, "sha256", "left_semi")
     rows = rows.withColumn("is_customer", (F.col("provenance") == "customer").cast("int"))
     found = models.probe(rows, "is_customer", _groups(s)["features_new"], "sha256", s.params)
-    return found.agg(F.avg("auc").alias("auc"), F.count("*").alias("folds")).withColumn(
+    return found.agg(F.avg("auc").alias("auc"), F.count("fold").alias("folds")).withColumn(
         "gate", F.when(F.col("auc") > s.params.probe_max_auc, "failed").otherwise("ok")
     )
 

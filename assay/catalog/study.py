@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators import draw, features, frame, labels, splits
 from ..params import Bands, Params
-from ..plans.stage import stage_once
+from ..plans.stage import folder_state, stage_once
 from ..sources import tables
 from ..sources.tables import ROSTER
 
@@ -42,7 +42,7 @@ class Study:
     def stage(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         if self.lazy:
             return build()
-        return stage_once(self.spark, (self.folder, str(self.params)), name, build)
+        return stage_once(self.spark, (folder_state(self.spark, self.folder), str(self.params)), name, build)
 
     def table(self, name: str) -> DataFrame:
         return tables.table(self.spark, self.folder, name)

@@ -38,9 +38,6 @@ def sigmoid(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 
-def is_true(flag: Column) -> Column:
-    return F.coalesce(flag, F.lit(False))
-
 
 def provenance_of(scan_config: Column) -> Column:
     """feed, or customer for everything else, NULL included."""

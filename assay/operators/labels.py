@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.families import family_class
 from ..functions.scalar import ratio
-from ..params import LABELS, TIME_SEPARATED_GRADE, Params
+from ..params import LABELS, LABEL_FOLD, Params, TIME_SEPARATED_GRADE
 
 CHANGES = ("flips", "retractions", "joined", "left", "stable")
 EVIDENCE = (
@@ -150,12 +150,10 @@ def label(cohort: DataFrame, long: DataFrame, params: Params) -> DataFrame:
 
 def folded(label_column: Column) -> Column:
     """The finer taxonomy folded into the four labels; dropped ones become NULL."""
-    return (
-        F.when(label_column == "known_good", "benign")
-        .when(label_column == "dual_use", "unwanted")
-        .when(label_column == "excluded", None)
-        .otherwise(label_column)
-    )
+    out = label_column
+    for finer, label_name in LABEL_FOLD.items():
+        out = F.when(label_column == finer, F.lit(label_name)).otherwise(out)
+    return out
 
 
 def rates(labels: DataFrame) -> DataFrame:

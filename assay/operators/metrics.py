@@ -111,9 +111,9 @@ def prob_metrics(df: DataFrame, prob: Column, *by: str, y: str = "y") -> DataFra
     )
 
 
-def bin_count(rows: int, wanted: int = 10) -> int:
-    """Fewer bins when there are few rows: at least five rows per bin."""
-    return max(2, min(wanted, rows // 5)) if rows >= 10 else 2
+def bin_count(rows: int, wanted: int = 10, per_bin: int = 5) -> int:
+    """How many bins of at least `per_bin` rows there can be, from two up to `wanted`."""
+    return max(2, min(wanted, rows // per_bin))
 
 
 def with_bins(df: DataFrame, prob: str, bins: int, skew: Skew) -> DataFrame:

@@ -96,12 +96,17 @@ def fit_trees(
     seed: int,
     depths: Sequence[int] = TREE_DEPTHS,
     counts: Sequence[int] = TREE_COUNTS,
+    leaf: int | None = None,
 ) -> Fitted:
-    """Gradient-boosted trees with flags for missing values, step 0.05."""
+    """Gradient-boosted trees with flags for missing values, step 0.05.
+
+    `leaf` is the least rows of a leaf; by default 20, or a tenth of the rows if there are fewer
+    than 200.
+    """
     data = vectors(train, columns, ["y"], missing_flags=True)
     data = data.withColumn("y", F.col("y").cast("double")).persist()
     try:
-        leaf = max(1, min(20, data.count() // 10))
+        leaf = leaf or max(1, min(20, data.count() // 10))
         fits = []
         for depth, rounds in product(depths, counts):
             model = GBTClassifier(
@@ -165,16 +170,19 @@ def fold_of(df: DataFrame, target: str, key: str, k: int, params: Params) -> Dat
     return placed.withColumn("fold", ((F.col("_pos") - 1) % k).cast("int")).drop("_key", "_pos")
 
 
-def probe(df: DataFrame, target: str, columns: Sequence[str], key: str, params: Params, k: int = 5) -> DataFrame:
+def probe(
+    df: DataFrame, target: str, columns: Sequence[str], key: str, params: Params, k: int = 5, least: int = 5
+) -> DataFrame:
     """How well features tell `target` apart: out-of-fold AUC per fold.
 
-    Fewer folds when a class is small; no rows when it has fewer than five.
+    As many folds as the smaller class has rows, `k` at most. If it has fewer than `least`, there
+    is nothing to fold: one row without a fold or AUC, with the number of rows.
     """
     sizes = {r[target]: r["count"] for r in df.groupBy(target).count().collect()}
     smallest = min(sizes.get(0, 0), sizes.get(1, 0))
     schema = "fold int, n bigint, auc double"
-    if smallest < 5:
-        return df.sparkSession.createDataFrame([], schema)
+    if smallest < least:
+        return df.sparkSession.createDataFrame([(None, sum(sizes.values()), None)], schema)
     k = min(k, smallest)
     data = fold_of(
         vectors(df, columns, [key, target]), target, key, k, params

@@ -389,18 +389,6 @@ def duration_sanity(scans: DataFrame, params: Params) -> DataFrame:
     )
 
 
-def rates_by_tier(labels: DataFrame, tiers: Mapping[str, Column]) -> DataFrame:
-    """Counts per named condition, a row per condition."""
-    one = labels.agg(*[F.count_if(c).alias(n) for n, c in tiers.items()])
-    return one.unpivot([], list(tiers), "tier", "n")
-
-
-def banded_labellable(labelled: DataFrame, bands: Bands) -> DataFrame:
-    filled = labelled.filter(F.col("label_instance_number").isNotNull()).fillna(
-        0, subset=["n_definite", "n_malicious"]
-    )
-    return with_band(filled, bands)
-
 
 def firehose_bands(renders: DataFrame, bands: Bands) -> DataFrame:
     """Band sizes of raw scan records in one pass, counting inside each record's own array."""

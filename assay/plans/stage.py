@@ -12,6 +12,17 @@ from ..sources.session import new_path
 _WRITTEN: dict[Hashable, str] = {}
 
 
+def folder_state(spark: SparkSession, folder: str) -> tuple[tuple[str, int, int], ...]:
+    """(name, bytes, time written) of every file under a folder, in any store Spark can read."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(path, True)
+    files = []
+    while found.hasNext():
+        one = found.next()
+        files.append((one.getPath().toString(), one.getLen(), one.getModificationTime()))
+    return tuple(sorted(files))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """`df` as a table other executors can read again after a loss."""
     path = new_path(df.sparkSession, name)

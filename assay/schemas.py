@@ -5,18 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-VERDICT = T.StructType(
-    [
-        T.StructField("instance_number", T.LongType()),
-        T.StructField("author", T.StringType()),
-        T.StructField("verdict", T.BooleanType()),
-        T.StructField("bid", T.LongType()),
-        T.StructField("malware_family", T.StringType()),
-        T.StructField("scanner_version", T.StringType()),
-    ]
-)
-
-
 def page_schema(score_field: str = "score") -> T.StructType:
     """An index page: documents with an artifact, its first scan and its latest scan.
 

@@ -17,7 +17,7 @@ from assay.plans.ordering import (
     running_by_value,
 )
 from assay.plans.skew import hot_keys, salted_lookup
-from assay.plans.stage import stage_once, staged
+from assay.plans.stage import folder_state, stage_once, staged
 
 
 def _rows(n=800, seed=3):
@@ -131,3 +131,12 @@ def test_stages_are_written_once_and_rebuilt_when_lost(spark, tmp_path):
     shutil.rmtree(stage._WRITTEN[(spark.sparkContext.applicationId, key, "t")])
     assert stage_once(spark, key, "t", build).count() == 5 and len(built) == 2
     assert staged(spark.range(3), "u").count() == 3
+
+
+def test_a_folder_written_again_is_another_one(spark, tmp_path):
+    folder = str(tmp_path / "t")
+    spark.range(3).write.parquet(folder)
+    first = folder_state(spark, folder)
+    assert first == folder_state(spark, folder) and len(first) > 0
+    spark.range(4).write.mode("overwrite").parquet(folder)
+    assert folder_state(spark, folder) != first
