@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.stage import staged
+
 # Spellings that count as the same, the second taking the place of the first.
 SPELLINGS = [
     ("licence", "license"),
@@ -97,13 +99,14 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
 
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line that names who holds the copyright and when; "copyright holders be liable" is none.
 COPYRIGHT = (
     r"(?m)^[^a-z0-9\n]*(copyright[^a-z0-9\n]*(c[^a-z0-9\n]+)?([0-9]{4}|year|yyyy)|\(c\)[^a-z0-9\n]*[0-9]{4}|©|all rights reserved)[^\n]*"
 )
 #: What parts words; lines stay apart.
 GAP = r"[^\p{L}\p{N}\n]+"
+#: Line ends, without blanks and empty lines around them.
+LINE_END = r" ?\n[ \n]*"
 
 
 def _spelled(words: str) -> str:
@@ -113,10 +116,10 @@ def _spelled(words: str) -> str:
 
 def canonical_lines(text: Column) -> Column:
     """The text in canonical words, line by line; a null text is an empty one."""
-    out = F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER)
+    out = F.lower(F.coalesce(text.cast("string"), F.lit("")))
     out = F.regexp_replace(out, COPYRIGHT, "")
     out = F.regexp_replace(out, GAP, " ")
-    out = F.regexp_replace(out, " ?\n ?", "\n")
+    out = F.regexp_replace(out, LINE_END, "\n")
     out = F.concat(F.lit(" "), F.replace(F.replace(out, F.lit(" "), F.lit("  ")), F.lit("\n"), F.lit(" \n ")), F.lit(" "))
     for old, new in SPELLINGS:
         out = F.replace(out, F.lit(_spelled(old)), F.lit(_spelled(new)))
@@ -125,7 +128,7 @@ def canonical_lines(text: Column) -> Column:
 
 def canonical(lines: Column) -> Column:
     """Canonical lines, or one of them, as words with one space between."""
-    return F.trim(F.regexp_replace(lines, "[ \n]+", " "))
+    return F.trim(F.replace(F.replace(lines, F.lit(" \n "), F.lit("  ")), F.lit("  "), F.lit(" ")))
 
 
 def digest(lines: Column) -> Column:
@@ -133,10 +136,12 @@ def digest(lines: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) -> DataFrame:
-    """(license, digest) of the known texts, each digest once: the least name wins."""
+    """(license, digest, size) of the known texts, each digest once: the least name wins. `size`
+    is the length of the canonical text."""
     cells = F.array(*[F.struct(F.lit(name).alias("license"), F.lit(text).alias("text")) for name, text in known])
-    rows = spark.range(1).select(F.inline(cells))
-    return rows.groupBy(digest(canonical_lines(F.col("text"))).alias("digest")).agg(F.min("license").alias("license"))
+    rows = spark.range(1).select(F.inline(cells)).withColumn("lines", canonical_lines(F.col("text")))
+    found = rows.groupBy(digest(F.col("lines")).alias("digest"))
+    return found.agg(F.min("license").alias("license"), F.min(F.length(canonical(F.col("lines")))).alias("size"))
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -146,17 +151,21 @@ def scan(docs: DataFrame, known: DataFrame | None = None, *, id_col: str = "doc_
     that digest, null if there is none. `notices` are the licences of whole lines, sorted and
     comma-joined, empty if none; rows of one id and one digest share theirs. A null, empty or
     wordless text has the digest of the empty text, which is no licence's. Ids may be null or
-    repeated. `known` has (license, digest), one row per digest; Spark joins it by broadcast if
-    its size allows.
+    repeated. `known` has (license, digest, size), one row per digest; Spark joins it by broadcast
+    if its size allows, and the distinct sizes, few for any list of licences, stand in the plan.
     """
     known = known_digests(docs.sparkSession) if known is None else known
     rows = docs.select(F.col(id_col).alias("id"), canonical_lines(F.col(text_col)).alias("lines"))
-    rows = rows.withColumn("text_sha256", digest(F.col("lines")))
-    whole = rows.select("id", "text_sha256").join(known.withColumnRenamed("digest", "text_sha256"), "text_sha256", "left")
-    lines = rows.select(F.col("id").alias("i"), F.col("text_sha256").alias("t"), F.explode(F.split("lines", "\n")).alias("line"))
+    # Only a line as long as a known text can be one; the others are not hashed.
+    sizes = [r["size"] for r in known.select("size").distinct().collect()]
+    short = F.filter(F.transform(F.split("lines", "\n"), canonical), lambda line: F.length(line).isin(sizes))
+    rows = rows.select("id", digest(F.col("lines")).alias("text_sha256"), F.transform(short, lambda line: F.sha2(line, 256)).alias("lines"))
+    rows = staged(rows, "license_digests")  # digests alone, so that texts are read once
+    names = known.select("digest", "license")
+    whole = rows.select("id", "text_sha256").join(names.withColumnRenamed("digest", "text_sha256"), "text_sha256", "left")
     hits = (
-        lines.select("i", "t", digest(F.col("line")).alias("digest"))
-        .join(known.select("digest", F.col("license").alias("notice")), "digest")
+        rows.select(F.col("id").alias("i"), F.col("text_sha256").alias("t"), F.explode("lines").alias("digest"))
+        .join(names.withColumnRenamed("license", "notice"), "digest")
         .groupBy("i", "t")
         .agg(F.concat_ws(",", F.array_sort(F.collect_set("notice"))).alias("notices"))
     )
@@ -169,8 +178,8 @@ def _quoted(text: str) -> str:
 
 
 def _canonical_lines_sql(text: str) -> str:
-    out = f"regexp_replace(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), {_quoted(COPYRIGHT)}, '', 'g')"
-    out = f"regexp_replace(regexp_replace({out}, {_quoted(GAP)}, ' ', 'g'), ' ?\n ?', chr(10), 'g')"
+    out = f"regexp_replace(lower(coalesce({text}, '')), {_quoted(COPYRIGHT)}, '', 'g')"
+    out = f"regexp_replace(regexp_replace({out}, {_quoted(GAP)}, ' ', 'g'), {_quoted(LINE_END)}, chr(10), 'g')"
     out = f"' ' || replace(replace({out}, ' ', '  '), chr(10), ' ' || chr(10) || ' ') || ' '"
     for old, new in SPELLINGS:
         out = f"replace({out}, {_quoted(_spelled(old))}, {_quoted(_spelled(new))})"
@@ -178,7 +187,7 @@ def _canonical_lines_sql(text: str) -> str:
 
 
 def _digest_sql(lines: str) -> str:
-    return f"sha256(trim(regexp_replace({lines}, '[ \n]+', ' ', 'g')))"
+    return f"sha256(trim(replace(replace({lines}, ' ' || chr(10) || ' ', '  '), '  ', ' ')))"
 
 
 ORACLE = f"""
