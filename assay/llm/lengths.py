@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..plans.stage import staged
 from .tokens import encoder, vocabulary
 
 #: Lengths that one window orders; the sums over ranges of this width are few.
@@ -44,6 +45,8 @@ def with_suffix_sums(counts: DataFrame, width: int = RANGE) -> DataFrame:
     docs_over (longer), kept_tokens (total if cut here), share_upto (of documents this long at
     most: a quantile is the first length whose share reaches it).
     """
+    # A row per length: written, so that the texts are encoded once however often it is read.
+    counts = staged(counts, "lengths")
     rows = counts.select("length", "n_docs", (F.col("length") * F.col("n_docs")).alias("n_tokens"))
     rows = rows.withColumn("_range", F.floor(F.col("length") / width))
     later = Window.orderBy(F.col("_range").desc()).rowsBetween(Window.unboundedPreceding, -1)
