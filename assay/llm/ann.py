@@ -26,7 +26,7 @@ EPSILON = 3.0
 #: Vectors scored exactly for each neighbour wanted, before any are pruned.
 FIRST = 5
 #: Queries of a block and vectors of a slice.
-BLOCK, SLICE = 1024, 32768
+BLOCK, SLICE = 4096, 32768
 SEED = 11
 
 

@@ -30,10 +30,13 @@ def query(name: str, sql: str | None = None):
 def set_aside(docs: DataFrame, taken: list[str]) -> tuple[DataFrame, dict[str, str]]:
     """`docs` with columns of the names an operator takes renamed, and all its names as they
     are now, by the old ones; `put_back` undoes it."""
-    names = {c: c for c in docs.columns}
+    used = {*taken, *(c.lower() for c in docs.columns)}
+    names = {}
     for c in docs.columns:
-        while names[c].lower() in taken or (names[c] != c and names[c] in docs.columns):
+        names[c] = c
+        while c.lower() in taken and names[c].lower() in used:
             names[c] += "_"
+        used.add(names[c].lower())
     return docs.toDF(*names.values()), names
 
 

@@ -2,10 +2,11 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from assay.llm import decontam, queries, secrets, simhash
-from assay.llm.tables import table
+from assay.llm.tables import hashed_sample, put_back, set_aside, table
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 QUERIES, ORACLES = queries.load()
@@ -54,3 +55,19 @@ def test_empty_tables_run_through(spark, tmp_path):
     for name, schema in schemas.items():
         spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_samples_are_bounded_and_stable(spark):
+    rows = spark.range(5000).selectExpr("id", "id % 7 AS x")
+    one = {r["id"] for r in hashed_sample(rows, ["id"], 100).collect()}
+    two = {r["id"] for r in hashed_sample(rows.repartition(5), ["id"], 100).collect()}
+    assert len(one) == 100 and one == two
+    assert hashed_sample(rows, ["id"], 10_000).count() == 5000 and hashed_sample(rows.limit(0), ["id"], 5).count() == 0
+
+
+def test_columns_set_aside_come_back(spark):
+    rows = spark.createDataFrame([(1, 2, 3, 4)], "a int, Hits int, hits_ int, words int")
+    aside, names = set_aside(rows, ["hits", "words"])
+    assert not {"hits", "words"} & {c.lower() for c in aside.columns} and len(set(aside.columns)) == 4
+    back = put_back(aside.withColumn("hits", F.lit(9)), names)
+    assert back.columns == rows.columns and tuple(back.first()) == (1, 2, 3, 4)
