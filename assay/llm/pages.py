@@ -39,7 +39,7 @@ SCOPES = frozenset("ul ol dl table article section div main body html aside nav
 SHARE = 0.1
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*>",
     re.DOTALL | re.IGNORECASE,
 )
 _NAME = re.compile(r"""\b(class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
@@ -116,6 +116,8 @@ def read(html: str) -> list[tuple[Node, str]]:
             continue
         if tag in VOID:
             continue
+        if (tag == "body" or tag in CLOSES_P) and (head := open_of(("head",), False)):
+            up_to(head)
         if tag in CLOSES_P and (p := open_of(("p",), True)):
             up_to(p)
         if tag in OWN_KIND:

@@ -36,10 +36,13 @@ def test_odd_pages(spark):
         (5, "http://c.example", "<div>" * 3000 + "deep" + "</div>" * 10, None, None),
         (6, "http://d.example", "<article>a<br>b <!-- c <p> --> d &amp;amp; <a href='<x>'>e</a></article><p", None, None),
         (None, "http://e.example", "</p></div></html><script>x", None, None),
+        (7, "http://f.example", "<html><head><title>t<body class=x><p>kept<p>too", None, None),
+        (8, "http://g.example", '<p>one <a href="x>two</a> three</p>', None, None),
     ]
     out = sorted(((r["page_id"], r["text"]) for r in pages.extract(spark.createDataFrame(rows, SCHEMA)).collect()), key=str)
     found = dict(out)
-    assert len(out) == 8 and found[1] == "" and found[None] == ""
+    assert len(out) == 10 and found[1] == "" and found[None] == ""
     assert found[2] == "plain text" and found[3] == "cut off in a t" and found[4] == "\n".join("x" * 20_000)
     assert found[5] == "deep" and found[6] == "a b d &amp; e"
+    assert found[7] == "kept\ntoo" and found[8] == "one two three"
     assert pages.extract(spark.createDataFrame([], SCHEMA)).count() == 0
