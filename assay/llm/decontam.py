@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import put_back, set_aside
+from .tables import portions, put_back, set_aside
 
 #: Words in a window.
 WINDOW = 13
@@ -97,7 +97,7 @@ def _scan(shared, text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (vocabulary, by_length), table = shared.value, _table()
         known = vocabulary.get
-        for batch in batches:
+        for batch in portions(batches, text_col):
             texts = batch.column(text_col).cast(pa.binary()).to_pylist()
             hits = batch.column("hits").to_pylist()
             words, ids, starts = [], [], [0]
@@ -216,7 +216,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
     scanned = scan(rows, benchmark, text_col=text_col, **options)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, text_col):
             both = zip(batch.column(text_col).to_pylist(), batch.column("hits").to_pylist())
             cut = pa.array([_cut(text, hits) for text, hits in both], pa.string())
             kept = batch.schema.names

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.stage import staged
+from .tables import portions
 from .tokens import encoder, vocabulary
 
 #: Lengths that one window orders; the sums over ranges of this width are few.
@@ -29,7 +30,7 @@ def histogram(docs: DataFrame, *, text_col: str = "text", path: str | None = Non
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, found = encoder(path), Counter()
-        for batch in batches:
+        for batch in portions(batches, "text"):
             found.update(len(encode(t)) if t else 0 for t in batch.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["length", "n_docs"])
 

@@ -17,6 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import portions
 from .tokens import encoder, vocabulary
 
 #: Ids in a window, and the id that ends each document.
@@ -190,7 +191,7 @@ def pack(
             return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(cols[1:], kinds))], NAMES)
 
         id_type = pa.int64()
-        for batch in batches:
+        for batch in portions(batches, "text"):
             id_type = batch.schema.field(0).type
             for value, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 known[rows] = value

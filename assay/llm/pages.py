@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.stage import staged
+from .tables import portions
 
 # What HTML calls its parts, and what sites call theirs.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -179,7 +180,7 @@ def votes(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") ->
     """(host, path, votes): pages of the host whose best container has that path."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "html"):
             found = [best_path(read(h)) if h else None for h in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["host", "path"])
 
@@ -210,7 +211,7 @@ def extract(
     rows = rows.join(won, "host", "left").select("_id", "_url", "html", "paths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "html"):
             both = zip(batch.column("html").to_pylist(), batch.column("paths").to_pylist())
             found = pa.array([text_at(read(h), p or []) if h else "" for h, p in both], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_url"), found], ["_id", "_url", "text"])

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.stage import staged
-from .tables import hashed_sample
+from .tables import hashed_sample, portions
 from .toxicity import held_out
 
 #: Most labelled documents to fit on, first by hash of their id; and most of their lines.
@@ -199,7 +199,7 @@ def fit(
         return float(np.mean(list(taken.values()))) if taken else 0.5
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "text"):
             chains = [line_features(t)[0].astype(np.float32).tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("h"), pa.array(chains, pa.binary())], ["h", "x"])
 
@@ -227,7 +227,7 @@ def score(
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "_text"):
             found = [document_score(t, field)[0] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], [id_col, "score"])
 
@@ -243,7 +243,7 @@ def line_labels(docs: DataFrame, field: Field, *, id_col: str = "doc_id", text_c
     """(id, line, good): the marginal of every line, numbered from 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "_text"):
             found = [document_score(t, field)[1] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.float64()))], [id_col, "good"])
 

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.stage import staged
-from .tables import hashed_sample, put_back, set_aside
+from .tables import hashed_sample, portions, put_back, set_aside
 
 # Patterns, least lengths and the order of kinds.
 KINDS = ("assign", "access", "hex", "random")
@@ -136,7 +136,7 @@ def scan(docs: DataFrame, models: Models, *, text_col: str = "text", margin: flo
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("stop", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, text_col):
             texts = batch.column(text_col).to_pylist()
             found = [find(t, models, margin) if t else [] for t in texts]
             own = {

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..plans.stage import staged
 from .components import components
+from .tables import portions
 
 #: XXH64 seed of the shingle hashes.
 SEED = 42
@@ -58,7 +59,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "text"):
             found = [
                 fingerprint(text.lower().split(), words) if text else 0
                 for text in batch.column(1).cast(pa.binary()).to_pylist()

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +60,16 @@ def hashed_sample(rows: DataFrame, columns: list[str], size: int) -> DataFrame:
     if share < 1:
         rows = rows.filter(F.pmod(h, F.lit(1 << 32)) < int(share * (1 << 32)))
     return rows.orderBy(F.pmod(h, F.lit(1 << 32)), h, *columns).limit(size)
+
+
+def portions(batches: Iterator[pa.RecordBatch], column: str, rows: int = 1000, size: int = 16 << 20) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches: at most `rows`, and about `size` bytes of `column`, so
+    that what a task holds besides them stays small however long the texts are."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + size, "right"))))
+            yield batch.slice(start, stop - start)
+            start = stop

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.stage import staged
-from .tables import hashed_sample
+from .tables import hashed_sample, portions
 
 # Insults that count without being learned, second persons, look-alike characters.
 INSULTS = "idiot moron loser scum trash clown stupid pathetic worthless disgusting".split()
@@ -68,7 +68,7 @@ class Lexicon:
     def of(self, word: str) -> float:
         found = self.known.get(word)
         if found is None:
-            if len(self.known) > 500_000:
+            if len(self.known) > 100_000:
                 self.known.clear()
             found = self.known[word] = max((self.entries.get(k, 0.0) for k in keys(word)), default=0.0)
         return found
@@ -130,16 +130,13 @@ def _counts(texts: DataFrame, wanted: dict[int, frozenset[str]] | None = None) -
     """(fold, key, n): rows of (fold, text) by the keys of their words, each key once a row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: Counter = Counter()
+        found: Counter = Counter()  # of the bounded sample's rows in this task
+        for batch in portions(batches, "text"):
             for fold, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 own = {k for w in set(_WORD.findall(text.lower())) for k in keys(w)}
                 found.update((fold, k) for k in (own if wanted is None else own & wanted[fold]))
-            rows = list(found.items())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k, _ in rows], pa.int32()), pa.array([k[1] for k, _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())],
-                ["fold", "key", "n"],
-            )
+        folds, names = pa.array([k[0] for k in found], pa.int32()), pa.array([k[1] for k in found], pa.string())
+        yield pa.RecordBatch.from_arrays([folds, names, pa.array(list(found.values()), pa.int64())], ["fold", "key", "n"])
 
     return texts.mapInArrow(run, "fold int, key string, n long").groupBy("fold", "key").agg(F.sum("n").alias("n"))
 
@@ -174,7 +171,7 @@ def learn(rows: DataFrame, size: int = LEXICON) -> dict[int, Lexicon]:
 def _featured(rows: DataFrame, lexicons: dict[int, Lexicon]) -> DataFrame:
     """`rows` (with fold and text) with `x`, the features by the lexicon of the row's fold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in portions(batches, "text"):
             names = batch.schema.names
             texts, folds = batch.column("text").to_pylist(), batch.column("fold").to_pylist()
             x = [features(t, lexicons[f]) for t, f in zip(texts, folds)]
