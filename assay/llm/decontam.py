@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .tables import portions, put_back, set_aside
+from .tables import mapped, portions, put_back, set_aside
 
 #: Words in a window.
 WINDOW = 13
@@ -168,7 +168,7 @@ def scan(
         shared = docs.sparkSession.sparkContext.broadcast(windows_of(items, window))
         # The task counts the words itself.
         rows = rows.withColumn("words", F.lit(0).cast("long"))
-        rows = rows.mapInArrow(_scan(shared, text_col), T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema]))
+        rows = mapped(rows, _scan(shared, text_col), T.StructType([T.StructField(f.name, f.dataType) for f in rows.schema]))
     return rows
 
 
@@ -222,4 +222,4 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text
             kept = batch.schema.names
             yield pa.RecordBatch.from_arrays([cut if n == text_col else batch.column(n) for n in kept], kept)
 
-    return put_back(scanned.mapInArrow(run, scanned.schema), names)
+    return put_back(mapped(scanned, run, scanned.schema), names)

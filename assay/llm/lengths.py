@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.stage import staged
-from .tables import portions
+from .tables import mapped, portions
 from .tokens import encoder, vocabulary
 
 #: Lengths that one window orders; the sums over ranges of this width are few.
@@ -34,7 +34,7 @@ def histogram(docs: DataFrame, *, text_col: str = "text", path: str | None = Non
             found.update(len(encode(t)) if t else 0 for t in batch.column(0).to_pylist())
         yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.int64())], ["length", "n_docs"])
 
-    rows = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "length long, n_docs long")
+    rows = mapped(docs.select(F.col(text_col).cast("string").alias("text")), run, "length long, n_docs long")
     return rows.groupBy("length").agg(F.sum("n_docs").alias("n_docs"))
 
 

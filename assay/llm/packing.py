@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import portions
+from .tables import mapped, portions
 from .tokens import encoder, vocabulary
 
 #: Ids in a window, and the id that ends each document.
@@ -206,7 +206,7 @@ def pack(
         yield flush()
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"`{id_col}` {key}, " + SCHEMA.partition(", ")[2])
+    return mapped(rows, run, f"`{id_col}` {key}, " + SCHEMA.partition(", ")[2])
 
 
 NAMES = ["id", *(part.split()[0] for part in SCHEMA.split(", ")[1:])]

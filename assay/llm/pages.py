@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.stage import staged
-from .tables import portions
+from .tables import mapped, portions
 
 # What HTML calls its parts, and what sites call theirs.
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
@@ -185,7 +185,7 @@ def votes(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["host", "path"])
 
     rows = pages.select(host(url_col).alias("host"), F.col(html_col).cast("string").alias("html"))
-    return rows.mapInArrow(run, "host string, path string").filter("path IS NOT NULL").groupBy("host", "path").agg(F.count("*").alias("votes"))
+    return mapped(rows, run, "host string, path string").filter("path IS NOT NULL").groupBy("host", "path").agg(F.count("*").alias("votes"))
 
 
 def winners(counted: DataFrame, share: float = SHARE) -> DataFrame:
@@ -217,5 +217,5 @@ def extract(
             yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_url"), found], ["_id", "_url", "text"])
 
     kind = {f.name: f.dataType.simpleString() for f in rows.schema}
-    out = rows.mapInArrow(run, f"_id {kind['_id']}, _url {kind['_url']}, text string")
+    out = mapped(rows, run, f"_id {kind['_id']}, _url {kind['_url']}, text string")
     return out.select(F.col("_id").alias(id_col), F.col("_url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.stage import staged
-from .tables import hashed_sample, portions
+from .tables import hashed_sample, mapped, portions
 from .toxicity import held_out
 
 #: Most labelled documents to fit on, first by hash of their id; and most of their lines.
@@ -205,7 +205,7 @@ def fit(
 
     chains: dict[int, np.ndarray] = {}
     kept = rows.select("h", "text").filter(F.col("h").isin(list(taken))) if len(taken) < len(each) else rows.select("h", "text")
-    for r in kept.dropDuplicates(["h"]).mapInArrow(run, "h long, x binary").toLocalIterator():
+    for r in mapped(kept.dropDuplicates(["h"]), run, "h long, x binary").toLocalIterator():
         chains[r["h"]] = np.frombuffer(r["x"], np.float32).reshape(-1, WIDTH).astype(np.float64)
     order = sorted(chains)
     return fit_field([chains[h] for h in order], [taken[h] for h in order])
@@ -235,7 +235,7 @@ def score(
     if isinstance(field, float):
         scored = rows.select(id_col, F.lit(field).alias("score"))
     else:
-        scored = rows.mapInArrow(run, f"`{id_col}` {kind}, score double")
+        scored = mapped(rows, run, f"`{id_col}` {kind}, score double")
     return scored.select(id_col, held_out(id_col, of, remainder).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -249,4 +249,4 @@ def line_labels(docs: DataFrame, field: Field, *, id_col: str = "doc_id", text_c
 
     rows = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("_text"))
     kind = rows.schema[id_col].dataType.simpleString()
-    return rows.mapInArrow(run, f"`{id_col}` {kind}, good array<double>").select(id_col, F.posexplode("good").alias("line", "good"))
+    return mapped(rows, run, f"`{id_col}` {kind}, good array<double>").select(id_col, F.posexplode("good").alias("line", "good"))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.stage import staged
-from .tables import hashed_sample, portions, put_back, set_aside
+from .tables import hashed_sample, mapped, portions, put_back, set_aside
 
 # Patterns, least lengths and the order of kinds.
 KINDS = ("assign", "access", "hex", "random")
@@ -147,7 +147,7 @@ def scan(docs: DataFrame, models: Models, *, text_col: str = "text", margin: flo
             yield pa.RecordBatch.from_arrays([own.get(n, batch.column(n)) for n in names], names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    scanned = rows.mapInArrow(run, schema)
+    scanned = mapped(rows, run, schema)
     return scanned.withColumn("redacted", F.coalesce("redacted", F.col(text_col)))
 
 

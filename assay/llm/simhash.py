@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from ..plans.stage import staged
 from .components import components
-from .tables import portions
+from .tables import mapped, portions
 
 #: XXH64 seed of the shingle hashes.
 SEED = 42
@@ -67,7 +67,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.int64())], ["id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, "id long, fp long")
+    return mapped(rows, run, "id long, fp long")
 
 
 def _rotated(fps: DataFrame, shifts: list[int]) -> DataFrame:
@@ -219,7 +219,7 @@ def trie_links(fps: DataFrame, *, budget: int = 2, leaf: int = LEAF, step: int =
         k += 1
     unit = ["rot", "depth", "u", "v"]
     ordered = whole.repartition(*unit).sortWithinPartitions(*unit, "side", _unsigned("key"))
-    return ordered.mapInArrow(_walked(shifts, budget), "a long, b long")
+    return mapped(ordered, _walked(shifts, budget), "a long, b long")
 
 
 def _unsigned(name: str) -> Column:

@@ -10,6 +10,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows of an Arrow batch of texts.
+BATCH = 1000
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -73,3 +77,15 @@ def portions(batches: Iterator[pa.RecordBatch], column: str, rows: int = 1000, s
             stop = max(start + 1, min(start + rows, int(np.searchsorted(ends, before + size, "right"))))
             yield batch.slice(start, stop - start)
             start = stop
+
+
+def mapped(rows: DataFrame, run: Callable, schema) -> DataFrame:
+    """`rows.mapInArrow(run, schema)`, with Arrow batches of at most BATCH rows.
+
+    Whole texts travel in these batches, and an executor holds some for each task on both sides
+    of the pipe to Python. The setting is the session's and stays; a smaller one is kept.
+    """
+    conf = rows.sparkSession.conf
+    if not 0 < int(conf.get(_BATCH_SETTING)) <= BATCH:
+        conf.set(_BATCH_SETTING, str(BATCH))
+    return rows.mapInArrow(run, schema)

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.stage import staged
-from .tables import hashed_sample, portions
+from .tables import hashed_sample, mapped, portions
 
 # Insults that count without being learned, second persons, look-alike characters.
 INSULTS = "idiot moron loser scum trash clown stupid pathetic worthless disgusting".split()
@@ -138,7 +138,7 @@ def _counts(texts: DataFrame, wanted: dict[int, frozenset[str]] | None = None) -
         folds, names = pa.array([k[0] for k in found], pa.int32()), pa.array([k[1] for k in found], pa.string())
         yield pa.RecordBatch.from_arrays([folds, names, pa.array(list(found.values()), pa.int64())], ["fold", "key", "n"])
 
-    return texts.mapInArrow(run, "fold int, key string, n long").groupBy("fold", "key").agg(F.sum("n").alias("n"))
+    return mapped(texts, run, "fold int, key string, n long").groupBy("fold", "key").agg(F.sum("n").alias("n"))
 
 
 def learn(rows: DataFrame, size: int = LEXICON) -> dict[int, Lexicon]:
@@ -180,7 +180,7 @@ def _featured(rows: DataFrame, lexicons: dict[int, Lexicon]) -> DataFrame:
 
     kept = [f for f in rows.schema if f.name not in ("text", "fold")]
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "x array<double>"])
-    return rows.mapInArrow(run, schema)
+    return mapped(rows, run, schema)
 
 
 class Scorer:
