@@ -296,6 +296,13 @@ def drop_near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: s
     one id and text, one. Rows with a null id stay: nothing else names them."""
     named = docs.filter(F.col(id_col).isNotNull())
     found = near_duplicates(named, id_col=id_col, text_col=text_col, **options)
+    return keep_least(docs, found, id_col=id_col, text_col=text_col)
+
+
+def keep_least(docs: DataFrame, found: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of `docs` whose id names its component in `found` (doc_id, component_id), each id
+    and text once, and those with a null id."""
+    named = docs.filter(F.col(id_col).isNotNull())
     kept = staged(found.filter("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "kept")
     # About as many ids stay as there are documents, so this is a shuffle join at any size: a
     # broadcast of few ids would only make small runs unlike large ones.
