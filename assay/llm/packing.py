@@ -23,9 +23,8 @@ from .tokens import encoder, vocabulary
 #: Ids in a window, and the id that ends each document.
 WINDOW = 2048
 END = 1
-#: Documents in a shard of the index; words of a seed that are looked up, rarest first.
+#: Documents in a shard of the index.
 SHARD = 1024
-QUERY = 24
 #: Fixed values of BM25.
 K1, B = 1.2, 0.75
 
@@ -54,13 +53,15 @@ class Index:
         order = np.argsort(term, kind="stable")
         self.owner, self.weight = owner[order], weight[order]
         self.start = np.concatenate([[0], np.cumsum(df)])
+        self.df = df
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
-        """Unused documents that share one of the seed's rarest terms, best first; ties to the
-        earlier document."""
+        """Unused documents that share a term with the seed, best first by all of its terms; ties
+        to the earlier document. Terms that the seed alone has add nothing and are skipped."""
         own = self.own[seed]
-        if len(own) > QUERY:
-            own = own[np.argpartition(-self.idf[own], QUERY)[:QUERY]]
+        own = own[self.df[own] > 1]
+        if not len(own):
+            return np.zeros(0, np.int64)
         spans = [slice(self.start[t], self.start[t + 1]) for t in own.tolist()]
         owner = np.concatenate([self.owner[s] for s in spans])
         scores = np.bincount(owner, np.concatenate([self.weight[s] for s in spans]), self.size)

@@ -78,3 +78,16 @@ def test_repeated_and_null_ids_and_empty_tables(spark):
     assert packing.digest(packing.pack(docs.limit(0))).count() == 0
     with pytest.raises(ValueError, match="power of two"):
         packing.pack(docs, window=100)
+
+
+def test_all_terms_of_a_long_seed_count():
+    seed, rare = np.arange(100, 150), np.arange(100, 124)
+    docs = [seed, np.arange(124, 150), np.append(rare[:1], np.arange(300, 325)), np.arange(124, 130)]
+    docs += [np.append(np.arange(124, 150), 1000 + i) for i in range(6)]
+    index = packing.Index([d.astype(np.uint16) for d in docs])
+    others = np.arange(len(docs)) > 0
+    assert index.neighbours(0, others)[0] == 1
+    # 26 terms that nobody else has, and one that another document shares.
+    alone = packing.Index([np.arange(10, 37).astype(np.uint16), np.array([36, 50], np.uint16), np.array([51], np.uint16)])
+    assert alone.neighbours(0, np.array([False, True, True])).tolist() == [1]
+    assert packing.Index([np.array([1], np.uint16), np.array([2], np.uint16)]).neighbours(0, np.array([False, True])).size == 0
