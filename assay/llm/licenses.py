@@ -99,6 +99,29 @@ KNOWN = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 ]
 
+#: Full texts of longer licences, by digest and length of their canonical text. They were taken from
+#: /usr/share/common-licenses, whole and, where there is one, without the appendix on how to apply.
+FULL = [
+    ("Apache-2.0", "036b5ff6d47b44974c624da95e5bf0ac7ddfe5030e41dfa7ff8ac0c1daa9f32b", 9887),
+    ("Apache-2.0", "f70a2718f78121f2da77cd6afbffffbd668d7c1fd36c85a3ef121e83cb5f48fe", 8871),
+    ("GPL-1.0", "eafda7cb5e995143f4d45ef2107eb160d6856afabed7c48b1b317303bc40a7e6", 11797),
+    ("GPL-1.0", "6375a768fd262bf5281905a9585411d2d0fb4ea15cb08cfcba49f73fedb82abc", 9415),
+    ("GPL-2.0", "efe73660e5476cf0368fc0fc143f624ff9d1b73c4484b14a9969dd20c5786821", 17117),
+    ("GPL-2.0", "e1270b653c300290e7c039142bccb8776f9b5d14e8a05bc4e87dc7d1614a3b34", 14483),
+    ("GPL-3.0", "eaab5d82fdcca441d83a1913bbf07e4de3a739e190578c0bffde24f84e93bb2a", 33406),
+    ("GPL-3.0", "ac6b52d57c0104e687039148f7b8e370e04c9bb5705bb786f8ef814eb65e8636", 30968),
+    ("LGPL-2.0", "61af4dcea4e412e8ccfb8877fd2762bd6d962f8d42a9fa2c06cf7b4613f2c908", 24130),
+    ("LGPL-2.0", "504542bce5421b0f5a7e63ddb55443ccb300b27a65ba6bfc1370fed16a3af260", 22277),
+    ("LGPL-2.1", "4d55922bdeafabde164d75448bbfb0b474bf952bbb541325364010900acd9891", 25217),
+    ("LGPL-2.1", "48d2010e70a815a564f914b0c7c1e80d7a6843793348fed3684c957112fe0aa4", 23365),
+    ("LGPL-3.0", "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be", 7104),
+    ("MPL-1.1", "cbbde7eeab9b4d180dc00b34252f800e97fb1cddbab38ed8c0c73b956dc2cbf6", 22447),
+    ("MPL-2.0", "f82071285728ca3ec7685ee9bc4acdae0b8267142a4d20b8f1805eabedb4a98a", 14341),
+    ("CC0-1.0", "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f", 6692),
+    ("GFDL-1.2", "94541e73869af10ab6bd68a29575eede324e54e7d5237e7386d12444f593af60", 19583),
+    ("GFDL-1.3", "a92fdbaeafedd9cbeb812ebbded06ee07e3b1427c81cfc333e682109c594d826", 22018),
+]
+
 #: A line that names who holds the copyright and when; "copyright holders be liable" is none.
 COPYRIGHT = (
     r"(?m)^[^a-z0-9\n]*(copyright[^a-z0-9\n]*(c[^a-z0-9\n]+)?([0-9]{4}|year|yyyy)|\(c\)[^a-z0-9\n]*[0-9]{4}|©|all rights reserved)[^\n]*"
@@ -144,6 +167,12 @@ def known_digests(spark: SparkSession, known: list[tuple[str, str]] = KNOWN) ->
     return found.agg(F.min("license").alias("license"), F.min(F.length(canonical(F.col("lines")))).alias("size"))
 
 
+def full_digests(spark: SparkSession) -> DataFrame:
+    """(license, digest, size) of FULL."""
+    cells = F.array(*[F.struct(F.lit(n).alias("license"), F.lit(d).alias("digest"), F.lit(s).alias("size")) for n, d, s in FULL])
+    return spark.range(1).select(F.inline(cells))
+
+
 def scan(docs: DataFrame, known: DataFrame | None = None, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_sha256, license, notices): one row per row of `docs`.
 
@@ -154,7 +183,8 @@ def scan(docs: DataFrame, known: DataFrame | None = None, *, id_col: str = "doc_
     repeated. `known` has (license, digest, size), one row per digest; Spark joins it by broadcast
     if its size allows, and the distinct sizes, few for any list of licences, stand in the plan.
     """
-    known = known_digests(docs.sparkSession) if known is None else known
+    if known is None:
+        known = known_digests(docs.sparkSession).unionByName(full_digests(docs.sparkSession))
     rows = docs.select(F.col(id_col).alias("id"), canonical_lines(F.col(text_col)).alias("lines"))
     # Only a line as long as a known text can be one; the others are not hashed.
     sizes = [r["size"] for r in known.select("size").distinct().collect()]

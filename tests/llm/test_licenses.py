@@ -1,7 +1,11 @@
+import os
 import textwrap
 
+import pytest
+
 from assay.llm import licenses
 
+TEXTS = "/usr/share/common-licenses"
 DOCS = "doc_id long, text string, license string, notices int"
 MIT, ISC = licenses.KNOWN[1][1], next(t for n, t in licenses.KNOWN if n == "ISC")
 
@@ -45,3 +49,15 @@ def test_nulls_repeats_and_long_texts(spark):
 def test_the_plan_stays_in_the_engine(spark):
     plan = licenses.scan(spark.createDataFrame([(1, "a", "", 0)], DOCS))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(TEXTS), reason="no licence texts")
+def test_full_texts_of_longer_licences(spark):
+    files = {"Apache-2.0": "Apache-2.0", "GPL-1.0": "GPL-1", "GPL-2.0": "GPL-2", "GPL-3.0": "GPL-3", "LGPL-2.0": "LGPL-2", "LGPL-2.1": "LGPL-2.1"}
+    files |= {"LGPL-3.0": "LGPL-3", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2", "GFDL-1.3": "GFDL-1.3"}
+    files = {n: f for n, f in files.items() if os.path.isfile(f"{TEXTS}/{f}")}
+    texts = [open(f"{TEXTS}/{f}", encoding="utf-8").read() for f in files.values()]
+    end = "END OF TERMS AND CONDITIONS"
+    short = [(n, t.partition(end)[0] + end) for n, t in zip(files, texts) if end in t]
+    found = _found(spark, [*texts, *(" ".join(t.upper().split(" ")) for t in texts), *(t for _, t in short), texts[0] + " more"])
+    assert [found[i]["license"] for i in range(len(found))] == [*files, *files, *(n for n, _ in short), None]
