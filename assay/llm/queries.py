@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, lengths, licenses, merkle, packing, pages, quality, secrets, simhash, toxicity
+from . import ann, decontam, dialogues, lengths, licenses, merkle, packing, pages, quality, secrets, simhash, toxicity
 from .tables import ORACLES, QUERIES, query, table
 
 
@@ -74,6 +74,12 @@ def op12(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.digest(merkle.audit(table(spark, folder, "documents")))
 
 
+@query("op13_dialogues")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations")
+    return dialogues.repair(dialogues.damaged(rows), rows)
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
