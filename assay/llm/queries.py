@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, decontam, dialogues, lengths, licenses, merkle, packing, pages, quality, secrets, simhash, toxicity
+from . import ann, decontam, dialogues, lengths, licenses, merkle, minhash, packing, pages, quality, secrets, simhash, toxicity
 from .tables import ORACLES, QUERIES, query, table
 
 
@@ -69,6 +69,11 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
 
+@query("op11_minhash", minhash.ORACLE)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_copies(table(spark, folder, "documents"))
+
+
 @query("op12_merkle", merkle.ORACLE)
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return merkle.digest(merkle.audit(table(spark, folder, "documents")))
