@@ -163,8 +163,8 @@ def sketches(rows: DataFrame, *, words: int, m: int, each: int = ROWS) -> DataFr
 
 
 def buckets(nodes: DataFrame, half: int = HALF) -> DataFrame:
-    """(nodes): the nodes of each bucket of two or more; of one with more than `half`, in several
-    rows of no fewer than a crowd each."""
+    """(deal, nodes): the nodes of each bucket of two or more; of one with more than `half`, in
+    several rows of no fewer than a crowd each. Rows of one `deal` hold few more than `half` nodes."""
     rows = nodes.select("node", F.explode("a").alias("a"), "b")
     hot = rows.groupBy("a").agg(F.count("*").alias("n")).filter(F.col("n") > half).select("a")
     # At most HOT of them for each group, so every task can have the list.
@@ -172,12 +172,13 @@ def buckets(nodes: DataFrame, half: int = HALF) -> DataFrame:
     alone = Window.partitionBy("a")
     met = marked.filter(F.col("hot").isNull()).repartition("a").withColumn("n", F.count("*").over(alone)).filter("n > 1")
     tables = met.select("a", "node", F.posexplode("b").alias("j", "b"))
-    found = tables.groupBy("a", "j", "b").agg(F.collect_list("node").alias("nodes")).filter(F.size("nodes") > 1).select("nodes")
+    found = tables.groupBy("a", "j", "b").agg(F.collect_list("node").alias("nodes")).filter(F.size("nodes") > 1).select(F.col("a").alias("deal"), "nodes")
     # First halves that very many share: dealt by the whole key, in parts where that is hot too.
     dealt = marked.filter("hot").select("a", "node", F.posexplode("b").alias("j", "b"))
     counts = dealt.groupBy("a", "j", "b").agg(F.count("*").alias("n")).filter("n > 1")
     parts = dealt.join(counts, ["a", "j", "b"]).withColumn("part", F.pmod(F.hash("node"), F.ceil(F.col("n") / half).cast("int")))
-    return found.unionByName(parts.groupBy("a", "j", "b", "part").agg(F.collect_list("node").alias("nodes")).select("nodes"))
+    parted = parts.groupBy("a", "j", "b", "part").agg(F.collect_list("node").alias("nodes"))
+    return found.unionByName(parted.select(F.xxhash64("a", "j", "b", "part").alias("deal"), "nodes"))
 
 
 def _pairs(nodes: Column) -> Column:
@@ -298,7 +299,9 @@ def near_links(rows: DataFrame, *, words: int = WORDS, near: tuple[int, int] = N
     nodes = staged(nodes, "minhash_nodes")
     half = max(half, nodes.count() // HOT)
     met = staged(buckets(marks.filter("size > 0").select("node", "a", "b").dropDuplicates(["node"]), half), "minhash_buckets")
-    crowded = staged(met.filter(F.size("nodes") > crowd).select(F.explode("nodes").alias("node")).distinct(), "minhash_crowd")
+    # A node stands in many tables of one deal, and leaves it once.
+    large = met.filter(F.size("nodes") > crowd).groupBy("deal").agg(F.array_distinct(F.flatten(F.collect_list("nodes"))).alias("nodes"))
+    crowded = staged(large.select(F.explode("nodes").alias("node")).distinct(), "minhash_crowd")
     pairs = met.filter(F.size("nodes") <= crowd).select(F.inline(_pairs(F.col("nodes")))).distinct()
     # Pairs of crowded nodes are left to the join of those.
     inside = [crowded.select(F.col("node").alias(c), F.lit(True).alias(f"in_{c}")) for c in "ab"]
