@@ -41,7 +41,7 @@ def ml1(s: Study) -> DataFrame:
 @query("ml2_boosted_trees")
 def ml2(s: Study) -> DataFrame:
     train, validate = folds(s)
-    fitted = models.fit_trees(train, validate, _groups(s)["features_new"], s.params.seed)
+    fitted = models.fit_trees(train, validate, _groups(s)["features_new"])
     scored = models.raw_score(fitted, validate, ["y"])
     return metrics.roc_auc(scored, "score", "y", s.params.skew)
 

@@ -4,120 +4,104 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from itertools import product
 from typing import Any
 
-from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import ratio
+from ..functions.scalar import ratio, sigmoid
 from ..params import Params
 from ..plans.ordering import hash_key, hash_position
+from ..plans.stage import staged
+from . import newton, trees
 from .features import design
 from .metrics import roc_auc, weighted_mean
 
 # The tuning grids.
 LR_GRID = (0.01, 0.1, 1.0, 10.0)
-TREE_DEPTHS = (3, 4)  # 7 and 15 leaves when full
+TREE_LEAVES = (7, 15)
 TREE_COUNTS = (100, 300)
 
 
 @dataclass(frozen=True)
 class Fitted:
-    model: Model
+    model: newton.Logistic | trees.Forest
     columns: tuple[str, ...]
     params: dict[str, Any]
     loss: float | None
-    missing_flags: bool = False
 
 
-def vectors(df: DataFrame, columns: Sequence[str], keep: Sequence[str], missing_flags: bool = False) -> DataFrame:
-    """Feature vectors with 0 for missing; optionally a flag per column that can be missing."""
-    source, names = df, list(columns)
-    if missing_flags:
-        gaps = [c for c in columns if c.startswith(("m", "bid_", "malicious_share"))]
-        source = df.withColumns({f"{c}__missing": F.col(c).isNull().cast("int") for c in gaps})
-        names += [f"{c}__missing" for c in gaps]
-    flat = design(source, names, keep=keep)
-    return VectorAssembler(inputCols=names, outputCol="features").transform(flat).select(*keep, "features")
+def vectors(df: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
+    """Feature vectors with 0 for missing."""
+    flat = design(df, columns, keep=keep)
+    return VectorAssembler(inputCols=list(columns), outputCol="features").transform(flat).select(*keep, "features")
+
+
+def _margins(models: dict[str, Any], df: DataFrame, keep: Sequence[str]) -> DataFrame:
+    kind = trees if isinstance(next(iter(models.values())), trees.Forest) else newton
+    return kind.scored(df, models, keep)
 
 
 def raw_score(fitted: Fitted, df: DataFrame, keep: Sequence[str]) -> DataFrame:
     """The raw margin, for ranking, and the model's own probability."""
-    scored = fitted.model.transform(vectors(df, fitted.columns, keep, fitted.missing_flags))
-    return scored.select(
-        *keep,
-        vector_to_array("rawPrediction")[1].alias("score"),
-        vector_to_array("probability")[1].alias("probability"),
-    )
+    return _margins({"score": fitted.model}, df, keep).withColumn("probability", sigmoid(F.col("score")))
 
 
-def log_loss(fitted: Fitted, df: DataFrame) -> float | None:
-    """Weighted log loss with probabilities kept 1e-6 inside; None with one class."""
-    scored = raw_score(fitted, df, ["y", "pi"])
-    p = F.least(F.greatest(F.col("probability"), F.lit(1e-6)), F.lit(1 - 1e-6))
+def log_losses(models: dict[str, Any], df: DataFrame) -> dict[str, float | None]:
+    """Weighted log loss of each model, in one pass, with probabilities kept 1e-6 inside; None
+    with one class. The models are of one kind and share their columns."""
+    rows = _margins(models, df, ["y", "pi"])
     y = F.col("y").cast("double")
-    loss = -(y * F.ln(p) + (1 - y) * F.ln(1 - p))
-    return scored.agg(
-        F.when(F.min(y) != F.max(y), weighted_mean(loss, 1 / F.col("pi"))).alias("loss")
-    ).first()["loss"]
 
+    def loss(name: str) -> Column:
+        p = F.least(F.greatest(sigmoid(F.col(name)), F.lit(1e-6)), F.lit(1 - 1e-6))
+        return F.when(F.min(y) != F.max(y), weighted_mean(-(y * F.ln(p) + (1 - y) * F.ln(1 - p)), 1 / F.col("pi")))
+
+    return rows.agg(*[loss(n).alias(n) for n in models]).first().asDict()
+
+
+def log_loss(fitted: Fitted, df: DataFrame) -> float | None:
+    return log_losses({"score": fitted.model}, df)["score"]
 
-def _best(fits: list[Fitted]) -> Fitted:
-    known = [f for f in fits if f.loss is not None]
-    return min(known, key=lambda f: f.loss) if known else fits[0]
+
+def _best(fits: list[tuple[Any, dict[str, Any]]], columns: Sequence[str], validate: DataFrame) -> Fitted:
+    """The model of least loss; the first of equal ones, or of all if none is known."""
+    losses = log_losses({f"m{i}": model for i, (model, _) in enumerate(fits)}, validate)
+    known = [i for i in range(len(fits)) if losses[f"m{i}"] is not None]
+    best = min(known, key=lambda i: losses[f"m{i}"]) if known else 0
+    return Fitted(fits[best][0], tuple(columns), fits[best][1], losses[f"m{best}"])
+
+
+def _one(found: newton.Logistic | None) -> newton.Logistic:
+    if found is None:
+        raise ValueError("rows of one class alone cannot be fitted")
+    return found
 
 
 def fit_logistic(train: DataFrame, validate: DataFrame, columns: Sequence[str], grid: Sequence[float] = LR_GRID) -> Fitted:
-    """L2 logistic regression; the penalty grid is in inverse strength, as 1 / (C * rows)."""
-    data = vectors(train, columns, ["y"]).withColumn("y", F.col("y").cast("double")).persist()
-    try:
-        rows = data.count()
-        fits = []
-        for strength in grid:
-            model = LogisticRegression(
-                labelCol="y", regParam=1.0 / (strength * rows), standardization=False, maxIter=500, tol=1e-8
-            ).fit(data)
-            fitted = Fitted(model, tuple(columns), {"C": strength}, None)
-            fits.append(Fitted(model, tuple(columns), {"C": strength}, log_loss(fitted, validate)))
-        return _best(fits)
-    finally:
-        data.unpersist()
+    """L2 logistic regression; the grid is in inverse strength, and all of it is fitted together."""
+    found = newton.fit(train, columns, "y", [1 / c for c in grid])
+    return _best([(_one(m), {"C": c}) for m, c in zip(found, grid)], columns, validate)
 
 
 def fit_trees(
     train: DataFrame,
     validate: DataFrame,
     columns: Sequence[str],
-    seed: int,
-    depths: Sequence[int] = TREE_DEPTHS,
+    leaves: Sequence[int] = TREE_LEAVES,
     counts: Sequence[int] = TREE_COUNTS,
-    leaf: int | None = None,
+    least: int | None = None,
 ) -> Fitted:
-    """Gradient-boosted trees with flags for missing values, step 0.05.
+    """Boosted trees that grow best first, missing values on the side that each split learns.
 
-    `leaf` is the least rows of a leaf; by default 20, or a tenth of the rows if there are fewer
-    than 200.
+    One chain of trees per number of leaves; the smaller counts are prefixes of it. `least` is the
+    fewest rows of a leaf: by default 20, or a tenth of the rows if there are fewer than 200.
     """
-    data = vectors(train, columns, ["y"], missing_flags=True)
-    data = data.withColumn("y", F.col("y").cast("double")).persist()
-    try:
-        leaf = leaf or max(1, min(20, data.count() // 10))
-        fits = []
-        for depth, rounds in product(depths, counts):
-            model = GBTClassifier(
-                labelCol="y", maxDepth=depth, maxIter=rounds, stepSize=0.05, minInstancesPerNode=leaf, seed=seed
-            ).fit(data)
-            chosen = {"maxDepth": depth, "maxIter": rounds}
-            fitted = Fitted(model, tuple(columns), chosen, None, True)
-            fits.append(Fitted(model, tuple(columns), chosen, log_loss(fitted, validate), True))
-        return _best(fits)
-    finally:
-        data.unpersist()
+    least = least or max(1, min(20, train.count() // 10))
+    forests = trees.fit_forests(train, columns, "y", leaves=leaves, rounds=max(counts), least=least)
+    fits = [(f.prefix(n), {"leaves": k, "rounds": n}) for k, f in zip(leaves, forests) for n in counts]
+    return _best(fits, columns, validate)
 
 
 def compare_models(
@@ -127,7 +111,7 @@ def compare_models(
     params: Params,
     *,
     grid: Sequence[float] = LR_GRID,
-    depths: Sequence[int] = TREE_DEPTHS,
+    leaves: Sequence[int] = TREE_LEAVES,
     counts: Sequence[int] = TREE_COUNTS,
 ) -> tuple[DataFrame, dict[str, Fitted]]:
     """The comparisons: old encoding, new encoding, trees, and the new one on a random split.
@@ -148,7 +132,7 @@ def compare_models(
             rows.append((name, kind, len(columns), shape["n"], None, None, None))
             continue
         if kind == "trees":
-            model = fit_trees(train, validate, columns, params.seed, depths, counts)
+            model = fit_trees(train, validate, columns, leaves, counts)
         else:
             model = fit_logistic(train, validate, columns, grid)
         fitted[name] = model
@@ -173,7 +157,7 @@ def fold_of(df: DataFrame, target: str, key: str, k: int, params: Params) -> Dat
 def probe(
     df: DataFrame, target: str, columns: Sequence[str], key: str, params: Params, k: int = 5, least: int = 5
 ) -> DataFrame:
-    """How well features tell `target` apart: out-of-fold AUC per fold.
+    """How well features tell `target` apart: out-of-fold AUC per fold, all folds fitted together.
 
     As many folds as the smaller class has rows, `k` at most. If it has fewer than `least`, there
     is nothing to fold: one row without a fold or AUC, with the number of rows.
@@ -184,42 +168,19 @@ def probe(
     if smallest < least:
         return df.sparkSession.createDataFrame([(None, sum(sizes.values()), None)], schema)
     k = min(k, smallest)
-    data = fold_of(
-        vectors(df, columns, [key, target]), target, key, k, params
-    ).withColumn("y", F.col(target).cast("double"))
-    data = data.persist()
-    try:
-        rows, out = data.count(), None
-        for fold in range(k):
-            train = data.filter(F.col("fold") != fold)
-            share = rows * (k - 1) / k
-            model = LogisticRegression(labelCol="y", regParam=1.0 / share, standardization=False, maxIter=200).fit(train)
-            scored = model.transform(data.filter(F.col("fold") == fold)).select(
-                "fold", "y", vector_to_array("rawPrediction")[1].alias("score")
-            )
-            out = scored if out is None else out.unionByName(scored)
-        assert out is not None
-        # A handful of rows; materialised so the fold data can be released.
-        found = roc_auc(out, "score", "y", params.skew, by=["fold"]).select("fold", "n", F.col("auc_raw").alias("auc"))
-        return df.sparkSession.createDataFrame(found.collect(), schema)
-    finally:
-        data.unpersist()
+    data = staged(fold_of(df.select(key, F.col(target).alias("y"), *columns), "y", key, k, params), "probe_folds")
+    found = newton.fit(data, columns, "y", [1.0] * k, F.array(*[F.col("fold") != f for f in range(k)]))
+    margins = newton.scored(data, {f"m{f}": _one(m) for f, m in enumerate(found)}, ["fold", "y"])
+    out = margins.select("fold", F.col("y").cast("double").alias("y"), F.get(F.array(*[f"m{f}" for f in range(k)]), F.col("fold")).alias("score"))
+    return roc_auc(out, "score", "y", params.skew, by=["fold"]).select("fold", "n", F.col("auc_raw").alias("auc"))
 
 
 def propensity(cohort: DataFrame, control: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Probability of having been rescanned, per cohort row, and its inverse as a weight."""
-    both = (
-        vectors(cohort, columns, ["sha256"])
-        .withColumn("y", F.lit(1.0))
-        .unionByName(vectors(control, columns, ["sha256"]).withColumn("y", F.lit(0.0)))
-        .persist()
-    )
-    try:
-        model = LogisticRegression(labelCol="y", regParam=1.0 / both.count(), standardization=False, maxIter=200).fit(both)
-    finally:
-        both.unpersist()
-    scored = model.transform(vectors(cohort, columns, ["sha256", "stratum"]))
-    p = vector_to_array("probability")[1]
+    both = cohort.select(*columns).withColumn("y", F.lit(1)).unionByName(control.select(*columns).withColumn("y", F.lit(0)))
+    model = _one(newton.fit(both, columns, "y", [1.0])[0])
+    scored = newton.scored(cohort, {"score": model}, ["sha256", "stratum"])
+    p = sigmoid(F.col("score"))
     return scored.select(
         "sha256", "stratum", p.alias("p_rescanned"), ratio(F.lit(1.0), p).alias("weight")
     )
@@ -241,34 +202,22 @@ def era_gap_auc(
     """(base, gap, n, auc_raw, auc_weighted): a model trained on one era's rows alone, and its AUC
     on that era and each later one.
 
-    `era` is a whole number per row and `bases` the eras to train on, a fit each; a base without
-    both classes is left out.
+    `era` is a whole number per row and `bases` the eras to train on, all fitted together; a base
+    without both classes is left out.
     """
-    rows = vectors(df, columns, ["y", "pi", era]).withColumn("y", F.col("y").cast("double"))
-    out = None
-    for base in bases:
-        train = rows.filter(F.col(era) == base)
-        shape = train.agg(F.count("*").alias("n"), F.count_distinct("y").alias("classes")).first()
-        if shape["classes"] < 2:
-            continue
-        model = LogisticRegression(labelCol="y", regParam=1.0 / (strength * shape["n"]), standardization=False, maxIter=200).fit(train)
-        scored = model.transform(rows.filter(F.col(era) >= base)).select(
-            F.lit(base).alias("base"),
-            (F.col(era) - base).alias("gap"),
-            "y",
-            (1 / F.col("pi")).alias("w"),
-            vector_to_array("rawPrediction")[1].alias("score"),
-        )
-        out = scored if out is None else out.unionByName(scored)
-    if out is None:
+    found = newton.fit(df, columns, "y", [1 / strength] * len(bases), F.array(*[F.coalesce(F.col(era) == b, F.lit(False)) for b in bases]))
+    models = {f"m{b}": m for b, m in zip(bases, found) if m is not None}
+    if not models:
         return df.sparkSession.createDataFrame([], "base int, gap int, n bigint, auc_raw double, auc_weighted double")
+    each = F.array(*[F.struct(F.lit(b).alias("base"), F.col(f"m{b}").alias("score")) for b in bases if f"m{b}" in models])
+    rows = newton.scored(df, models, ["y", "pi", era]).select("y", "pi", era, F.inline(each)).filter(F.col(era) >= F.col("base"))
+    out = rows.select("base", (F.col(era) - F.col("base")).alias("gap"), F.col("y").cast("double").alias("y"), (1 / F.col("pi")).alias("w"), "score")
     return roc_auc(out, "score", "y", params.skew, by=["base", "gap"], weight="w")
 
 
 def coefficient_ranking(df: DataFrame, target: str, columns: Sequence[str]) -> DataFrame:
     """Features behind a probe, by |coefficient| times standard deviation."""
-    data = vectors(df, columns, [target]).withColumn("y", F.col(target).cast("double"))
-    model = LogisticRegression(labelCol="y", regParam=1.0 / max(1, df.count()), standardization=False, maxIter=200).fit(data)
+    model = _one(newton.fit(df, columns, target, [1.0])[0])
     spreads = design(df, columns).agg(*[F.stddev_samp(c).alias(c) for c in columns]).first()
     rows = [
         (name, float(model.coefficients[i]), float(abs(model.coefficients[i]) * (spreads[name] or 0.0)))
