@@ -25,6 +25,8 @@ WINDOW = 2048
 END = 1
 #: Documents in a shard of the index.
 SHARD = 1024
+#: A term of more than one in so many of them is scored as a dense row.
+OFTEN = 16
 #: Fixed values of BM25.
 K1, B = 1.2, 0.75
 
@@ -50,9 +52,16 @@ class Index:
         length = np.array([len(d) for d in docs])
         norm = K1 * (1 - B + B * length / length.mean())
         weight = self.idf[term] * tf * (K1 + 1) / (tf + norm[owner])
+        # Terms of many documents are rows of a dense table, the others lists of postings.
+        often = df * OFTEN > self.size
+        self.row = np.where(often, np.cumsum(often) - 1, -1)
+        self.dense = np.zeros((int(often.sum()), self.size), np.float32)
+        here = often[term]
+        self.dense[self.row[term[here]], owner[here]] = weight[here]
+        term, owner, weight = term[~here], owner[~here], weight[~here]
         order = np.argsort(term, kind="stable")
         self.owner, self.weight = owner[order], weight[order]
-        self.start = np.concatenate([[0], np.cumsum(df)])
+        self.start = np.concatenate([[0], np.cumsum(np.where(often, 0, df))])
         self.df = df
 
     def neighbours(self, seed: int, unused: np.ndarray) -> np.ndarray:
@@ -62,9 +71,15 @@ class Index:
         own = own[self.df[own] > 1]
         if not len(own):
             return np.zeros(0, np.int64)
-        spans = [slice(self.start[t], self.start[t + 1]) for t in own.tolist()]
-        owner = np.concatenate([self.owner[s] for s in spans])
-        scores = np.bincount(owner, np.concatenate([self.weight[s] for s in spans]), self.size)
+        rows = self.row[own]
+        picked = np.zeros(len(self.dense), np.float32)
+        picked[rows[rows >= 0]] = 1
+        scores = (picked @ self.dense).astype(np.float64)
+        own = own[rows < 0]
+        first, count = self.start[own], self.start[own + 1] - self.start[own]
+        if len(own):
+            at = np.repeat(first - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+            scores += np.bincount(self.owner[at], self.weight[at], self.size)
         found = np.flatnonzero((scores > 0) & unused)
         return found[np.argsort(-scores[found], kind="stable")]
 

@@ -12,6 +12,10 @@ import tiktoken
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
+#: Fixed value: the string that is one id, the first after the ranks.
+SPECIAL = "<|endoftext|>"
+
+
 def vocabulary() -> str:
     """The ranks of the 50k byte-level vocabulary; its ids are those of byte_bpe_50k.json."""
     import public_tokenizers
@@ -20,8 +24,8 @@ def vocabulary() -> str:
 
 
 def encoder(path: str) -> Callable[[str], np.ndarray]:
-    """A function from a text to its ids; strings of special tokens are ordinary text."""
+    """A function from a text to its ids; the special string is one id."""
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return lambda text: encoding.encode_to_numpy(text, disallowed_special=())
+    encoding = tiktoken.Encoding("ranks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={SPECIAL: len(ranks)})
+    return lambda text: encoding.encode_to_numpy(text, allowed_special={SPECIAL}, disallowed_special=())

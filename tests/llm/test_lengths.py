@@ -10,7 +10,6 @@ TEXTS = [None, "", "a", "a", "two words", "<|endoftext|>", "x " * 3000, "naïve
 
 def test_every_column_against_the_lengths(spark):
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     sizes = np.array([len(tokenizer.encode(t or "", add_special_tokens=False).ids) for t in TEXTS])
     docs = spark.createDataFrame([(i, t, "own", 2) for i, t in enumerate(TEXTS)], DOCS)
     sums = lengths.with_suffix_sums(lengths.histogram(docs), width=8)

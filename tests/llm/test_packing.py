@@ -13,7 +13,6 @@ DOCS = "doc_id long, text string, start long, ids string"
 @pytest.fixture(scope="module")
 def encode():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
     return lambda text: [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
 
 
