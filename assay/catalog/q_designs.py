@@ -237,6 +237,26 @@ def spec13(s: Study) -> DataFrame:
     return calibrate.shift_to_group_rate(s.quality, "prob", "stratum").select("key", "shifted")
 
 
+@query(
+    "spec13_group_calibrators",
+    """SELECT * FROM (WITH RECURSIVE own AS (SELECT stratum AS g FROM quality_ GROUP BY 1 HAVING count(*) >= 50 AND count(DISTINCT y) = 2),
+      x AS (SELECT g, ln(score) AS s, y::DOUBLE AS y, 1.0::DOUBLE / pi AS w FROM quality_ JOIN own ON g = stratum
+        UNION ALL SELECT '(all)', ln(score), y::DOUBLE, 1.0::DOUBLE / pi FROM quality_),
+      fit AS (SELECT DISTINCT g, 0 AS step, 0.0::DOUBLE AS a, 0.0::DOUBLE AS b FROM x UNION ALL
+        SELECT g, step + 1, a + (bb * ga - ab * gb) / (aa * bb - ab * ab), b + (aa * gb - ab * ga) / (aa * bb - ab * ab) FROM (
+          SELECT g, step, a, b, sum(w * (y - p) * s) AS ga, sum(w * (y - p)) AS gb, sum(w * p * (1 - p) * s * s) AS aa,
+            sum(w * p * (1 - p) * s) AS ab, sum(w * p * (1 - p)) AS bb
+          FROM (SELECT fit.*, x.s, x.y, x.w, 1 / (1 + exp(-(a * x.s + b))) AS p FROM fit JOIN x USING (g) WHERE step < 30) GROUP BY g, step, a, b))
+      SELECT g AS stratum, a, b, n FROM fit JOIN (SELECT g, count(*) AS n FROM x GROUP BY 1) USING (g) WHERE step = 30)""",
+    doubles="a b",
+)
+def spec13_groups(s: Study) -> DataFrame:
+    """A calibrator for each language with enough rows, and one of all rows, in one loop."""
+    rows = s.quality.withColumn("w", 1 / F.col("pi")).withColumn("s", F.ln("score"))
+    fits = calibrate.fit_group_platts(rows, "s", "stratum", weight="w", skew=s.params.skew)
+    return fits.select(F.coalesce("stratum", F.lit("(all)")).alias("stratum"), "a", "b", "n")
+
+
 @query("spec14_propensity_weights")
 def spec14(s: Study) -> DataFrame:
     matrix, groups = s.matrix
