@@ -64,15 +64,19 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-@functools.cache
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The powers of the base and of its inverse modulo 2^64."""
-    found = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        steps = np.full(size, base, np.uint64)
-        steps[0] = 1
-        found.append(np.cumprod(steps))
-    return found[0], found[1]
+_POWERS: dict[int, list[np.ndarray]] = {}
+
+
+def _powers(size: int) -> list[np.ndarray]:
+    """The powers of the base and of its inverse modulo 2^64, kept while the task lasts."""
+    if size not in _POWERS:
+        found = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            found.append(np.cumprod(steps))
+        _POWERS[size] = found
+    return _POWERS[size]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
