@@ -8,11 +8,13 @@ model, so what reaches the driver depends on features and models and not on rows
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -20,6 +22,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from ..plans.stage import staged
 from .features import design
 
+# Functions that run in tasks are sent with the job: executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 #: Features that a matrix of curvatures is kept for: a megabyte a model and task.
 MOST_FEATURES = 512
 STEPS, TOLERANCE = 60, 1e-10

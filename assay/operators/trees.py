@@ -15,11 +15,13 @@ first 100 trees of 300 are the forest of 100 rounds: `scored` reads any prefix.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
@@ -27,6 +29,9 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from ..plans.stage import staged
 from .features import design
 
+# Functions that run in tasks are sent with the job: executors need not have the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # The described learner's rate and least curvature of a leaf.
 RATE = 0.05
 LEAST_CURVATURE = 1e-3
