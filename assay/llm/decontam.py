@@ -48,9 +48,9 @@ def word_count(text: Column) -> Column:
     return F.size(F.filter(F.split(text, "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"), lambda w: w != ""))
 
 
-def windows_of(items: list[tuple[str, bytes]], window: int) -> tuple[dict, dict]:
+def windows_of(items: list[tuple[str | None, bytes]], window: int) -> tuple[dict, dict]:
     """The windows of a block of items: ids from 1 by word, and by length the sorted hashes, the
-    ids in each window, and the items that hold it."""
+    ids in each window, and the items that hold it (None: one without an id)."""
     table = _table()
     vocabulary: dict[bytes, int] = {}
     rows: dict[int, dict[tuple[int, ...], set[str]]] = defaultdict(lambda: defaultdict(set))
@@ -65,7 +65,7 @@ def windows_of(items: list[tuple[str, bytes]], window: int) -> tuple[dict, dict]
         ids = np.array(list(found), np.uint64).reshape(len(found), size)
         hashes = _hashed(ids.T)
         order = np.argsort(hashes, kind="stable")
-        owners = [sorted(x) for x in found.values()]
+        owners = [sorted(x, key=lambda item: (item is None, item)) for x in found.values()]
         by_length[size] = hashes[order], ids[order], [owners[i] for i in order]
     return vocabulary, by_length
 
@@ -125,10 +125,9 @@ def span_words(hits: list[dict]) -> set[int]:
 
 
 def _blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, most: int) -> Iterator[list]:
-    """Items in blocks of about `most` windows each; items without id or words are left out."""
-    text = F.col(text_col).cast("string")
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), text.alias("text"), word_count(text).alias("n"))
-    items = items.filter("item IS NOT NULL AND n > 0")
+    """Distinct items in blocks of about `most` windows each; items without words are left out."""
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).distinct()
+    items = items.withColumn("n", word_count(F.col("text"))).filter("n > 0")
     total = items.agg(F.sum(F.greatest(F.col("n") - window + 1, F.lit(1)))).first()[0] or 0
     count = math.ceil(total / most)
     for block in range(count):
@@ -150,8 +149,8 @@ def scan(
     and `hits`: each occurrence as word positions [start, stop) and its item.
 
     An item of fewer words than a window is one window; one without words has none. A null or
-    empty text has no words and no hits; items without an id take no part. Rows stay as they
-    are, repeated ones too. Columns of `docs` named like the new ones are replaced.
+    empty text has no words and no hits; the hits of items without an id have a null item.
+    Repeated items count once. Rows of `docs` stay as they are, repeated ones too. Columns of `docs` named like the new ones are replaced.
     """
     if window < 1:
         raise ValueError(f"window must be at least 1, got {window}")
@@ -178,8 +177,8 @@ def contaminated(share: int = 20) -> Column:
 
 
 def digest(scanned: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """One row per scanned row: counts, items and the verdict."""
-    items = F.array_sort(F.array_distinct(F.transform("hits", lambda h: h["item"])))
+    """One row per scanned row: counts, items that have an id, and the verdict."""
+    items = F.array_sort(F.array_distinct(F.array_compact(F.transform("hits", lambda h: h["item"]))))
     return scanned.select(
         F.col(id_col),
         F.col("words").alias("n_words"),

@@ -21,7 +21,7 @@ def _expected(text, items, window):
     for item, t in items:
         w = _words(t)
         size = min(window, len(w))
-        for i in range(len(w) - size + 1 if size and item is not None else 0):
+        for i in range(len(w) - size + 1 if size else 0):
             windows[tuple(w[i : i + size])].add(item)
     words, hit, found = _words(text), set(), set()
     for size in {len(w) for w in windows}:
@@ -29,6 +29,7 @@ def _expected(text, items, window):
             if owners := windows.get(tuple(words[i : i + size])):
                 hit |= set(range(i, i + size))
                 found |= owners
+    found.discard(None)
     digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
     return len(words), len(hit), len(found), digest, 0 < len(hit) and 20 * len(hit) >= len(words)
 
@@ -68,6 +69,18 @@ def test_documents_go_and_spans_go(spark):
     assert cut == {0: "x y", 1: f"{clean}, End", 2: clean, 3: None, 4: None}
 
 
+def test_items_without_an_id_and_repeated_items(spark):
+    item = " ".join(f"t{i}" for i in range(13))
+    docs = spark.createDataFrame([(1, f"x {item}", "own", 1)], DOCS)
+    unnamed = decontam.digest(decontam.scan(docs, spark.createDataFrame([(None, item, 0)], ITEMS))).first()
+    assert (unnamed["n_hit"], unnamed["n_items"], unnamed["contaminated"]) == (13, 0, True)
+    assert unnamed["items_sha256"] == hashlib.sha256(b"").hexdigest()
+    many = spark.createDataFrame([("a", item, i) for i in range(500)] + [("b", item, 0), (None, item, 0)], ITEMS)
+    blocks = list(decontam._blocks(many, "item_id", "text", 13, 400_000))
+    assert sorted(blocks[0], key=str) == [("a", item.encode()), ("b", item.encode()), (None, item.encode())]
+    assert [h["item"] for h in decontam.scan(docs, many).first()["hits"]] == ["a", "b", None]
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([(1, "a b", "o", 0)], DOCS), spark.createDataFrame([("a", "a b", 0)], ITEMS)
     none = decontam.digest(decontam.scan(docs, items.limit(0))).first()
