@@ -224,7 +224,9 @@ ORACLE = f"""
 WITH known AS (
   SELECT digest, min(license) AS license FROM (
     SELECT license, {_digest_sql(_canonical_lines_sql("text"))} AS digest
-    FROM (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in KNOWN)}) AS k(license, text))
+    FROM (VALUES {", ".join(f"({_quoted(n)}, {_quoted(t)})" for n, t in KNOWN)}) AS k(license, text)
+    UNION ALL
+    SELECT * FROM (VALUES {", ".join(f"({_quoted(n)}, {_quoted(d)})" for n, d, _ in FULL)}) AS f(license, digest))
   GROUP BY digest),
 lines AS (SELECT doc_id, {_canonical_lines_sql("text")} AS lines FROM documents),
 rows AS (SELECT doc_id, lines, {_digest_sql("lines")} AS text_sha256 FROM lines),

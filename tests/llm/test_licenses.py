@@ -1,6 +1,8 @@
 import os
 import textwrap
 
+import duckdb
+import pandas as pd
 import pytest
 
 from assay.llm import licenses
@@ -61,3 +63,12 @@ def test_full_texts_of_longer_licences(spark):
     short = [(n, t.partition(end)[0] + end) for n, t in zip(files, texts) if end in t]
     found = _found(spark, [*texts, *(" ".join(t.upper().split(" ")) for t in texts), *(t for _, t in short), texts[0] + " more"])
     assert [found[i]["license"] for i in range(len(found))] == [*files, *files, *(n for n, _ in short), None]
+
+
+@pytest.mark.skipif(not os.path.isfile(f"{TEXTS}/GPL-3"), reason="no licence texts")
+def test_full_texts_equal_the_oracle(spark):
+    texts = [open(f"{TEXTS}/{f}", encoding="utf-8").read() for f in ("GPL-3", "Apache-2.0") if os.path.isfile(f"{TEXTS}/{f}")]
+    documents = pd.DataFrame({"doc_id": range(len(texts) + 2), "text": [*texts, MIT, "Released under the MIT License."]})  # noqa: F841
+    expected = duckdb.sql(licenses.ORACLE).fetchall()
+    found = _found(spark, list(documents["text"])).values()
+    assert sorted(map(tuple, found)) == sorted(expected) and sorted(expected)[0][2] == "GPL-3.0"
