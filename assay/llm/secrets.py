@@ -18,8 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.stage import staged
-from .tables import hashed_sample, mapped, portions, put_back, set_aside
+from .tables import mapped, portions, put_back, set_aside
 
 # Patterns, least lengths and the order of kinds.
 KINDS = ("assign", "access", "hex", "random")
@@ -39,10 +38,6 @@ ALPHABET = string.ascii_letters + string.digits + "+/_=-"
 MARGIN = 1.0
 #: Pairs that the characters' own frequencies count for, beside the pairs seen.
 BACK_OFF = 20
-#: Most labelled strings taken per label to train on.
-SAMPLE = 20_000
-#: Most documents whose words serve as ordinary identifiers.
-DOCUMENTS = 1000
 
 _CODES = np.full(256, len(ALPHABET), np.int64)
 _CODES[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(len(ALPHABET))
@@ -59,21 +54,18 @@ class Models:
         return float(self.ratio[codes[:-1], codes[1:]].mean()) if len(codes) > 1 else 0.0
 
 
-def fit(samples: DataFrame, *, text_col: str = "text", label_col: str = "label", sample: int = SAMPLE) -> Models:
-    """Models from labelled strings: label 1 is random, 0 ordinary. Pairs of characters are
-    counted by Spark over at most `sample` strings per label, those first by hash; rows with a
-    null text or label, or of under two characters, say nothing."""
+def fit(samples: DataFrame, *, text_col: str = "text", label_col: str = "label") -> Models:
+    """Models from labelled strings: label 1 is random, 0 ordinary. Spark counts the pairs of
+    characters of every distinct string; rows with a null text or label, or of under two
+    characters, say nothing."""
     text = F.col(text_col).cast("string")
     rows = samples.select(text.alias("text"), F.col(label_col).cast("int").alias("label"))
-    rows = staged(rows.filter(F.col("label").isin(0, 1) & (F.length("text") > 1)).distinct(), "strings")
-    kept = None
-    for label in (0, 1):
-        part = hashed_sample(rows.filter(F.col("label") == label), ["text"], sample)
-        kept = part if kept is None else kept.unionByName(part)
+    rows = rows.filter(F.col("label").isin(0, 1) & (F.length("text") > 1)).distinct()
+    rows = rows.select("label", F.regexp_replace("text", f"[^{ALPHABET[:-1]}-]", " ").alias("text"))
     at = F.explode(F.sequence(F.lit(1), F.length("text") - 1))
-    pairs = kept.select("label", "text", at.alias("i")).select("label", F.substring("text", F.col("i"), F.lit(2)).alias("pair"))
+    pairs = rows.select("label", "text", at.alias("i")).select("label", F.substring("text", F.col("i"), F.lit(2)).alias("pair"))
     counts = np.zeros((2, len(ALPHABET) + 1, len(ALPHABET) + 1))
-    # At most one row per label and pair of characters of the samples.
+    # At most one row per label and pair of classes of characters, counted before the shuffle.
     for r in pairs.groupBy("label", "pair").count().collect():
         a, b = (ALPHABET.find(c) if c in ALPHABET else len(ALPHABET) for c in r["pair"])
         counts[r["label"], a, b] += r["count"]
@@ -91,12 +83,11 @@ def random_strings(count: int = 2000, seed: int = 7) -> list[str]:
     return ["".join(draw.choices(alphabets[i % 4], k=draw.randint(16, 48))) for i in range(count)]
 
 
-def labelled_strings(docs: DataFrame, *, text_col: str = "text", sample: int = DOCUMENTS) -> DataFrame:
-    """(text, label) from documents: words of letters as ordinary identifiers, alone and joined
-    in the usual ways; generated strings as random ones. `sample` bounds the documents read."""
+def labelled_strings(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
+    """(text, label): the distinct words of letters of all documents as ordinary identifiers,
+    alone and joined in the usual ways; generated strings as random ones."""
     spark: SparkSession = docs.sparkSession
-    texts = hashed_sample(docs.filter(F.col(text_col).isNotNull()), docs.columns, sample)
-    words = texts.select(F.explode(F.split(F.col(text_col), "[^A-Za-z]+")).alias("w"))
+    words = docs.select(F.explode(F.array_distinct(F.split(F.col(text_col).cast("string"), "[^A-Za-z]+"))).alias("w"))
     words = words.filter(F.length("w").between(3, 24)).distinct()
     low = F.lower("w")
     joined = [low, F.concat(low, F.lit("_id")), F.concat(F.lit("get"), F.initcap("w")), F.upper("w"), F.concat(low, F.lit("-"), low)]

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -65,6 +66,33 @@ def test_models_tell_keys_from_names(models):
     assert [s[0] for s in found] == ["random"]
 
 
+def test_every_document_shapes_the_ordinary_model(spark):
+    usual = [(i, "plain words of every day here", "own", 1) for i in range(3000)]
+    rare = [(9999, "qzxqzx " + " ".join("qzx" * k for k in range(2, 8)), "own", 1)]
+    without, with_it = (secrets.fit(secrets.labelled_strings(spark.createDataFrame(r, DOCS))) for r in (usual, usual + rare))
+    assert with_it.score("qzxqzxqzx") < without.score("qzxqzxqzx")
+    # Repeated documents and strings say nothing new.
+    twice = secrets.fit(secrets.labelled_strings(spark.createDataFrame(usual + rare * 50, DOCS)))
+    assert (twice.ratio == with_it.ratio).all()
+
+
+def test_pairs_against_plain_counts(spark):
+    texts = [("ab_c1", 0), ("a€b", 0), ("a€b", 0), ("zZ9+/=-q", 1), ("]^\\x", 1)]
+    models = secrets.fit(spark.createDataFrame(texts, "text string, label int"))
+    place = lambda c: secrets.ALPHABET.find(c) if c in secrets.ALPHABET else len(secrets.ALPHABET)
+    counts = [[[0.0] * 68 for _ in range(68)] for _ in range(2)]
+    for t, label in set(texts):
+        for a, b in zip(t, t[1:]):
+            counts[label][place(a)][place(b)] += 1
+    for a, b in ((0, 1), (67, 1), (place("9"), place("+")), (5, 6)):
+        logs = []
+        for c in counts:
+            seen = sum(row[b] for row in c) + 0.5
+            total = sum(map(sum, c)) + 0.5 * 68
+            logs.append(math.log((c[a][b] + secrets.BACK_OFF * seen / total) / (sum(c[a]) + secrets.BACK_OFF)))
+        assert models.ratio[a, b] == pytest.approx(logs[1] - logs[0])
+
+
 def test_masking_keeps_rows_and_columns(spark, models):
     rows = [(1, "a token = abcdefgh b", "own", 20), (1, "a token = abcdefgh b", "own", 20), (None, None, "own", None), (2, "clean", "own", 77)]
     docs = spark.createDataFrame(rows, DOCS)
