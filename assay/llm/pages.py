@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..params import Skew
+from ..plans.skew import salted_lookup
 from ..plans.stage import staged
 from .tables import mapped, portions
 
@@ -39,39 +41,127 @@ SCOPES = frozenset("ul ol dl table article section div main body html aside nav
 #: Share of a host's votes from which a path wins.
 SHARE = 0.1
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z][^>]*>",
-    re.DOTALL | re.IGNORECASE,
+#: Rows and bytes of winning paths that are broadcast; more are joined by shuffle, hot hosts cut.
+BROADCAST_HOSTS = 200_000
+BROADCAST_BYTES = 32 << 20
+
+# Words that name a box and not what it holds.
+BOX_WORDS = frozenset(
+    "area bar block body box button buttons bottom container content form icon icons inner item items left links list main outer page "
+    "panel posts right section site slot stories text thread top unit wrap wrapper".split()
 )
+#: Mis-quoted tags after which the rest of a page is read without regard to quotes.
+MIS_QUOTED = 100
+
+_START = r"<!--.*?(-->|\Z)|<(script|style|textarea)\b[^>]*>.*?(</\2\s*>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)"
+_TOKEN = re.compile(_START + r"((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</?[a-zA-Z][^>]*>", re.DOTALL | re.IGNORECASE)
+_PLAIN_TOKEN = re.compile(_START + r"([^>]*)>", re.DOTALL | re.IGNORECASE)
 _NAME = re.compile(r"""\b(class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.IGNORECASE)
 _PARTS = re.compile(r"[a-z]+")
+#: Elements whose nearest open one in scope a start tag may end.
+_TRACKED = frozenset({"p", *OWN_KIND})
 
 
 class Node:
-    __slots__ = ("tag", "path", "parent", "skipped", "blocks", "score", "linked")
+    """An open element: its nearest container, and the open elements that a tag may end."""
+
+    __slots__ = ("tag", "parent", "container", "path", "skipped", "linked", "article", "head", "near")
 
-    def __init__(self, tag: str, path: str, parent: Node | None, skipped: bool):
-        self.tag, self.path, self.parent, self.skipped = tag, path, parent, skipped
-        self.score = 0.0
+    def __init__(self, tag: str, parent: Node | None, container: int, path: int, skipped: bool):
+        self.tag, self.parent, self.container, self.path, self.skipped = tag, parent, container, path, skipped
         self.linked = tag == "a" or (parent is not None and parent.linked)
+        self.article = tag in ("article", "main") or (parent is not None and parent.article)
+        self.head = self if tag == "head" else parent.head if parent is not None else None
+        near = parent.near if parent is not None and tag not in SCOPES else {}
+        self.near = {**near, tag: self} if tag in _TRACKED else near
+
+
+class Page:
+    """Kept blocks of text, and containers in page order. Paths are numbered by (path above,
+    step), so a deep page takes no more room than a flat one; 0 is the empty path."""
+
+    def __init__(self):
+        self.blocks: list[tuple[int, bool, str]] = []  # container or -1, in a link, text
+        self.tags: list[str] = []
+        self.above: list[int] = []
+        self.paths: list[int] = []
+        self.steps: dict[tuple[int, str], int] = {}
+
+    def number(self, path: str) -> int | None:
+        """The number of a path, None where the page does not have it."""
+        at = 0
+        for step in path.split("/")[1:]:
+            at = self.steps.get((at, step))
+            if at is None:
+                return None
+        return at
+
+    def name(self, number: int) -> str:
+        at = list(self.steps)  # numbers ascend from 1 as steps are added
+        out = []
+        while number:
+            number, step = at[number - 1]
+            out.append(step)
+        return "".join("/" + step for step in reversed(out))
+
+    def scores(self) -> dict[int, float]:
+        """Of each container with text: text counts in full where it stands and less for each
+        container above it, links count against. One pass from the innermost up."""
+        sums: dict[int, float] = {}
+        for container, linked, text in self.blocks:
+            if container >= 0:
+                sums[container] = sums.get(container, 0.0) + len(text) * (-0.5 if linked else 1.0)
+        for c in range(len(self.tags) - 1, -1, -1):
+            if c in sums and self.above[c] >= 0:
+                sums[self.above[c]] = sums.get(self.above[c], 0.0) + 0.7 * sums[c]
+        return {c: v * (1.5 if self.tags[c] in ("article", "main") else 1.0) for c, v in sums.items()}
+
+    def inside(self, path: int) -> list[bool]:
+        """Whether each container is at or below one of that path."""
+        out: list[bool] = []
+        for p, above in zip(self.paths, self.above):
+            out.append(p == path or (above >= 0 and out[above]))
+        return out
+
+
+def _step(tag: str, attributes: str) -> str:
+    """A tag with its classes and id, numbers left out, as a step of a path."""
+    words = " ".join(a or b or c for _, a, b, c in _NAME.findall(attributes)).lower()
+    plain = ".".join(sorted({re.sub(r"\d+", "#", w) for w in words.split()}))
+    return f"{tag}.{plain}".replace("/", "|") if plain else tag
 
 
-def _named(attributes: str) -> tuple[str, bool]:
-    """Classes and id without numbers, for a path, and whether they name something but text."""
-    names = [a or b or c for _, a, b, c in _NAME.findall(attributes)]
-    words = " ".join(names).lower()
-    plain = ".".join(sorted({re.sub(r"\d+", "#", w) for w in words.split()}))
-    return plain, any(p in NOT_TEXT for p in _PARTS.findall(words))
+def _not_text(tag: str, attributes: str, article: bool) -> bool:
+    """Whether classes and id name something but text.
 
+    Inside an article or main, and on headings and sections anywhere, a name counts as a whole:
+    each of its words must name such a thing or a box ("cookie-notice", "ad-slot", but not
+    "related-work"), and ids of headings and sections, which are slugs of their titles, do not
+    count. Elsewhere any word does.
+    """
+    if tag in ("html", "body", "main", "article"):
+        return False
+    titled = tag == "section" or (len(tag) == 2 and tag[0] == "h" and tag[1].isdigit())
+    for kind, a, b, c in _NAME.findall(attributes):
+        if titled and kind.lower() == "id":
+            continue
+        for name in (a or b or c).lower().split():
+            parts = _PARTS.findall(name)
+            named = [p in NOT_TEXT for p in parts]
+            if any(named) and (not (article or titled) or all(n or p in BOX_WORDS for n, p in zip(named, parts))):
+                return True
+    return False
 
-def read(html: str) -> list[tuple[Node, str]]:
-    """Blocks of text in page order, each with the node that holds it.
 
-    Only kept text: what stands in skipped elements, or in those named as anything but text,
-    is left out. Elements that nobody closed end where their parent or the next block does.
+def read(html: str) -> Page:
+    """The page's kept text and its containers, in time linear in its length.
+
+    What stands in skipped elements, or in those named as anything but text, is left out.
+    Elements that nobody closed end where their parent or the next block does.
     """
-    root = node = Node("", "", None, False)
-    blocks: list[tuple[Node, str]] = []
+    page = Page()
+    root = node = Node("", None, -1, 0, False)
+    opened: dict[str, int] = {}
     pieces: list[str] = []
     holder = root
 
@@ -79,57 +169,69 @@ def read(html: str) -> list[tuple[Node, str]]:
         text = " ".join("".join(pieces).split())
         pieces.clear()
         if text:
-            blocks.append((holder, text))
+            page.blocks.append((holder.container, holder.linked, text))
 
-    def up_to(target: Node) -> None:
+    def close(target: Node) -> None:
         nonlocal node
-        node = target.parent or root
-
-    def open_of(tags: tuple[str, ...], within: bool) -> Node | None:
-        at = node
-        while at is not root:
-            if at.tag in tags:
-                return at
-            if within and at.tag in SCOPES:
-                return None
-            at = at.parent
-        return None
-
-    end = 0
-    for m in _TOKEN.finditer(html):
+        while True:
+            opened[node.tag] -= 1
+            last, node = node, node.parent
+            if last is target:
+                return
+
+    end = odd = 0
+    stop = html.rfind(">") + 1  # no tag ends beyond
+    unclosed = False
+    pattern = _TOKEN
+    while m := pattern.search(html, end, stop):
         if m.start() > end and not node.skipped:
             if not pieces:
                 holder = node
             pieces.append(unescape(html[end : m.start()]))
         end = m.end()
-        tag = m[3]
+        tag = m[5]
         if tag is None:
+            unclosed = m[1] == "" or m[3] == ""
+            if html[m.start() + 1] not in "!?" and m[2] is None:
+                odd += 1
+                pattern = _PLAIN_TOKEN if odd > MIS_QUOTED else pattern
             continue
         tag = tag.lower()
         if tag in BLOCKS:
             flush()
         elif tag == "br":
             pieces.append(" ")
-        if m[2]:
-            found = open_of((tag,), False)
-            if found is not None:
-                up_to(found)
+        if m[4]:
+            if opened.get(tag):
+                found = node
+                while found.tag != tag:
+                    found = found.parent
+                close(found)
             continue
         if tag in VOID:
             continue
-        if (tag == "body" or tag in CLOSES_P) and (head := open_of(("head",), False)):
-            up_to(head)
-        if tag in CLOSES_P and (p := open_of(("p",), True)):
-            up_to(p)
-        if tag in OWN_KIND:
-            while own := open_of(OWN_KIND[tag], True):
-                up_to(own)
-        names, other = _named(m[4]) if m[4] else ("", False)
-        other = other and tag not in ("html", "body", "main", "article")
-        path = f"{node.path}/{tag}.{names}" if names else f"{node.path}/{tag}"
-        if not m[4].endswith("/") or tag in BLOCKS:
-            node = Node(tag, path if tag in CONTAINERS or tag == "html" else node.path, node, node.skipped or other or tag in SKIPPED)
-    if end < len(html) and not node.skipped:
+        if (tag == "body" or tag in CLOSES_P) and node.head is not None:
+            close(node.head)
+        if tag in CLOSES_P and "p" in node.near:
+            close(node.near["p"])
+        for kind in OWN_KIND.get(tag, ()):
+            while kind in node.near:
+                close(node.near[kind])
+        attributes = m[6]
+        if attributes.endswith("/") and tag not in BLOCKS:
+            continue
+        container, path = node.container, node.path
+        if tag in CONTAINERS or tag == "html":
+            path = page.steps.setdefault((path, _step(tag, attributes)), len(page.steps) + 1)
+            if tag != "html":
+                page.tags.append(tag)
+                page.above.append(container)
+                page.paths.append(path)
+                container = len(page.tags) - 1
+        other = tag in SKIPPED or (bool(attributes) and _not_text(tag, attributes, node.article))
+        node = Node(tag, node, container, path, node.skipped or other)
+        opened[tag] = opened.get(tag, 0) + 1
+    if end < len(html) and not node.skipped and not (unclosed and end == stop):
         # Text after the last tag; half a tag at the very end is none.
         rest = html[end:]
         cut = re.search(r"<[a-zA-Z/!][^>]*\Z", rest)
@@ -137,38 +239,46 @@ def read(html: str) -> list[tuple[Node, str]]:
             holder = node
         pieces.append(unescape(rest[: cut.start()] if cut else rest))
     flush()
-    return blocks
+    return page
 
 
-def _containers(node: Node) -> Iterator[Node]:
-    while node is not None:
-        if node.tag in CONTAINERS:
-            yield node
-        node = node.parent
+def _best(scored: dict[int, float]) -> int | None:
+    return max(scored, key=lambda c: (scored[c], -c), default=None)
 
 
-def best_path(blocks: list[tuple[Node, str]]) -> str | None:
-    """The path of the container with the highest score: text counts in full where it stands
-    and less for each container above it, links count against."""
-    scored: dict[int, Node] = {}
-    for holder, text in blocks:
-        value = len(text) * (-0.5 if holder.linked else 1.0)
-        for node in _containers(holder):
-            node.score += value * (1.5 if node.tag in ("article", "main") else 1.0)
-            scored[id(node)] = node
-            value *= 0.7
-    best = max(scored.values(), key=lambda n: (n.score, n.path), default=None)
-    return best.path if best is not None else None
+def best_path(page: Page) -> str | None:
+    """The path of the container with the highest score, the first of equal ones."""
+    best = _best(page.scores())
+    return page.name(page.paths[best]) if best is not None else None
 
 
-def text_at(blocks: list[tuple[Node, str]], paths: list[str]) -> str:
-    """Blocks below the first of `paths` that the page has, else below its own best one."""
-    for path in paths:
-        found = [text for holder, text in blocks if any(n.path == path for n in _containers(holder))]
-        if found:
-            return "\n".join(found)
-    own = best_path(blocks)
-    return text_at(blocks, [own]) if own is not None else "\n".join(text for _, text in blocks)
+def text_at(page: Page, paths: list[str]) -> str:
+    """Blocks below the first of `paths` that the page has with text, else below its own best one.
+
+    An article or main element that is the page's own best and stands apart from that path goes
+    before it: such a page is of another template than those that voted for the path.
+    """
+
+    def below(path: int) -> list[str]:
+        inside = page.inside(path)
+        return [text for c, _, text in page.blocks if c >= 0 and inside[c]]
+
+    own = _best(page.scores())
+    semantic = own is not None and page.tags[own] in ("article", "main")
+    for name in paths:
+        path = page.number(name)
+        found = below(path) if path is not None else []
+        if not found:
+            continue
+        if semantic:
+            inside = page.inside(path)
+            under = page.inside(page.paths[own])
+            apart = not inside[own] and not any(under[c] for c, p in enumerate(page.paths) if p == path)
+            # A winning path inside or around the page's own article tells it more exactly.
+            if apart:
+                return "\n".join(below(page.paths[own]))
+        return "\n".join(found)
+    return "\n".join(below(page.paths[own]) if own is not None else [text for _, _, text in page.blocks])
 
 
 def host(url: str):
@@ -197,18 +307,29 @@ def winners(counted: DataFrame, share: float = SHARE) -> DataFrame:
     return kept.groupBy("host").agg(F.transform(order, lambda s: s["path"]).alias("paths"))
 
 
+def with_paths(rows: DataFrame, won: DataFrame, *, most: int = BROADCAST_HOSTS, size: int = BROADCAST_BYTES, skew: Skew | None = None) -> DataFrame:
+    """`rows` (host, html and others) with the `paths` of their host, null where it has none."""
+    found = won.agg(F.count("*").alias("n"), F.sum(F.length(F.concat_ws("", "paths"))).alias("bytes")).first()
+    if found["n"] <= most and (found["bytes"] or 0) <= size:
+        return rows.join(F.broadcast(won), "host", "left")
+    # A host all of whose pages are empty has no paths.
+    known = rows.select("host").distinct().join(won, "host", "left")
+    return salted_lookup(rows, known, ["host"], spread_on="html", skew=skew or Skew())
+
+
 def extract(
     pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", share: float = SHARE
 ) -> DataFrame:
     """(id, url, text, n_chars), one row per row of `pages`, repeated rows too.
 
     A null or empty html, and one without main text, gives the empty text. A null url is its
-    own host; ids may be null. Winning paths are few per host; they are written as a table, so
-    that Spark joins them by broadcast where their size allows and by shuffle where not.
+    own host; ids may be null. Winning paths are written as a table and measured: up to
+    BROADCAST_HOSTS of at most BROADCAST_BYTES they are broadcast, and no html is moved; more
+    are joined by host, with the pages of a large host cut over many tasks.
     """
     won = staged(winners(votes(pages, url_col=url_col, html_col=html_col), share), "paths")
     rows = pages.select(F.col(id_col).alias("_id"), F.col(url_col).alias("_url"), host(url_col).alias("host"), F.col(html_col).cast("string").alias("html"))
-    rows = rows.join(won, "host", "left").select("_id", "_url", "html", "paths")
+    rows = with_paths(rows, won).select("_id", "_url", "html", "paths")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in portions(batches, "html"):

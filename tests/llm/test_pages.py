@@ -1,4 +1,7 @@
+import time
+
 from assay.llm import pages
+from assay.params import Skew
 
 SCHEMA = "page_id long, url string, html string, text string, host int"
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="page">
@@ -46,3 +49,56 @@ def test_odd_pages(spark):
     assert found[5] == "deep" and found[6] == "a b d &amp; e"
     assert found[7] == "kept\ntoo" and found[8] == "one two three"
     assert pages.extract(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_an_article_of_a_rarer_template(spark):
+    usual = "<html><body><div class='post'><p>%s</p></div></body></html>" % ("A story of the usual kind. " * 5)
+    rare = "<html><body><main><h1>Rare</h1><p>%s</p></main><div class='post'><p>Teaser of another story.</p></div></body></html>" % ("Long text. " * 20)
+    rows = [(i, f"https://t.example/{i}", usual, None, None) for i in range(9)] + [(9, "https://t.example/9", rare, None, None)]
+    out = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out[9] == "Rare\n" + ("Long text. " * 20).strip()
+    assert out[0] == ("A story of the usual kind. " * 5).strip()
+    # A winning path inside the page's own article is the more exact one.
+    inner = "<body><article><div class='post'><p>Kept text of it.</p></div><p>by</p></article></body>"
+    assert pages.text_at(pages.read(inner), ["/body/article/div.post"]) == "Kept text of it."
+
+
+def test_names_inside_articles_count_whole():
+    html = """<article><h2 id='social-history'>Social history</h2><section id='related-work'><h3>Related work</h3><p>Much.</p></section>
+    <p class='related-work'>More.</p><div class='cookie-notice'>c</div><div class='ad-slot'>a</div><div class='comment-list'>r</div>
+    <div class='share'>s</div><div id='newsletter-signup'>n</div><p class='price share-price'>Up.</p></article>"""
+    assert pages.text_at(pages.read(html), []) == "Social history\nRelated work\nMuch.\nMore.\nUp."
+    assert pages.text_at(pages.read("<div><p class='ad-hoc'>x</p><p>y</p></div>"), []) == "y"
+
+
+def test_long_and_deep_pages_take_linear_time():
+    odd = [
+        "<a " * 100_000,
+        "x><p>" + "<a " * 100_000,
+        "<div class='abc'>" * 100_000 + "deep",
+        "<p><span>" * 100_000 + "t" + "</b>" * 100_000,
+        '<a ">" ' * 100_000,
+        "<!-- " * 100_000,
+        "<script " * 100_000 + ">",
+        "<li>x" * 100_000,
+    ]
+    for html in odd:
+        start = time.process_time()
+        page = pages.read(html)
+        pages.best_path(page)
+        text = pages.text_at(page, ["/div.abc/div.abc", "/body"])
+        assert time.process_time() - start < 5, html[:20]
+        assert text in ("", "x>", "deep", "t", "\n".join("x" * 100_000)) or '">"' in html
+    assert pages.text_at(pages.read("<p>a</p><!-- b > c"), []) == "a"
+
+
+def test_winning_paths_by_broadcast_and_by_host(spark):
+    rows = [(i, f"http://h{i % 7 if i % 3 else 0}.example/", PAGE % (i, i) if i % 11 else None, None, None) for i in range(60)]
+    given = spark.createDataFrame(rows + [(60, None, None, None, None), (61, "http://empty.example", "", None, None)], SCHEMA)
+    won = pages.winners(pages.votes(given))
+    hosts = given.select("page_id", pages.host("url").alias("host"), "html")
+    near, far = (
+        sorted(pages.with_paths(hosts, won, most=most, skew=Skew(hot_rows=5, salts=3)).select("page_id", "paths").collect(), key=str)
+        for most in (100, 0)
+    )
+    assert near == far and len(far) == 62 and sum(r["paths"] is None for r in far) == 2
