@@ -72,3 +72,19 @@ def str3(s: Study) -> DataFrame:
     out, state = new_path(s.spark, "settle"), new_path(s.spark, "state")
     flows.settle_stream(polls, "user_id", ["ts", "event_id"], out, state).awaitTermination()
     return flows.settled_view(s.spark, out, "user_id", ["ts", "event_id"]).select("user_id", "event_id", "state")
+
+
+@query(
+    "str3_close_overdue",
+    """SELECT user_id, state, opened_at, CASE state WHEN 'settled' THEN met ELSE opened_at + INTERVAL 5 DAY END AS closed_at FROM (
+      SELECT *, CASE WHEN met <= opened_at + INTERVAL 5 DAY THEN 'settled'
+          WHEN clock > opened_at + INTERVAL 5 DAY THEN 'pending_overdue' END AS state
+      FROM (SELECT user_id, min(ts) AS opened_at, min(ts) FILTER (WHERE value > 40) AS met, (SELECT max(ts) FROM events) AS clock
+        FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL GROUP BY user_id)) WHERE state IS NOT NULL""",
+)
+def str3_overdue(s: Study) -> DataFrame:
+    out, state, checkpoint = (new_path(s.spark, n) for n in ("closed", "pending", "state"))
+    flows.close_pending_stream(
+        _events(s), key="user_id", moment="ts", closed=F.col("value") > 40, overdue_days=5, state=state, out=out, checkpoint=checkpoint
+    ).awaitTermination()
+    return s.spark.read.parquet(out).select("user_id", "state", "opened_at", "closed_at")
