@@ -133,6 +133,16 @@ def spec6(s: Study) -> DataFrame:
     return labels.disagreement(s.labels, _settled(s))
 
 
+@query(
+    "spec6_rule_disagreement",
+    "SELECT l.label AS label_a, b.label AS label_b, count(*) AS n FROM labelled_cohort l JOIN labels_out_b b USING (sha256) GROUP BY 1, 2",
+    **SETTLED_RULE,
+)
+def spec6_rule(s: Study) -> DataFrame:
+    """The full rule of the settled view, with its own families and floors."""
+    return labels.disagreement(s.labels, settled.settled_rule_labels(s.labelled, s.scored, s.verdicts, s.params))
+
+
 @query(
     "spec7_churn",
     """SELECT count(DISTINCT sha256) AS artifacts, count(*) FILTER (WHERE a IS DISTINCT FROM b) AS flips, count(*) AS both_n,

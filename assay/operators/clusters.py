@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.components import components
 from ..plans.small import small_table
 from .features import MAX_ROSTER, on_roster
 
@@ -88,22 +89,12 @@ def agreement(long: DataFrame, roster: Sequence[str], *, strict: bool = True) ->
 def clusters(pairs: DataFrame, roster: Sequence[str], threshold: float) -> DataFrame:
     """(author, cluster): engines connected by pairs above the threshold.
 
-    The graph has at most roster-squared edges, checked in `pair_sums`; its components are
-    named by their lowest engine.
+    Clusters are named by their lowest engine; an engine without such a pair is its own. Pairs
+    without a correlation connect nothing.
     """
-    edges = pairs.filter(F.col("correlation") >= threshold).select("engine_a", "engine_b").collect()
-    parent = {e: e for e in roster}
-
-    def root(e: str) -> str:
-        while parent[e] != e:
-            e = parent[e]
-        return e
-
-    for edge in edges:
-        a, b = sorted((root(edge["engine_a"]), root(edge["engine_b"])))
-        parent[b] = a
-    rows = [(e, root(e)) for e in roster]
-    return small_table(pairs.sparkSession, rows, "author string, cluster string")
+    engines = small_table(pairs.sparkSession, [(e,) for e in roster], "node string")
+    edges = pairs.filter(F.col("correlation") >= threshold).select(F.col("engine_a").alias("a"), F.col("engine_b").alias("b"))
+    return components(engines, edges).select(F.col("node").alias("author"), F.col("component").alias("cluster"))
 
 
 def clustered_counts(long: DataFrame, engine_clusters: DataFrame) -> DataFrame:

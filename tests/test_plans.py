@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from assay.params import Skew
+from assay.plans.components import components
 from assay.plans.ordering import (
     exact_quantiles,
     hash_first_n,
@@ -140,3 +141,30 @@ def test_a_folder_written_again_is_another_one(spark, tmp_path):
     assert first == folder_state(spark, folder) and len(first) > 0
     spark.range(4).write.mode("overwrite").parquet(folder)
     assert folder_state(spark, folder) != first
+
+
+def test_components_against_union_find(spark):
+    draw = random.Random(5)
+    chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(60)]
+    draw.shuffle(chain)
+    star = [("hub", f"s{i}") for i in range(30)]
+    loose = [(f"r{draw.randrange(40)}", f"r{draw.randrange(40)}") for _ in range(25)]
+    edges = chain + star + loose + star[:3] + [(b, a) for a, b in loose[:5]] + [("x", "x"), (None, "x"), ("x", "stranger")]
+    nodes = {n for edge in edges for n in edge if n not in (None, "stranger")} | {"alone"}
+    parent = {n: n for n in nodes}
+
+    def root(n):
+        while parent[n] != n:
+            n = parent[n]
+        return n
+
+    for a, b in edges:
+        if a in nodes and b in nodes:
+            low, high = sorted((root(a), root(b)))
+            parent[high] = low
+    given = spark.createDataFrame([(n,) for n in nodes] * 2 + [(None,)], "node string")
+    found = components(given, spark.createDataFrame(edges, "a string, b string")).collect()
+    assert len(found) == len(nodes) and {r["node"]: r["component"] for r in found} == {n: root(n) for n in nodes}
+    none = spark.createDataFrame([], "a string, b string")
+    assert components(given.filter("node = 'alone'"), none).collect() == [("alone", "alone")]
+    assert components(given.limit(0), none).count() == 0
