@@ -67,7 +67,9 @@ def index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embe
     """An index with one row per usable row of `vectors`, in the shared folder.
 
     The width is the most frequent one (ties to the larger); vectors of another are not usable.
-    Rows with a null id are left out, since no result could name them.
+    Rows with a null id are left out, since no result could name them. Ids are whole numbers:
+    they are cast to long, and where a string is none the cast fails the query (ANSI mode) or
+    gives a null id.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vector"))
     rows = rows.filter(F.col("id").isNotNull() & usable(F.col("vector")))

@@ -269,7 +269,9 @@ def near_duplicates(
     `component_id` is the smallest id reachable over links, the row's own included, and
     `n_links` counts other fingerprints within the budget. Rows with equal fingerprints are
     always linked, so copies never become pairs. Null ids never name a component: a component
-    of null ids alone has a null id. Empty tables give no rows.
+    of null ids alone has a null id. Ids are whole numbers: they are cast to long, and where a
+    string is none the cast fails the query (ANSI mode) or gives a null id. Empty tables give no
+    rows.
     """
     marks = staged(fingerprints(docs, id_col=id_col, text_col=text_col, words=words), "fingerprints")
     nodes = staged(marks.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
