@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from assay.llm import packing
@@ -90,3 +91,52 @@ def test_all_terms_of_a_long_seed_count():
     alone = packing.Index([np.arange(10, 37).astype(np.uint16), np.array([36, 50], np.uint16), np.array([51], np.uint16)])
     assert alone.neighbours(0, np.array([False, True, True])).tolist() == [1]
     assert packing.Index([np.array([1], np.uint16), np.array([2], np.uint16)]).neighbours(0, np.array([False, True])).size == 0
+
+
+def _topics():
+    draw = np.random.default_rng(6)
+    topics = [["".join(draw.choice(list("abdefgiklmnoprstuvz"), 6)) for _ in range(30)] for _ in range(20)]
+    common = [f"common{i}" for i in range(50)]
+    return [(i, i % 20, " ".join([*draw.choice(topics[i % 20], 25), *draw.choice(common, 25)])) for i in range(1200)]
+
+
+def test_statistics_are_of_all_pieces_of_the_table(spark, encode):
+    texts = [*_texts()[:40], None, "long " * 3000]
+    docs = spark.createDataFrame([(i, t, 5, "x") for i, t in enumerate(texts)], DOCS).repartition(7)
+    parts = packing.pieces(docs, id_col="doc_id", text_col="text", path=packing.vocabulary(), window=256, end=1)
+    known = packing.statistics(parts)
+    units = [ids[at : at + 256] for ids in map(encode, texts) for at in range(0, len(ids), 256)]
+    assert known.mean == pytest.approx(np.mean([len(u) for u in units]))
+    for term in {x for u in units for x in u}:
+        df = sum(term in u for u in units)
+        assert known.idf[term] == pytest.approx(np.log(1 + (len(units) - df + 0.5) / (df + 0.5)), rel=1e-6)
+    none = packing.statistics(parts.limit(0))
+    assert none.mean == 0 and len(none.idf) == 1
+
+
+def test_documents_of_one_topic_meet_wherever_they_lie(spark):
+    rows = _topics()
+    docs = spark.createDataFrame([(i, t, 5, "x") for i, _, t in rows], DOCS).repartition(9)
+    topic = {i: t for i, t, _ in rows}
+    together = {}
+    for r in packing.pack(docs, shard=64).collect():
+        together.setdefault(r["sequence_id"], []).append(topic[r["doc_id"]])
+    same = [np.mean([a == b for b in got]) for got in together.values() if len(got) > 3 for a in got]
+    assert np.mean(same) > 0.6  # one in twenty by chance
+
+
+def test_leaders_order_a_table_alike_and_copies_are_parted(spark):
+    rows = [(i, "one text that many documents copy", 5, "x") for i in range(500)]
+    docs = spark.createDataFrame(rows + [(500 + i, t, 5, "x") for i, _, t in _topics()], DOCS).repartition(5)
+    parts = packing.pieces(docs, id_col="doc_id", text_col="text", path=packing.vocabulary(), window=2048, end=1)
+    known = packing.statistics(parts)
+    lead = packing.leaders(parts, known)
+    assert lead.size == packing.LEADERS
+    rests = packing.routed(parts.drop("sequence_id"), lead)
+    keys = {r["id"]: r["route"] for r in rests.collect()}
+    assert len({keys[i] for i in range(500)}) == 1 and len(set(keys.values())) > 600
+    sizes = [r["count"] for r in rests.repartitionByRange(8, "route", "row").groupBy(F.spark_partition_id()).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 500
+    # A piece that shares nothing with any leader has a key, too.
+    assert lead.key(np.flatnonzero(lead.slot < 0)[:3]) > 0
+    assert packing.Leaders([], known).key(np.array([5], np.uint16)) == 0
