@@ -29,10 +29,13 @@ from .tokens import encoder, vocabulary
 #: Ids in a window, and the id that ends each document.
 WINDOW = 2048
 END = 1
-#: Documents in a shard of the index, and shards a task fills.
-SHARD, SHARDS = 1024, 4
+#: Documents in a shard of the index, and shards a task fills; more where the table has over
+#: MOST times as many documents, whose bounds would burden the driver.
+SHARD, SHARDS, MOST = 1024, 4, 20_000
 #: Sampled pieces that lend the shards their order, and how many of them a piece's key names.
-LEADERS, DEPTH = 64, 8
+LEADERS, DEPTH = 64, 6
+#: Places under one key, among which rows of equal keys are dealt.
+PLACES = 1 << 16
 #: A term of more than one in so many of a shard's documents is scored as a dense row.
 OFTEN = 16
 #: Fixed values of BM25.
@@ -289,17 +292,33 @@ def leaders(parts: DataFrame, known: Statistics, size: int = LEADERS) -> Leaders
     return Leaders([_ids(*t) for t in list(texts)[:size]], known)
 
 
-def routed(rests: DataFrame, lead: Leaders) -> DataFrame:
-    """`rests` with the key of their place, `route`."""
+def routed(rests: DataFrame, lead: Leaders, bounds: np.ndarray | None = None) -> DataFrame:
+    """`rests` with their `place` in the order: the key, then one of PLACES by the row's number.
+    With bounds of ranges, also `range`, the number of bounds that are not above the place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = zip(batch.column("ids").to_pylist(), batch.column("length").to_pylist())
-            route = pa.array([lead.key(_ids(*s)) for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, route], [*batch.schema.names, "route"])
+            sets = zip(*(batch.column(c).to_pylist() for c in ("ids", "length", "row")))
+            # An odd factor spreads neighbouring numbers over the places.
+            place = np.array([lead.key(_ids(d, n)) * PLACES + row * 40503 % PLACES for d, n, row in sets], np.int64)
+            more = [place] if bounds is None else [place, np.searchsorted(bounds, place, "right").astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, more)], [*batch.schema.names, *names])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rests.schema)
-    return mapped(rests, run, f"{fields}, route long")
+    names = ["place"] if bounds is None else ["place", "range"]
+    kinds = dict(zip(names, ("long", "int")))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in rests.schema]
+    return mapped(rests, run, ", ".join(fields + [f"{n} {k}" for n, k in kinds.items()]))
+
+
+def ordered(rests: DataFrame, lead: Leaders, ranges: int) -> DataFrame:
+    """`rests` with place and range, each range in a partition of its own, in order of place."""
+    inner = [i / ranges for i in range(1, ranges)]
+    bounds = np.zeros(0, np.int64)
+    if inner:
+        places = routed(rests.select("ids", "length", "row"), lead)
+        found = places.agg(F.percentile_approx("place", inner, 5 * ranges).alias("at")).first()["at"]
+        bounds = np.array(found or [], np.int64)
+    return routed(rests, lead, bounds).repartitionById(ranges, "range").sortWithinPartitions("place", "row")
 
 
 def pack(
@@ -320,7 +339,8 @@ def pack(
     sequence have no gaps. A sequence has `window` ids, or fewer at a power of two. Statistics are
     of all pieces of the table; a seed's neighbours are those of its shard, in which rests of
     like content lie. The leaders of that order are a bounded sample (`LEADERS`), and rests of
-    equal keys, copies for one, are parted by their number, so that no range is larger for them.
+    equal keys, copies for one, are dealt over places by their number, so that no range is large
+    for them.
     """
     if window < 1 or window & (window - 1):
         raise ValueError(f"window must be a power of two, got {window}")
@@ -328,8 +348,7 @@ def pack(
     key = parts.schema["id"].dataType.simpleString()
     known = statistics(parts)
     rests = parts.filter(F.col("sequence_id").isNull()).drop("sequence_id")
-    ranges = math.ceil(rests.count() / (SHARDS * shard)) or 1
-    ordered = routed(rests, leaders(parts, known)).repartitionByRange(ranges, "route", "row")
+    ranges = min(MOST, math.ceil(rests.count() / (SHARDS * shard)) or 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = Packer(window, (1 << 62) + (TaskContext.get().partitionId() << 33), known)
@@ -366,7 +385,7 @@ def pack(
             yield batch.set_column(batch.schema.get_field_index("ids"), "ids", pa.array(wide, pa.binary()))
 
     columns = ["id", "start", "length", "ids", "doc_tokens"]
-    filled = mapped(ordered.sortWithinPartitions("route", "row").select(columns), run, f"id {key}, {OUT}")
+    filled = mapped(ordered(rests, leaders(parts, known), ranges).select(columns), run, f"id {key}, {OUT}")
     whole = parts.filter(F.col("sequence_id").isNotNull()).select(*columns, "sequence_id", F.lit(0).cast("long").alias("offset"))
     return mapped(whole, widened, f"id {key}, {OUT}").unionByName(filled).withColumnRenamed("id", id_col)
 

@@ -132,11 +132,15 @@ def test_leaders_order_a_table_alike_and_copies_are_parted(spark):
     known = packing.statistics(parts)
     lead = packing.leaders(parts, known)
     assert lead.size == packing.LEADERS
-    rests = packing.routed(parts.drop("sequence_id"), lead)
-    keys = {r["id"]: r["route"] for r in rests.collect()}
+    rests = packing.ordered(parts.drop("sequence_id"), lead, 8).withColumn("task", F.spark_partition_id()).collect()
+    keys = {r["id"]: r["place"] // packing.PLACES for r in rests}
     assert len({keys[i] for i in range(500)}) == 1 and len(set(keys.values())) > 600
-    sizes = [r["count"] for r in rests.repartitionByRange(8, "route", "row").groupBy(F.spark_partition_id()).count().collect()]
-    assert len(sizes) == 8 and max(sizes) < 500
+    ranges = {}
+    for r in rests:
+        ranges.setdefault(r["task"], []).append(r["place"])
+    assert len(ranges) == 8 and max(map(len, ranges.values())) < 300
+    spans = sorted((places[0], places[-1]) for places in ranges.values() if places == sorted(places))
+    assert len(spans) == 8 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
     # A piece that shares nothing with any leader has a key, too.
     assert lead.key(np.flatnonzero(lead.slot < 0)[:3]) > 0
     assert packing.Leaders([], known).key(np.array([5], np.uint16)) == 0
