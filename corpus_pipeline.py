@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from assay.llm import decontam, minhash, packing, secrets, toxicity
+from assay.llm import decontam, near, packing, secrets, toxicity
 from assay.llm.tables import table
 from assay.plans.stage import staged
 
@@ -19,8 +19,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, Jaccard 0.8 or more."""
-    return minhash.drop_near_copies(docs, words=5, near=(4, 5))
+    """One document of each group of near copies: SimHash fingerprints met in the trie, and, for
+    near copies beyond its two bits, five-word shingles of Jaccard 0.8 or more."""
+    return near.drop_linked(docs, words=5, near=(4, 5))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
