@@ -131,7 +131,7 @@ def agg9(s: Study) -> DataFrame:
     **MOVES,
 )
 def agg10(s: Study) -> DataFrame:
-    of_cohort = s.long.join(s.cohort.select("sha256"), "sha256", "left_semi")
+    of_cohort = s.cohort_long
     return survey.change_totals(of_cohort, s.params.bands).select("moved_all", "moved_both")
 
 

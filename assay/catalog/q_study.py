@@ -161,7 +161,7 @@ def lab3(s: Study) -> DataFrame:
 
 @query("lab4_labels", "SELECT sha256, label, grade, reason FROM labelled_cohort")
 def lab4(s: Study) -> DataFrame:
-    return labels.label(s.cohort, s.long, s.params).select("sha256", "label", "grade", "reason")
+    return labels.label(s.cohort, s.cohort_long, s.params).select("sha256", "label", "grade", "reason")
 
 
 @query(
@@ -172,7 +172,7 @@ def lab4(s: Study) -> DataFrame:
 def lab5(s: Study) -> DataFrame:
     """A tenth of the cohort loses its label-scan rows and keeps a row with that reason."""
     lost = s.cohort.filter(F.col("instance_number") % 10 == 0).select("sha256", F.lit("label").alias("scan_role"))
-    partial = s.long.join(lost, ["sha256", "scan_role"], "left_anti")
+    partial = s.cohort_long.join(lost, ["sha256", "scan_role"], "left_anti")
     return labels.label(s.cohort, partial, s.params).select("sha256", "reason")
 
 
@@ -216,7 +216,7 @@ _FLAGS = ", ".join(features.flag_columns(ROSTER, "new"))
     **MATRIX,
 )
 def feat1(s: Study) -> DataFrame:
-    matrix, _ = features.build_matrix(s.cohort, s.long, ROSTER)
+    matrix, _ = features.build_matrix(s.cohort, s.cohort_long, ROSTER)
     kept = ["sha256", "stratum", "pi", *features.flag_columns(ROSTER), "n_responded", "n_definite", "n_malicious", "n_benign", "n_unknown"]
     return matrix.select(*kept, "m", "bid_mean_malicious", "bid_mean_benign", "n_specific", "modal_family_share", "modal_family")
 
@@ -262,9 +262,9 @@ def control_matrix(s: Study) -> DataFrame:
     """The same features over the control sample's first scans."""
 
     def build() -> DataFrame:
-        control = frame.control_sample(s.unlabellable, s.params)
+        control = s.stage("control", lambda: frame.control_sample(s.unlabellable, s.params))
         rows = control.select("sha256", F.lit("feature").alias("scan_role"), "instance_number")
-        return features.build_matrix(control, frame.long_verdicts(rows, s.verdicts), ROSTER)[0]
+        return features.build_matrix(control, frame.long_verdicts(rows, s.verdicts_of(control.select(F.col("instance_number").alias("number")))), ROSTER)[0]
 
     return s.stage("control_matrix", build)
 

@@ -59,21 +59,53 @@ class Study:
     def verdicts(self) -> DataFrame:
         return tables.verdicts(self.spark, self.folder)
 
+    def verdicts_of(self, scans: DataFrame | None) -> DataFrame:
+        """The verdicts of some scans (number), without grouping those of others; of all, if None."""
+        return tables.verdicts(self.spark, self.folder, scans)
+
+    @cached_property
+    def orphans(self) -> DataFrame:
+        return self.stage("orphans", lambda: tables.orphans(self.spark, self.folder))
+
+    def answers(self, scans: DataFrame | None = None) -> DataFrame:
+        """(instance_number, author, verdict) of all scans, or of some (number)."""
+        if self.lazy:
+            return tables.verdicts(self.spark, self.folder, scans).select("instance_number", "author", "verdict")
+        return tables.answers(self.spark, self.folder, self.orphans, scans)
+
+    # Scans and first sightings are kept under the artifact's number: digests do not compress, and
+    # are as long as the rest of a row. They are put back where a row leaves for other uses.
+
+    @cached_property
+    def numbered(self) -> DataFrame:
+        scans = tables.scans(self.spark, self.folder, numbered=True)
+        return self.stage("numbered", lambda: frame.scored_scans(scans, self.answers()))
+
+    @cached_property
+    def numbered_frame(self) -> DataFrame:
+        return self.stage("frame", lambda: frame.first_seen(self.numbered, carry=frame.COUNTS))
+
+    @cached_property
+    def numbered_nearest(self) -> DataFrame:
+        return frame.nearest_later(self.numbered_frame, self.numbered, self.params)
+
     @cached_property
     def scored(self) -> DataFrame:
-        return self.stage("scored", lambda: frame.scored_scans(self.scans, self.verdicts))
+        return tables.with_digest(self.numbered)
 
     @cached_property
     def frame(self) -> DataFrame:
-        return frame.first_seen(self.scored, carry=frame.COUNTS)
+        return tables.with_digest(self.numbered_frame)
 
     @cached_property
     def nearest(self) -> DataFrame:
-        return frame.nearest_later(self.frame, self.scored, self.params)
+        return tables.with_digest(self.numbered_nearest)
 
     @cached_property
     def labelled(self) -> DataFrame:
-        return self.stage("labelled", lambda: frame.labelled_frame(self.frame, self.nearest))
+        return self.stage(
+            "labelled", lambda: tables.with_digest(frame.labelled_frame(self.numbered_frame, self.numbered_nearest))
+        )
 
     @cached_property
     def base(self) -> DataFrame:
@@ -85,7 +117,16 @@ class Study:
 
     @cached_property
     def long(self) -> DataFrame:
-        return self.stage("long", lambda: frame.long_verdicts(frame.roles(self.base), self.verdicts))
+        return self.stage("long", lambda: self._long(self.base))
+
+    @cached_property
+    def cohort_long(self) -> DataFrame:
+        """The cohort's rows of `long`, which need not be built for them."""
+        return self.stage("cohort_long", lambda: self._long(self.cohort))
+
+    def _long(self, base: DataFrame) -> DataFrame:
+        rows = frame.roles(base)
+        return frame.long_verdicts(rows, self.verdicts_of(rows.select(F.col("instance_number").alias("number"))))
 
     @cached_property
     def banded(self) -> DataFrame:
@@ -105,11 +146,11 @@ class Study:
 
     @cached_property
     def labels(self) -> DataFrame:
-        return self.stage("labels", lambda: labels.label(self.cohort, self.long, self.params))
+        return self.stage("labels", lambda: labels.label(self.cohort, self.cohort_long, self.params))
 
     @cached_property
     def matrix(self) -> tuple[DataFrame, dict[str, list[str]]]:
-        matrix, groups = features.build_matrix(self.cohort, self.long, ROSTER)
+        matrix, groups = features.build_matrix(self.cohort, self.cohort_long, ROSTER)
         return self.stage("matrix", lambda: matrix), groups
 
     @cached_property
@@ -128,7 +169,8 @@ class Study:
         return self.stage("split_input", self._split_input)
 
     def _split_input(self) -> DataFrame:
-        modal = features.family_scalars(self.first_verdicts).select("sha256", "modal_family")
+        first = self.cohort_long.filter(F.col("scan_role") == "feature")
+        modal = features.family_scalars(first).select("sha256", "modal_family")
         counts = self.cohort.select(
             "sha256",
             "incumbent_score",
