@@ -353,8 +353,10 @@ def spec20_pairs(s: Study) -> DataFrame:
         UNION ALL SELECT engine_b, engine_a FROM corr_ WHERE correlation >= {THRESHOLD}) e ON e.x = r.b""",
 )
 def spec20(s: Study) -> DataFrame:
-    pairs = s.stage("agreement", lambda: clusters.agreement(s.verdicts, ROSTER))
-    return clusters.clustered_counts(s.long, clusters.clusters(pairs, ROSTER, THRESHOLD))
+    pairs = s.stage("agreement", lambda: clusters.agreement(s.answers(), ROSTER))
+    rows = frame.roles(s.base).filter(F.col("scan_role") == "label")
+    long = frame.long_verdicts(rows, s.answers(rows.select(F.col("instance_number").alias("number"))))
+    return clusters.clustered_counts(long, clusters.clusters(pairs, ROSTER, THRESHOLD))
 
 
 @query(
