@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import frame, metrics, models, settled, splits, survey
 from ..plans.ordering import hash_first_n, hash_key, prefix_sums, range_bucket
+from ..sources.tables import with_digest
 from .q_aggregates import PER_YEAR
 from .q_joins import run_scores
 from .registry import query
@@ -38,8 +39,8 @@ CONVERGED = "n_later >= 3 AND elapsed_days >= 365 AND distinct_states = 1 AND st
 
 @query("win2_recency_rank", "SELECT sha256, number, rn FROM later_", **LATER)
 def win2(s: Study) -> DataFrame:
-    later = frame.later_scans(s.labelled, s.scored, s.params)
-    return settled.recency_rank(later, s.params).select("sha256", "number", "rn")
+    later = s.stage("later", lambda: frame.later_scans(s.numbered_frame, s.numbered, s.params))
+    return with_digest(settled.recency_rank(later, s.params).select("sha256", "number", "rn"))
 
 
 @query("win3_convergence", "SELECT * FROM states", doubles="elapsed_days stable_span_days", **LATER)

@@ -7,16 +7,25 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import days_between, micros, ratio, year_of
 from ..params import Params
-from ..plans.ordering import prefix_sums, range_bucket
+from ..plans.ordering import BUCKET, prefix_sums, range_bucket
+from ..plans.skew import hot_keys
 from .frame import later_scans, long_verdicts, roles
 from .labels import label
 
 
+def timed(later: DataFrame, params: Params) -> DataFrame:
+    """`later` in buckets of time for artifacts of hot histories; others are one bucket each, so that
+    they have one total."""
+    hot = hot_keys(later.select("sha256"), ["sha256"], params.skew)
+    cut = range_bucket(later.withColumn("_t", micros(F.col("completed"))), "_t", params.skew.buckets)
+    marked = cut.join(F.broadcast(hot), "sha256", "left")
+    return marked.withColumn(BUCKET, F.when(F.col("_salts").isNotNull(), F.col(BUCKET)).otherwise(0)).drop("_salts")
+
+
 def recency_rank(later: DataFrame, params: Params) -> DataFrame:
     """Rank of every later scan from the newest back; long histories are cut by time."""
-    timed = later.withColumn("_t", micros(F.col("completed")))
     return prefix_sums(
-        range_bucket(timed, "_t", params.skew.buckets),
+        timed(later, params),
         by=["sha256"],
         order=[F.col("completed").desc(), F.col("number").desc()],
         sums={"rn": F.lit(1).cast("bigint")},

@@ -4,7 +4,9 @@ from dataclasses import replace
 import pytest
 
 from assay.catalog.study import STUDY, Study
-from assay.plans import stage
+from assay.operators import settled
+from assay.params import Skew
+from assay.plans import ordering, stage
 from assay.sources import tables
 
 DAY = datetime.datetime(2020, 1, 1)
@@ -51,3 +53,14 @@ def test_labels_group_no_verdicts_but_the_cohorts(spark, folder):
     fresh.labels.count(), fresh.matrix[0].count(), fresh.split_input.count()
     written = {k[2] for k in stage._WRITTEN if k not in before}
     assert "cohort_long" in written and "long" not in written
+
+
+def test_short_histories_are_ranked_in_one_bucket(spark, folder):
+    later = Study(spark, folder).numbered.select("sha256", "number", "completed")
+    plan = lambda hot: settled.recency_rank(later, replace(STUDY, skew=Skew(hot_rows=hot, salts=2)))
+    want = rows(later.join(spark.createDataFrame([(n, 5 - (n + 1) // 2) for n in range(1, 9)], "number long, rn long"), "number").select("number", "rn"))
+    for hot in (1_000_000, 3):  # no history is hot; both are
+        assert rows(plan(hot).select("number", "rn")) == want
+    many = spark.createDataFrame([(1, n, DAY + datetime.timedelta(days=n)) for n in range(64)], "sha256 long, number long, completed timestamp_ntz")
+    assert settled.timed(many, STUDY).select(ordering.BUCKET).distinct().count() == 1
+    assert settled.timed(many, replace(STUDY, skew=Skew(hot_rows=10))).select(ordering.BUCKET).distinct().count() > 1
