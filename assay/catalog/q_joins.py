@@ -195,14 +195,19 @@ def join12(s: Study) -> DataFrame:
     return features.align(narrow, ["sha256", *features.flag_columns(ROSTER)])
 
 
+def cohort_renders(s: Study) -> DataFrame:
+    """The renders of the cohort's own scans, which are all that its overlay asks for."""
+    scans = frame.roles(s.cohort).select(F.col("instance_number").alias("number")).distinct()
+    return pages.parse_renders(render_lines(s, scans))
+
+
 def overlaid(s: Study) -> DataFrame:
     """The cohort with its label scan as the forced one, for artifacts with an even number."""
     drawn = s.cohort.select("sha256", "stratum", "pi", "n_available", "instance_number", "scoring_moment", "label_instance_number")
     submitted = drawn.filter(F.col("label_instance_number") % 4 != 0).select(
         "sha256", F.col("label_instance_number").alias("rescan_instance")
     )
-    renders = pages.render_rows(pages.parse_renders(render_lines(s)))
-    return forced.overlay(drawn, submitted, renders)
+    return forced.overlay(drawn, submitted, pages.render_rows(cohort_renders(s)))
 
 
 STATUS_CTE = {

@@ -169,8 +169,10 @@ def src7(s: Study) -> DataFrame:
     return pages.last_record(log, "user_id", ["submitted_at", "event_id"]).select("user_id", "event_id", "event_type", "k")
 
 
-def render_lines(s: Study) -> DataFrame:
-    """Full renders as JSON: a scan with its nested verdict list (at most one per engine)."""
+def render_lines(s: Study, only: DataFrame | None = None) -> DataFrame:
+    """Full renders as JSON: a scan with its nested verdict list (at most one per engine). With
+    `only` (number), of those scans."""
+    scans = s.scans if only is None else s.scans.join(only, "number", "left_semi")
     entry = F.struct(
         "author",
         F.concat(F.lit("name of "), F.col("author")).alias("author_name"),
@@ -179,8 +181,8 @@ def render_lines(s: Study) -> DataFrame:
         F.lit(True).alias("mask"),
         F.struct("malware_family", F.struct(F.lit("1.0").alias("version")).alias("scanner")).alias("metadata"),
     )
-    nested = s.verdicts.groupBy("instance_number").agg(F.collect_list(entry).alias("assertions"))
-    joined = s.scans.join(nested, F.col("number") == F.col("instance_number"), "left")
+    nested = s.verdicts_of(only).groupBy("instance_number").agg(F.collect_list(entry).alias("assertions"))
+    joined = scans.join(nested, F.col("number") == F.col("instance_number"), "left")
     return joined.select(
         F.to_json(
             F.struct(

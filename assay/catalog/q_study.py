@@ -11,8 +11,7 @@ from ..operators import draw, features, forced, frame, labels, models, splits
 from ..sources import pages
 from ..sources.tables import ROSTER, artifact_key
 from .q_aggregates import _flags_sql
-from .q_joins import STATUS_CTE, overlaid
-from .q_sources import render_lines
+from .q_joins import STATUS_CTE, cohort_renders, overlaid
 from .registry import query
 from .study import Study
 
@@ -90,7 +89,7 @@ def draw9(s: Study) -> DataFrame:
     **STATUS_CTE,
 )
 def draw10(s: Study) -> DataFrame:
-    rows = pages.explode_renders(pages.parse_renders(render_lines(s)))
+    rows = pages.explode_renders(cohort_renders(s))
     return forced.collected_base(overlaid(s), rows).select(
         "sha256", "instance_number", "label_instance_number", "t_definite", "t_malicious", "t_responded", "gap_days", "pi_realized"
     )
@@ -114,7 +113,7 @@ COLLECTED = {
     **COLLECTED,
 )
 def draw10_cohort(s: Study) -> DataFrame:
-    cohort, _ = forced.collected_run(overlaid(s), pages.explode_renders(pages.parse_renders(render_lines(s))))
+    cohort, _ = forced.collected_run(overlaid(s), pages.explode_renders(cohort_renders(s)))
     kept = ["sha256", "stratum", "instance_number", "label_instance_number", "label_moment", "gap_days"]
     return cohort.select(
         *kept, "n_definite", "n_malicious", "n_responded", "l_definite", "l_malicious", "l_responded", "pi_draw", "n_draw", "pi"
@@ -129,7 +128,7 @@ def draw10_cohort(s: Study) -> DataFrame:
     **COLLECTED,
 )
 def draw10_long(s: Study) -> DataFrame:
-    _, long = forced.collected_run(overlaid(s), pages.explode_renders(pages.parse_renders(render_lines(s))))
+    _, long = forced.collected_run(overlaid(s), pages.explode_renders(cohort_renders(s)))
     return long.select("sha256", "scan_role", "author", "verdict", "malware_family")
 
 

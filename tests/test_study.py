@@ -3,11 +3,13 @@ from dataclasses import replace
 
 import pytest
 
+from assay.catalog.q_joins import cohort_renders
+from assay.catalog.q_sources import render_lines
 from assay.catalog.study import STUDY, Study
 from assay.operators import settled
 from assay.params import Skew
 from assay.plans import ordering, stage
-from assay.sources import tables
+from assay.sources import pages, tables
 
 DAY = datetime.datetime(2020, 1, 1)
 
@@ -64,3 +66,12 @@ def test_short_histories_are_ranked_in_one_bucket(spark, folder):
     many = spark.createDataFrame([(1, n, DAY + datetime.timedelta(days=n)) for n in range(64)], "sha256 long, number long, completed timestamp_ntz")
     assert settled.timed(many, STUDY).select(ordering.BUCKET).distinct().count() == 1
     assert settled.timed(many, replace(STUDY, skew=Skew(hot_rows=10))).select(ordering.BUCKET).distinct().count() > 1
+
+
+def test_renders_of_the_cohort_alone(spark, folder):
+    s = Study(spark, folder)
+    wanted = {r[c] for r in s.cohort.collect() for c in ("instance_number", "label_instance_number")}
+    every = pages.render_rows(pages.parse_renders(render_lines(s)))
+    found = pages.render_rows(cohort_renders(s))
+    assert {r["instance"] for r in found.collect()} == wanted and every.count() == 8
+    assert rows(found) == rows(every.filter(every["instance"].isin(*wanted)))
