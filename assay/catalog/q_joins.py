@@ -65,7 +65,7 @@ ELIGIBLE_CTES = {
 
 def eligible_labelled(s: Study) -> DataFrame:
     """Histories of eligible first scans, and their nearest later finished scan that did not fail."""
-    answered = frame.scored_scans(s.instances, s.verdicts)
+    answered = frame.counted_scans(s.instances, s.counts())
     first = frame.first_seen(answered.filter(frame.revealed()), frame.eligible(), carry=frame.COUNTS)
     return frame.labelled_frame(first, frame.nearest_later(first, answered, s.params))
 

@@ -73,13 +73,19 @@ class Study:
             return tables.verdicts(self.spark, self.folder, scans).select("instance_number", "author", "verdict")
         return tables.answers(self.spark, self.folder, self.orphans, scans)
 
+    def counts(self) -> DataFrame:
+        """`frame.verdict_counts` of every scan that was answered."""
+        if self.lazy:
+            return frame.verdict_counts(self.answers(), "instance_number")
+        return tables.counts(self.spark, self.folder, self.orphans)
+
     # Scans and first sightings are kept under the artifact's number: digests do not compress, and
     # are as long as the rest of a row. They are put back where a row leaves for other uses.
 
     @cached_property
     def numbered(self) -> DataFrame:
         scans = tables.scans(self.spark, self.folder, numbered=True)
-        return self.stage("numbered", lambda: frame.scored_scans(scans, self.answers()))
+        return self.stage("numbered", lambda: frame.counted_scans(scans, self.counts()))
 
     @cached_property
     def numbered_frame(self) -> DataFrame:

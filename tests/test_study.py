@@ -6,7 +6,7 @@ import pytest
 from assay.catalog.q_joins import cohort_renders
 from assay.catalog.q_sources import render_lines
 from assay.catalog.study import STUDY, Study
-from assay.operators import settled
+from assay.operators import frame, settled
 from assay.params import Skew
 from assay.plans import ordering, stage
 from assay.sources import pages, tables
@@ -39,6 +39,20 @@ def test_answers_are_the_verdicts_without_a_join_by_part(spark, folder):
     assert rows(s.verdicts_of(few)) == rows(s.verdicts.filter("instance_number IN (1, 3)"))
 
 
+def test_counts_meet_before_the_shuffle_and_equal_those_of_verdicts(spark, folder):
+    schema = spark.read.parquet(f"{folder}/lineitem.parquet").schema
+    odd = [(1, 4, None, "R", 1.0), (1, 4, -1, "A", 1.0), (1, 4, -10, "R", 1.0), (1, 4, -15, "N", 1.0), (1, 4, -2, "N", 1.0), (1, 4, -9, "A", 1.0)]
+    odd += [(2, 5, k, flag, 1.0) for k in range(-20, 40) for flag in "ANR"[k % 3 :]] + [(None, 4, 1, "R", 1.0), (3, 98, 1, "R", 1.0)]
+    spark.createDataFrame(odd, schema).write.mode("append").parquet(f"{folder}/lineitem.parquet")
+    s = Study(spark, folder)
+    want = frame.verdict_counts(s.verdicts, "instance_number")
+    assert s.counts().schema.simpleString() == want.schema.simpleString()
+    assert rows(s.counts()) == rows(want) and want.count() == 9
+    assert rows(s.numbered) == rows(Study(spark, folder, lazy=True).numbered)
+    plan = s.counts()._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortAggregate" not in plan
+
+
 def test_scans_are_kept_by_number_and_leave_by_digest(spark, folder):
     s = Study(spark, folder)
     lazy = Study(spark, folder, lazy=True)
