@@ -89,7 +89,7 @@ class Study:
 
     @cached_property
     def numbered_frame(self) -> DataFrame:
-        return self.stage("frame", lambda: frame.first_seen(self.numbered, carry=frame.COUNTS))
+        return self.stage("frame", lambda: frame.first_seen(self.numbered, carry=frame.COUNTS, size=frame.N_SCANS))
 
     @cached_property
     def numbered_nearest(self) -> DataFrame:
@@ -101,17 +101,20 @@ class Study:
 
     @cached_property
     def frame(self) -> DataFrame:
-        return tables.with_digest(self.numbered_frame)
+        return tables.with_digest(self.numbered_frame.drop(frame.N_SCANS))
 
     @cached_property
     def nearest(self) -> DataFrame:
         return tables.with_digest(self.numbered_nearest)
 
+    @cached_property
+    def numbered_labelled(self) -> DataFrame:
+        first = self.numbered_frame.drop(frame.N_SCANS)
+        return self.stage("labelled", lambda: frame.labelled_frame(first, self.numbered_nearest))
+
     @cached_property
     def labelled(self) -> DataFrame:
-        return self.stage(
-            "labelled", lambda: tables.with_digest(frame.labelled_frame(self.numbered_frame, self.numbered_nearest))
-        )
+        return tables.with_digest(self.numbered_labelled)
 
     @cached_property
     def base(self) -> DataFrame:

@@ -15,14 +15,17 @@ def hot_keys(facts: DataFrame, keys: Sequence[str], skew: Skew) -> DataFrame:
 
     The count is pre-aggregated map-side, and the list is bounded, so it may be broadcast.
     """
-    rows = F.col("_rows")
+    return hot_of(facts.groupBy(*keys).agg(F.count("*").alias("_rows")), keys, skew, rows="_rows")
+
+
+def hot_of(sizes: DataFrame, keys: Sequence[str], skew: Skew, rows: str) -> DataFrame:
+    """`hot_keys` of keys whose rows are counted already, in the column `rows`."""
+    size = F.col(rows)
     return (
-        facts.groupBy(*keys)
-        .agg(F.count("*").alias("_rows"))
-        .filter(rows > skew.hot_rows)
-        .orderBy(rows.desc(), *keys)
+        sizes.filter(size > skew.hot_rows)
+        .orderBy(size.desc(), *keys)
         .limit(skew.max_hot_keys)
-        .select(*keys, F.greatest(F.lit(skew.salts), F.ceil(rows / skew.hot_rows)).cast("int").alias("_salts"))
+        .select(*keys, F.greatest(F.lit(skew.salts), F.ceil(size / skew.hot_rows)).cast("int").alias("_salts"))
     )
 
 

@@ -61,6 +61,14 @@ def test_scans_are_kept_by_number_and_leave_by_digest(spark, folder):
     assert rows(s.labelled) == rows(lazy.labelled) and s.labelled.count() == 2
 
 
+def test_labelled_scans_are_written_by_number(spark, folder):
+    s = Study(spark, folder)
+    assert s.labelled.columns == Study(spark, folder, lazy=True).labelled.columns
+    written = {k[2]: path for k, path in stage._WRITTEN.items() if k[0] == spark.sparkContext.applicationId}["labelled"]
+    assert spark.read.parquet(written).schema["sha256"].dataType.simpleString() == "bigint"
+    assert "_n_scans" not in s.labelled.columns + s.frame.columns
+
+
 def test_labels_group_no_verdicts_but_the_cohorts(spark, folder):
     s = Study(spark, folder)
     assert rows(s.cohort_long) == rows(s.long.join(s.cohort.select("sha256"), "sha256", "left_semi").select(s.cohort_long.columns))
