@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import frame, metrics, models, settled, splits, survey
 from ..plans.ordering import hash_first_n, hash_key, prefix_sums, range_bucket
-from ..sources.tables import with_digest
+from ..sources.tables import artifact_key, with_digest
 from .q_aggregates import PER_YEAR
 from .q_joins import run_scores
 from .registry import query
@@ -78,7 +78,8 @@ def win5(s: Study) -> DataFrame:
       FROM (SELECT sha256, row_number() OVER (ORDER BY md5('split:' || sha256 || '20260922'), sha256) AS pos, count(*) OVER () AS t FROM base)""",
 )
 def win6(s: Study) -> DataFrame:
-    return splits.random_split(s.base.select("sha256"), s.params)
+    numbered = frame.base_snapshot(s.numbered_labelled).select("sha256")
+    return with_digest(splits.random_split(numbered, s.params, artifact_key(F.col("sha256"))))
 
 
 @query(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalar import days_later, micros
 from ..params import Params
-from ..plans.ordering import hash_key, hash_position, running_by_value
+from ..plans.ordering import hash_bucket, hash_key, hash_position, prefix_sums, running_by_value
 from ..plans.skew import salted_lookup
 
 FOLDS = ("train", "validate", "test")
@@ -75,15 +75,29 @@ def horizon_gap(split: DataFrame, horizon_days: int) -> DataFrame:
     return split.withColumn("in_gap", (F.col("fold") == "test") & F.coalesce(early, F.lit(False)))
 
 
-def random_split(df: DataFrame, params: Params) -> DataFrame:
-    """The optimistic split: a seeded order, exact counts, no groups and no gap."""
+def random_split(df: DataFrame, params: Params, digest: Column | None = None) -> DataFrame:
+    """The optimistic split: a seeded order, exact counts, no groups and no gap.
+
+    Where something shorter stands in `sha256`, `digest` makes the digest of it. Rows are then moved
+    without digest and key, which are made again where they arrive.
+    """
     total = df.agg(F.count("*").alias("n")).scalar()
     n_train = F.bround(total * F.lit(params.train_frac), 0)
     n_validate = F.bround(total * F.lit(params.validate_frac), 0)
-    keyed = df.withColumn("_key", hash_key("sha256", params.seed, prefix="split:"))
-    placed = hash_position(
-        keyed, by=[], hexed="_key", tie="sha256", digits=params.skew.hash_digits, out="_pos"
-    )
+    key = hash_key("sha256" if digest is None else digest, params.seed, prefix="split:")
+    keyed = df.withColumn("_key", key)
+    if digest is None:
+        placed = hash_position(
+            keyed, by=[], hexed="_key", tie="sha256", digits=params.skew.hash_digits, out="_pos"
+        )
+    else:
+        placed = prefix_sums(
+            hash_bucket(keyed, "_key", params.skew.hash_digits).drop("_key"),
+            by=[],
+            order=["_key", "_tie"],
+            sums={"_pos": F.lit(1).cast("bigint")},
+            late={"_key": key, "_tie": digest},
+        )
     fold = (
         F.when(F.col("_pos") <= n_train, "train")
         .when(F.col("_pos") <= n_train + n_validate, "validate")

@@ -79,6 +79,7 @@ def prefix_sums(
     keep: Column | None = None,
     few_groups: bool = False,
     descending_buckets: bool = False,
+    late: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """Running sums (inclusive) of `sums` within `by`, in `order`; needs a bucket column.
 
@@ -90,7 +91,12 @@ def prefix_sums(
     With `few_groups`, groups are a small fixed domain (bands, slices): offsets are then at
     most groups times buckets rows and are broadcast, so dropped rows never leave their task.
     More than MAX_OFFSETS of them are refused; without `few_groups` any number will do.
+
+    `late` makes columns that `order` reads where the rows have arrived, so that long ones are not
+    moved. Every row is then moved, so `keep` is refused.
     """
+    if late and keep is not None:
+        raise ValueError("rows that are moved first cannot be dropped before")
     by = list(by)
     wholes = dict(wholes or {})
     values = {name: F.col(v) if isinstance(v, str) else v for name, v in sums.items()}
@@ -104,7 +110,8 @@ def prefix_sums(
         *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_o_{n}") for n in values],
         *[F.sum(f"_t_{n}").over(Window.partitionBy(*by)).alias(w) for w, n in wholes.items()],
     )
-    placed = df.join(F.broadcast(_few(offsets)) if few_groups else offsets, by + [BUCKET])
+    rows = df.repartition(*by, BUCKET).withColumns(dict(late)) if late else df
+    placed = rows.join(F.broadcast(_few(offsets)) if few_groups else offsets, by + [BUCKET])
     if keep is not None:
         placed = placed.filter(keep)
     inside = (

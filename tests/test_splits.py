@@ -17,6 +17,7 @@ from assay.operators.splits import (
     with_group,
 )
 from assay.params import Params, Skew
+from assay.plans.ordering import prefix_sums
 
 T = dt.datetime(2026, 9, 1)
 P = Params(train_frac=0.5, validate_frac=0.2)
@@ -65,6 +66,19 @@ def test_random_split_has_exact_counts_and_a_seed(spark):
     assert sorted(one.collect()) != sorted(random_split(df, replace(P, seed=1)).collect())
 
 
+def test_random_split_by_number_is_that_by_digest(spark):
+    df = spark.range(0, 1000).select(F.col("id").alias("sha256"))
+    digest = F.sha2(F.col("sha256").cast("string"), 256)
+    one = random_split(df, P, digest)
+    want = random_split(df.withColumn("sha256", digest), P)
+    assert sorted(one.withColumn("sha256", digest).collect()) == sorted(want.collect())
+    lines = one._jdf.queryExecution().executedPlan().toString().splitlines()
+    moved = [below for line, below in zip(lines, lines[1:]) if "REPARTITION_BY_COL" in line]
+    assert moved and not any("AS _key" in m or "AS _tie" in m for m in moved)
+    with pytest.raises(ValueError, match="moved first"):
+        prefix_sums(df, by=[], order=["k"], sums={}, keep=F.lit(True), late={"k": digest})
+
+
 def test_group_key_falls_back(spark):
     df = spark.createDataFrame([("a", "emotet", None), ("b", "", None), ("c", None, None)], "sha256 string, modal_family string, tlsh_cluster string")
     assert group_column(df) == "modal_family"
